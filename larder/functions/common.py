@@ -113,6 +113,18 @@ def global_row_number(df: DataFrame, key: Sequence[str], name: str, buckets: int
     )
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """Same rows and columns, but the optimizer does not look through them.
+
+    A long chain of text projections is read several times per step. Filters that
+    Spark infers for joins would be pushed down the chain and repeat each step
+    inside the next, growing without bound. A one-element ``inline`` stops both
+    filter pushdown and constraint propagation, stays inside codegen and moves no
+    data. Select the needed columns first: all columns of ``df`` are carried.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def require_columns(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Fail once, naming every missing column."""
     missing = [c for c in columns if c not in df.columns]

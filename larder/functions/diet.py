@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import rules
-from larder.functions.common import text_or_empty, words_regex
+from larder.functions.common import fence, text_or_empty, words_regex
 
 
 def clean_context(c: Column | str) -> Column:
@@ -63,7 +63,7 @@ def add_diet_terms(df: DataFrame, source: str) -> DataFrame:
             "dairy": _listed(F.col("_low"), rules.DAIRY_NAMES).isNotNull(),
         }
     )
-    return out.drop("_low", "_ctx", "_ctx2")
+    return fence(out.drop("_low", "_ctx", "_ctx2"))
 
 
 def label_is_non_veg(label: Column) -> Column:

@@ -453,3 +453,44 @@ FEATURE_NAMES = [
     "cuisine_match", "region_match", "meal_type_match", "category_match", "total_time_min",
     "hard_constraint_violation",
 ]
+
+# ---------------------------------------------------------------- fixed values: nutrition tables
+# canonical name -> grams per counted item
+ITEM_GRAMS = {
+    "almond": 1.2, "cashew": 1.5, "walnut": 3.0, "onion": 110.0, "tomato": 123.0, "lemon": 58.0,
+    "lime": 44.0, "egg": 50.0, "garlic": 3.0, "black pepper": 0.05, "peppercorn": 0.05,
+}
+# canonical name|unit -> grams per unit
+MEASURE_OVERRIDES = {
+    "ghee|tbsp": 12.8, "ghee|tablespoon": 12.8, "ghee|tsp": 4.27, "ghee|teaspoon": 4.27, "ghee|cup": 205.0,
+    "ghee|ml": 0.905, "ghee|liter": 905.0, "butter|tbsp": 14.2, "butter|tablespoon": 14.2, "butter|tsp": 4.73,
+    "butter|teaspoon": 4.73, "oil|tbsp": 13.82, "oil|tablespoon": 13.82, "oil|tsp": 4.607, "oil|teaspoon": 4.607,
+    "cream|tbsp": 15.22, "cream|tablespoon": 15.22, "cream|tsp": 5.07, "cream|teaspoon": 5.07,
+    "ginger|inch": 5.0, "cinnamon|inch": 1.3,
+}
+# canonical name|state -> factor to the raw mass; states listed without a factor need review
+YIELD_FACTORS = {
+    "rice|cooked": 0.38, "rice|boiled": 0.38, "rice|steamed": 0.38, "rice|soaked": 0.77,
+    "moong dal|cooked": 0.385, "moong dal|boiled": 0.385, "moong dal|steamed": 0.385, "moong dal|soaked": 0.55,
+    "toor dal|cooked": 0.385, "toor dal|boiled": 0.385, "toor dal|steamed": 0.385, "toor dal|soaked": 0.55,
+    "chickpea|cooked": 0.42, "chickpea|boiled": 0.42, "chickpea|soaked": 0.52, "potato|boiled": 1.00,
+    "potato|cooked": 1.00, "potato|steamed": 1.00, "green peas|boiled": 1.00, "green peas|steamed": 1.00,
+    "green peas|cooked": 1.00,
+}
+# (pattern, class, default quantity, default unit) in the order in which they are tried
+QUALITATIVE_RULES = [
+    ("salt", "ZERO_CALORIE_QUALITATIVE", None, None), ("black salt", "ZERO_CALORIE_QUALITATIVE", None, None),
+    ("rock salt", "ZERO_CALORIE_QUALITATIVE", None, None), ("water", "ZERO_CALORIE_QUALITATIVE", None, None),
+    ("sunflower oil", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"), ("oil", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"),
+    ("ghee", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"), ("butter", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"),
+    ("mustard oil", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"), ("sesame oil", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"),
+    ("olive oil", "ESTIMABLE_QUALITATIVE", 1.0, "tbsp"), ("sugar", "UNAVAILABLE_QUALITATIVE", None, None),
+    ("flour", "UNAVAILABLE_QUALITATIVE", None, None), ("maida", "UNAVAILABLE_QUALITATIVE", None, None),
+    ("besan", "UNAVAILABLE_QUALITATIVE", None, None), ("coriander", "UNAVAILABLE_QUALITATIVE", None, None),
+    ("mint", "UNAVAILABLE_QUALITATIVE", None, None), ("curry leaves", "UNAVAILABLE_QUALITATIVE", None, None),
+]
+# (text pattern, ingredient word, written unit, meant unit)
+UNIT_CORRECTIONS = [
+    (r"(?i)750\s*kg\b", "chicken", "kg", "g"), (r"(?i)200\s*(?:liter|l)\b", "coconut milk", "liter", "ml"),
+    (r"(?i)250\s*kg\b", "watermelon", "kg", "g"),
+]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import rules
-from larder.functions.common import blank_to_null, col_of, lookup, squeeze, text_or_empty, words_regex
+from larder.functions.common import blank_to_null, col_of, fence, lookup, squeeze, text_or_empty, words_regex
 
 NON_ASCII = r"[^\x00-\x7F]"
 
@@ -132,8 +132,6 @@ def add_phrase_key(df: DataFrame, source: str, name: str = "phrase_key", trace:
     singular = F.array_join(
         F.transform(F.split(squeeze(last), " "), lambda t: F.coalesce(lookup(t, rules.CONTROLLED_PLURALS), t)), " "
     )
-    # Never NULL: otherwise a later join on the key makes Spark infer an IS NOT NULL filter and
-    # push it down through this chain, which repeats every step inside the filter.
     out = out.withColumn(name, F.coalesce(F.when(F.col("_k0").isin(protected), F.col("_k0")).otherwise(singular), F.lit("")))
     if trace is not None:
         kept = F.col("_k0").isin(protected)
@@ -151,7 +149,7 @@ def add_phrase_key(df: DataFrame, source: str, name: str = "phrase_key", trace:
             ),
         )
     steps = ["_k0", "_k1", "_cut", "_k2"] + [f"_q{i}" for i in range(len(rules.GENERIC_QUALIFIERS))]
-    return out.drop(*steps)
+    return fence(out.drop(*steps))
 
 
 PREPARATION_EDGE = words_regex(rules.PREPARATION_WORDS, boundary=False)
@@ -212,7 +210,7 @@ def add_parsed_line(df: DataFrame, source: str) -> DataFrame:
     out = add_edge_preparation(out, "_name", "_word", "_bare")
     out = out.withColumn("_phrase", F.when(F.col("_taste"), F.col("_season")).otherwise(F.col("_bare")))
     out = add_phrase_key(out, "_phrase", "ingredient")
-    return out.withColumns(
+    out = out.withColumns(
         {
             "quantity": F.when(~F.col("_taste"), F.col("_number")),
             "unit": F.when(~F.col("_taste"), F.col("_unit")),
@@ -220,7 +218,8 @@ def add_parsed_line(df: DataFrame, source: str) -> DataFrame:
                 F.nullif(F.concat_ws(", ", "_said", F.nullif(F.col("_word"), F.lit(""))), F.lit(""))
             ),
         }
-    ).drop(*[c for c in out.columns if c.startswith("_")])
+    )
+    return fence(out.drop(*[c for c in out.columns if c.startswith("_")]))
 
 
 def profile_items(c: Column | str) -> Column:

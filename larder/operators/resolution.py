@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import rules, text
 from larder.functions.common import (
-    count_where, global_row_number, lookup, rnd, text_or_empty, top_k, words_regex, zero_pad,
+    count_where, fence, global_row_number, lookup, rnd, text_or_empty, top_k, words_regex, zero_pad,
 )
 
 # ---------------------------------------------------------------- candidate phrase -> canonical name
@@ -346,7 +346,7 @@ def _key_ladder(phrases: DataFrame) -> DataFrame:
     for i in range(MAX_STRIPS):
         out = text.add_edge_preparation(out, f"_l{i}", f"_w{i}", f"_r{i}")
         protected = F.col(f"_l{i}").isin("green chilli", "red chilli", "dry red chilli", "red chilli powder", "black pepper powder")
-        out = out.withColumn(f"_l{i + 1}", F.when((F.col(f"_w{i}") != "") & ~protected, F.col(f"_r{i}")).otherwise(""))
+        out = fence(out.withColumn(f"_l{i + 1}", F.when((F.col(f"_w{i}") != "") & ~protected, F.col(f"_r{i}")).otherwise("")))
     for i in range(MAX_STRIPS + 1):
         out = text.add_phrase_key(out, f"_l{i}", f"_n{i}")
 

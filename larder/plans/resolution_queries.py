@@ -268,7 +268,7 @@ def b16(t: Tables):
 
 
 _FORM = f"array_to_string(list_filter([{', '.join(f'CASE WHEN {has('lower(food_name)', chr(92) + 'b' + c + chr(92) + 'b')} THEN {q(c)} END' for c in rules.FOOD_FORM_CUES)}], lambda x: x IS NOT NULL), ';')"
-_SLUG = f"CASE CAST(nutrient_code AS VARCHAR) {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in rules.NUTRIENT_COLUMN_NAMES.items())} ELSE 'cnf_' || {sub(sub('lower(nutrient_name)', '[^a-z0-9]+', '_'), '^_+|_+$')} || '_' || CAST(nutrient_code AS VARCHAR) END"
+_SLUG = f"CASE CAST(n.nutrient_code AS VARCHAR) {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in rules.NUTRIENT_COLUMN_NAMES.items())} ELSE 'cnf_' || {sub(sub('lower(nutrient_name)', '[^a-z0-9]+', '_'), '^_+|_+$')} || '_' || CAST(n.nutrient_code AS VARCHAR) END"
 
 
 @query("B17_flatten_nutrients", f"""
