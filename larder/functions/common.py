@@ -57,7 +57,8 @@ def zero_pad(prefix: str, number: Column, width: int = 5) -> Column:
 
 
 def clip01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Clip to [0, 1]. NULL stays NULL, although ``least`` and ``greatest`` skip it."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def count_where(cond: Column) -> Column:
