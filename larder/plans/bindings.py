@@ -228,3 +228,10 @@ SELECT 'ING' || CASE WHEN n < 100000 THEN lpad(CAST(n AS STRING), 5, '0') ELSE C
        CASE prep WHEN 'fresh' THEN 'fresh' WHEN 'sliced' THEN 'powder' WHEN 'raw' THEN 'dried' ELSE 'default' END AS ingredient_form, category
 FROM (SELECT p_name, food, prep, category, min(food_code) AS n FROM foods GROUP BY p_name, food, prep, category) AS g
 """
+
+BASE["nutri"] = """
+SELECT recipe_id, sum(l_extendedprice) / 200.0 AS per_serving_calories_kcal, CASE WHEN count(*) > 2 THEN sum(l_quantity) / 4.0 END AS per_serving_protein_g,
+       sum(l_quantity) / 3.0 AS per_serving_carbs_g, max(l_quantity) / 2.0 AS per_serving_fat_g, min(l_quantity) / 5.0 AS per_serving_fiber_g,
+       CASE WHEN count(*) > 5 THEN 'COMPLETE' WHEN count(*) > 3 THEN 'APPROXIMATE' ELSE 'PARTIAL' END AS nutrition_quality, count(*) AS ingredient_count, count(quantity) AS calculated_ingredient_count
+FROM lines GROUP BY recipe_id
+"""
