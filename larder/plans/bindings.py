@@ -235,3 +235,14 @@ SELECT recipe_id, sum(l_extendedprice) / 200.0 AS per_serving_calories_kcal, CAS
        CASE WHEN count(*) > 5 THEN 'COMPLETE' WHEN count(*) > 3 THEN 'APPROXIMATE' ELSE 'PARTIAL' END AS nutrition_quality, count(*) AS ingredient_count, count(quantity) AS calculated_ingredient_count
 FROM lines GROUP BY recipe_id
 """
+
+BASE["user_feedback"] = """
+SELECT o_custkey AS user_id, 'R' || CASE WHEN o_orderkey < 100000 THEN lpad(CAST(o_orderkey AS STRING), 5, '0') ELSE CAST(o_orderkey AS STRING) END AS recipe_id, o_orderkey AS order_no, o_orderdate AS created_at,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'DISLIKE' WHEN '2-HIGH' THEN 'LIKE' WHEN '3-MEDIUM' THEN 'SAVE' WHEN '5-LOW' THEN 'HIDE' ELSE 'COOKED' END AS feedback_type
+FROM orders WHERE o_orderstatus <> 'P'
+"""
+
+BASE["user_history"] = """
+SELECT o_custkey AS user_id, 'R' || CASE WHEN o_orderkey < 100000 THEN lpad(CAST(o_orderkey AS STRING), 5, '0') ELSE CAST(o_orderkey AS STRING) END AS recipe_id, o_orderkey AS order_no, o_orderdate AS created_at
+FROM orders WHERE o_orderstatus <> 'F'
+"""
