@@ -139,7 +139,7 @@ FROM foods
 BASE["measure_rows"] = f"""
 SELECT food_code, measure_code, ord, CASE WHEN (brand_no + ord) % 7 = 0 THEN 2 ELSE 6 END AS measure_type, p_size + ord * 1.5 AS weight
 FROM (SELECT food_code, brand_no, p_size, ord, (food_code + ord * brand_no) % 12 AS measure_code
-      FROM foods CROSS JOIN (VALUES (1), (2), (3), (4)) AS m(ord)) AS x
+      FROM foods JOIN (VALUES (1, 1), (1, 2), (1, 3), (1, 4)) AS m(k, ord) ON m.k = CASE WHEN p_size > 0 THEN 1 ELSE 0 END) AS x
 """
 
 MEASURE_NAME = {
@@ -152,7 +152,7 @@ SELECT DISTINCT CAST(p_partkey % 12 AS INT) AS measure_code, {_case('CAST(p_part
 
 BASE["nutrient_rows"] = """
 SELECT food_code, code AS nutrient_code, (p_size * 7 + code * 3 + food_code % 13) % 97 + 0.25 AS amount
-FROM foods CROSS JOIN (VALUES (203), (204), (205), (208), (269), (291), (307), (999)) AS n(code)
+FROM foods JOIN (VALUES (1, 203), (1, 204), (1, 205), (1, 208), (1, 269), (1, 291), (1, 307), (1, 999)) AS n(k, code) ON n.k = CASE WHEN p_size > 0 THEN 1 ELSE 0 END
 WHERE (food_code + code) % 19 <> 0
 """
 
