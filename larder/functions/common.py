@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLANK_WORDS = ("", "nan", "none", "<na>")
+BLANK_PATTERN = "(?i)^(nan|none|<na>)?$"
 
 
 def col_of(c: Column | str) -> Column:
@@ -31,7 +31,7 @@ def squeeze(c: Column | str) -> Column:
 def blank_to_null(c: Column | str) -> Column:
     """Trimmed text, or NULL for the spellings that mean "missing"."""
     text = F.trim(col_of(c))
-    return F.when(~F.lower(text).isin(*BLANK_WORDS), text)
+    return F.when(~text.rlike(BLANK_PATTERN), text)
 
 
 def text_or_empty(c: Column | str) -> Column:
@@ -61,6 +61,16 @@ def clip01(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
+def spread_null(key: Column | str, *row: Column | str) -> Column:
+    """Join key for a left join whose NULLs match nothing.
+
+    A shuffle sends all NULL keys to one task. Here each becomes one of 1024
+    values that no real key has, so unmatched rows spread over the tasks.
+    """
+    salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*row), F.lit(1024)).cast("string"))
+    return F.coalesce(col_of(key).cast("string"), salt)
+
+
 def count_where(cond: Column) -> Column:
     """Rows for which ``cond`` holds; NULL counts as false, no rows gives 0."""
     return F.count(F.when(cond, F.lit(1)))

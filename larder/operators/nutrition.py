@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import rules
-from larder.functions.common import count_where, fence, lookup, rnd, text_or_empty
+from larder.functions.common import count_where, fence, lookup, rnd, spread_null, text_or_empty
 from larder.functions.quantity import normalize_unit, parse_quantity, water_grams
 
 NUTRIENTS = list(rules.CORE_NUTRIENTS.values())
@@ -113,7 +113,7 @@ def qualitative_rule(canonical: Column, said: Column) -> Column:
     """First qualitative rule that names the ingredient, as struct(class, quantity, unit)."""
     ladder = None
     for pattern, cls, qty, unit in rules.QUALITATIVE_RULES:
-        hit = (canonical == pattern) | said.rlike(rf"\b{pattern}\b")
+        hit = (canonical == pattern) | said.rlike(rf"(?i)\b{pattern}\b")
         rule = F.struct(F.lit(cls).alias("cls"), F.lit(qty).cast("double").alias("qty"), F.lit(unit).cast("string").alias("unit"))
         ladder = F.when(hit, rule) if ladder is None else ladder.when(hit, rule)
     return ladder
@@ -130,7 +130,6 @@ def add_grams(lines: DataFrame, estimate_qualitative: bool = True) -> DataFrame:
     out = lines.withColumns(
         {
             "_canon": canon,
-            "_said": F.lower(F.concat_ws(" ", "original_ingredient", "preparation")),
             "_water": is_water(F.col("canonical_ingredient"), F.col("ingredient_id")),
             "_step": F.when(unit == "liter", "ml").otherwise(F.coalesce(unit, F.lit("piece"))),
             "_scale": F.when(unit == "liter", 1000.0).otherwise(1.0),
@@ -145,9 +144,9 @@ def add_grams(lines: DataFrame, estimate_qualitative: bool = True) -> DataFrame:
             "_item": lookup(F.col("_canon"), rules.ITEM_GRAMS),
         }
     )
-    out = out.withColumn("_rule", F.when(F.col("_qual"), qualitative_rule(F.col("_canon"), F.col("_said"))) if estimate_qualitative else F.lit(None))
+    out = out.withColumn("_rule", F.when(F.col("_qual"), qualitative_rule(F.col("_canon"), F.concat_ws(" ", "original_ingredient", "preparation"))) if estimate_qualitative else F.lit(None))
     pepper = F.col("_canon").isin(rules.PEPPER_NAMES)
-    whole_pepper = (F.col("_canon") == "peppercorn") | F.lower("original_ingredient").rlike(rules.PEPPER_WHOLE_PATTERN)
+    whole_pepper = (F.col("_canon") == "peppercorn") | F.col("original_ingredient").rlike("(?i)" + rules.PEPPER_WHOLE_PATTERN)
     by_measure = F.col("measures")[F.col("_step")] * F.col("_scale")
     piece_override = lookup(F.concat(F.col("_canon"), F.lit("|piece")), rules.MEASURE_OVERRIDES)
     per_piece = (
@@ -202,7 +201,7 @@ def add_grams(lines: DataFrame, estimate_qualitative: bool = True) -> DataFrame:
 def add_state(lines: DataFrame, yields: bool = True) -> DataFrame:
     """Adds ``state_status`` and ``yield_factor``: cooked text against a raw food."""
     said = F.concat_ws(" ", "original_ingredient", "ingredient", "preparation")
-    cue = F.lower(F.regexp_extract(said, rules.COOKED_CUE, 1))
+    cue = F.when(said.rlike(rules.COOKED_CUE), F.lower(F.regexp_extract(said, rules.COOKED_CUE, 1))).otherwise("")
     out = lines.withColumns({"_cue": cue, "_canon": F.lower(F.trim(text_or_empty(F.col("canonical_ingredient"))))})
     applies = (
         (F.col("_cue") != "")
@@ -233,7 +232,9 @@ def line_nutrition(lines: DataFrame, foods: DataFrame, estimate_qualitative: boo
     """
     corrected = "quality_status" in lines.columns
     fixed = (F.col("quality_status") == "CORRECTED_SOURCE_UNIT") if corrected else F.lit(False)
-    out = lines.join(foods, "ingredient_id", "left")
+    # lines without an ingredient match no food; their NULL keys must not meet in one task
+    key = spread_null("ingredient_id", "recipe_id", "original_ingredient")
+    out = lines.withColumn("_key", key).join(foods.withColumnRenamed("ingredient_id", "_key"), "_key", "left").drop("_key")
     unmapped = (F.coalesce(F.col("mapping_status"), F.lit("REVIEW")) == "REVIEW") | F.col("ingredient_id").isNull()
     out = out.withColumns(
         {

@@ -28,7 +28,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = self._spread(name, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
             elif name in BASE:
                 sql = BASE[name]
                 args = {dep: getattr(self, dep) for dep in relations_in(sql)}
@@ -39,6 +39,20 @@ class Tables:
         return self._cache[name]
 
 
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """Spread a large table that is stored in fewer splits than there are cores.
+
+        A single small file is one scan task, and everything up to the first
+        shuffle would run on one core. A table with enough splits is left alone.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
+
+
+SPREAD = ("lineitem", "orders", "documents", "events")
+
 _NAME = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", re.IGNORECASE)
 
 
