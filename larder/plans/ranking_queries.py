@@ -108,7 +108,7 @@ def g09(t: Tables):
     corpus = ret.build_corpus(t.recipes.where(approved_cuisine("cuisine")), t.lines).select(F.col("recipe_id").alias("id"), F.col("corpus_text").alias("text"))
     asked = requests(t).select("segment", "available").distinct().select(F.col("segment").alias("query_id"), F.concat_ws(" ", "available").alias("text"))
     top = ret.lexical_top(ret.lexical_scores(ret.fit_tfidf(corpus, "id", "text"), asked, "id"), 50, "id")
-    ask = requests(t).groupBy(F.col("segment").alias("request_id")).agg(*[F.first(c).alias(c) for c in ("required", "available", "preferred", "disliked")])
+    ask = requests(t).groupBy(F.col("segment").alias("request_id")).agg(*[F.max(c).alias(c) for c in ("required", "available", "preferred", "disliked")])
     ask = ask.withColumns({**{c: F.lit(None).cast("boolean") for c in ("vegetarian", "vegan")}, **{c: F.lit(None).cast("string") for c in ("want_cuisine", "want_meal")}, **{g: F.lit(None).cast("double") for g in GOALS}})
     found = top.select(F.col("query_id").alias("request_id"), F.col("id").alias("recipe_id"), F.col("score").alias("similarity_score"))
     return rk.recommend(found, ask, t.recipes, t.lines, nutrition(t), GOALS, 10).select("request_id", "recipe_id", "rank", "hybrid_score", "similarity_score")

@@ -210,7 +210,7 @@ SELECT p.food_code, p.phrase, coalesce(e.canonical_ingredient_id, n.canonical_in
 FROM (SELECT *, {phrase_key('phrase')} AS k FROM phrases) p LEFT JOIN ({_LIVE}) e ON lower(trim(p.phrase)) = e.alias LEFT JOIN ({_LIVE}) n ON p.k = n.normalized_alias"""
 
 
-@query("B11_alias_lookup", _LOOK)
+@query("B11_alias_lookup", f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({_LOOK})")
 def b11(t: Tables):
     return res.lookup_alias(t.phrases, t.alias_rows).drop("matched_alias")
 
@@ -236,7 +236,7 @@ LEFT JOIN canon c0 ON p.l0 = c0.canonical_name LEFT JOIN ({_LIVE}) a0 ON p.l0 =
 LEFT JOIN canon c1 ON p.l1 = c1.canonical_name LEFT JOIN ({_LIVE}) a1 ON p.l1 = a1.alias LEFT JOIN canon k1 ON p.p1 = k1.canonical_name LEFT JOIN canon k0 ON p.p0 = k0.canonical_name"""
 
 
-@query("B13_resolution_cascade", RESOLVED)
+@query("B13_resolution_cascade", f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({RESOLVED})")
 def b13(t: Tables):
     return res.resolve(t.phrases, t.canon, t.alias_rows)
 
@@ -261,7 +261,7 @@ def b15(t: Tables):
 
 
 @query("B16_constraint_resolution", f"""
-SELECT r.food_code, r.phrase, r.ingredient_id, r.confidence, CASE r.match_method WHEN 'EXACT_CANONICAL' THEN 'EXACT' WHEN 'ALIAS_REGISTRY' THEN 'ALIAS' WHEN 'NORMALIZED_CANONICAL' THEN 'NORMALIZED' ELSE 'UNRESOLVED' END AS match_type, c.canonical_name
+SELECT r.food_code, r.phrase, r.ingredient_id, CAST(r.confidence AS DOUBLE) AS confidence, CASE r.match_method WHEN 'EXACT_CANONICAL' THEN 'EXACT' WHEN 'ALIAS_REGISTRY' THEN 'ALIAS' WHEN 'NORMALIZED_CANONICAL' THEN 'NORMALIZED' ELSE 'UNRESOLVED' END AS match_type, c.canonical_name
 FROM ({RESOLVED}) r LEFT JOIN canon c ON r.ingredient_id = c.ingredient_id""")
 def b16(t: Tables):
     return res.resolve_for_constraints(t.phrases, t.canon, t.alias_rows)
@@ -272,11 +272,11 @@ _SLUG = f"CASE CAST(n.nutrient_code AS VARCHAR) {' '.join(f'WHEN {q(k)} THEN {q(
 
 
 @query("B17_flatten_nutrients", f"""
-SELECT a.food_code, a.nutrient_code, a.amount, f.food_name, CASE WHEN {_FORM} = '' THEN 'unspecified_in_description' ELSE {_FORM} END AS food_form, {_SLUG} AS normalized_nutrient_name
+SELECT a.food_code, a.nutrient_code, CAST(a.amount AS DOUBLE) AS amount, f.food_name, CASE WHEN {_FORM} = '' THEN 'unspecified_in_description' ELSE {_FORM} END AS food_form, {_SLUG} AS normalized_nutrient_name
 FROM nutrient_rows a JOIN food_names f ON a.food_code = f.food_code JOIN (SELECT DISTINCT nutrient_code, 'Nutrient, no. ' || CAST(nutrient_code AS VARCHAR) || ' (total)' AS nutrient_name FROM nutrient_rows) n ON a.nutrient_code = n.nutrient_code""")
 def b17(t: Tables):
     names = t.nutrient_rows.select("nutrient_code").distinct().withColumn("nutrient_name", F.concat(F.lit("Nutrient, no. "), F.col("nutrient_code").cast("string"), F.lit(" (total)")))
-    return res.flatten_nutrients(t.nutrient_rows, t.food_names, names).drop("nutrient_name")
+    return res.flatten_nutrients(t.nutrient_rows.withColumn("amount", F.col("amount").cast("double")), t.food_names, names).drop("nutrient_name")
 
 
 @query("B18_food_form", f"SELECT food_code, CASE WHEN {_FORM} = '' THEN 'unspecified_in_description' ELSE {_FORM} END AS food_form FROM food_names")
