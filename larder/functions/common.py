@@ -41,7 +41,7 @@ def text_or_empty(c: Column | str) -> Column:
 def lookup(key: Column, table: dict[str, object]) -> Column:
     """Value of a fixed lookup table, NULL for an unknown key."""
     pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.create_map(*pairs).getItem(key)
+    return F.create_map(*pairs)[key]
 
 
 def words_regex(words: Sequence[str], boundary: bool = True) -> str:
