@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_own: dict[str, str] = {}
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the one the cluster names; a local one only in local mode."""
+
+def _local_only(spark: SparkSession) -> bool:
+    """One JVM, so that the driver's disk is every task's disk; ``local-cluster`` is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names; in one-JVM mode, where none is named, one of its own until the process ends."""
     base = spark.conf.get(SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="larder-")
-        spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    if base:
+        return base.rstrip("/")
+    if not _local_only(spark):
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="larder-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Let Spark remove an execution's shuffle files at its end: what it wrote is all that is read later."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Cuts the lineage of a table that several outputs reuse; an executor loss
     re-reads files instead of recomputing the whole plan.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
