@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.common import is_small
 from larder.llm.base import SPACE_CHARS, rows_of, view
 from larder.llm.components import components
 from larder.sources.shared import materialize
@@ -23,6 +24,8 @@ SLOTS = BANDS * ROWS
 SHORT, LONG = 112, 160
 #: Characters that a task hashes at once.
 BLOCK_CHARS = 1 << 21
+#: Ids of 8 bytes that may go to every task.
+BROADCAST_IDS = 1 << 20
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -38,7 +41,7 @@ def _constants(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(11)).integers(1 << 32, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
 
-_FACTORS = _constants(SLOTS)
+_FACTORS = (_constants(SLOTS) >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
 _STEPS = _constants(SHINGLE)
 _BAND_FACTORS = _constants(ROWS + 2)
 #: Where an empty slot looks for a value, try after try.
@@ -63,10 +66,10 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _many_functions(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    at = np.r_[0, np.cumsum(counts)[:-1]]
+    at, high = np.r_[0, np.cumsum(counts)[:-1]], (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(counts), SLOTS), np.uint32)
     for i in range(SLOTS):
-        out[:, i] = np.minimum.reduceat(((hashes * _FACTORS[i]) >> np.uint64(32)).astype(np.uint32), at)
+        out[:, i] = np.minimum.reduceat(high * _FACTORS[i], at)
     return out
 
 
@@ -151,29 +154,6 @@ def shared_bands(bands: DataFrame) -> DataFrame:
     return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long, hub long")
 
 
-def untested_pairs(members: DataFrame) -> DataFrame:
-    """``a, b``: pairs of a common key in different components that no hub has tested.
-
-    ``members``: key, id, hub, root. Only keys of three or more lines in more than
-    one component have any, and yield all of them, in pieces.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, hubs, roots in _runs(batches):
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            mixed = (sizes > 2) & (np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts))
-            for s, n in zip(starts[mixed], sizes[mixed], strict=True):
-                run_ids, run_roots, hub = ids[s : s + n], roots[s : s + n], hubs[s]
-                for i in range(n):
-                    other = run_ids[i + 1 :][(run_roots[i + 1 :] != run_roots[i]) & (run_ids[i + 1 :] != hub)]
-                    if run_ids[i] != hub and len(other):
-                        a, b = np.minimum(other, run_ids[i]), np.maximum(other, run_ids[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-
-
 def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
@@ -197,14 +177,74 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of ids that are similar. Only lines in pairs travel, from a written table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(lines.select("id", "line").join(wanted, "id", "left_semi"), "candidate-lines")
+def candidate_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``id, line`` of the lines in pairs, written. Few ids go to the lines by broadcast, more meet them in a shuffle."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    wanted = F.broadcast(wanted) if is_small(wanted, BROADCAST_IDS) else wanted
+    return materialize(lines.select("id", "line").join(wanted, "id", "left_semi"), "candidate-lines")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of ids whose lines are similar."""
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"), "similar")
 
 
+def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the components of one band, by exact similarity.
+
+    Every line outside the largest component asks an inverted index of the band's
+    shingles how many it shares with each other line, so all pairs that are still
+    apart are compared, without a row or a set operation for each.
+    """
+    numbers: dict[str, int] = {}
+    sets = [np.fromiter({numbers.setdefault(x, len(numbers)) for x in shingles(line)}, np.int64) for line in lines]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    owner, ends = owner[order], np.cumsum(np.bincount(flat, minlength=len(numbers)))
+    starts = np.r_[0, ends[:-1]]
+    names, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    found = []
+    for q in np.flatnonzero(part != counts.argmax()):
+        shared = np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in sets[q]]), minlength=len(sets))
+        near = shared >= SIMILARITY * (sizes + sizes[q] - shared)
+        for name in np.unique(part[near]):
+            if name != part[q]:
+                found.append((int(ids[q]), int(ids[np.flatnonzero(near & (part == name))[0]])))
+    return found
+
+
+def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: links in bands of three or more lines that the tests against hubs left in several components.
+
+    ``members``: key, id, root. Each line of such a band is joined to its text
+    once; a band is searched in the task that its key falls to.
+    """
+    apart = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = materialize(apart.where("n > 2 AND low != high").select("key"), "open-bands")
+    rows = members.select("key", "id", "root").join(apart, "key", "left_semi").join(texts, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, lines, roots, links = None, [], [], [], []
+        for key, i, root, line in rows_of(batches, "key", "id", "root", "line"):
+            if key != now:
+                links += _more_links(np.array(ids), lines, np.array(roots)) if ids else []
+                now, ids, lines, roots = key, [], [], []
+            ids.append(i)
+            lines.append(line)
+            roots.append(root)
+            if len(links) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
+                links = []
+        links += _more_links(np.array(ids), lines, np.array(roots)) if ids else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    found = rows.select("key", "id", "root", "line").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return materialize(found, "band-links")
+
+
 def _position(doc_id: Column, at: Column) -> Column:
     """Document id and line number in one decimal, ordered like the two."""
     return (doc_id.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + at).cast("decimal(38,0)")
@@ -221,7 +261,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     Each band links its lines to one hub, a frequent line where there is one;
     candidates are verified exactly; then lines of a band that are still apart are
     compared with each other, so that no candidate pair goes untested, while a
-    family of near copies costs one comparison for each.
+    family of near copies costs little more than a comparison for each.
     """
     own = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     own = own.select("doc_id", "at", F.btrim("raw", F.lit(SPACE_CHARS)).alias("line")).where("line != ''")
@@ -234,13 +274,14 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
     members = materialize(shared_bands(band_rows(lines)), "bands")
     pairs = materialize(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    similar = verified(pairs, lines)
+    texts = candidate_lines(pairs, lines)
+    similar = verified(pairs, texts)
     up = components(similar)
     m, u = members.alias("m"), up.alias("u")
-    rooted = m.join(u, F.col("m.id") == F.col("u.node"), "left").select("m.key", "m.id", "m.hub", F.coalesce("u.root", "m.id").alias("root"))
-    more = materialize(untested_pairs(rooted), "more-pairs")
+    rooted = m.join(u, F.col("m.id") == F.col("u.node"), "left").select("m.key", "m.id", F.coalesce("u.root", "m.id").alias("root"))
+    more = band_links(materialize(rooted, "rooted-bands"), texts)
     if not more.isEmpty():
-        up = components(similar.unionByName(verified(more, lines)))
+        up = components(similar.unionByName(more))
 
     nodes = up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
     linked = materialize(lines.select("id", "first").join(nodes, F.col("id") == F.col("node")).select("first", "root"), "linked")
