@@ -21,7 +21,9 @@ MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 #: Segments whose ids a worker remembers, and the longest that it does.
-MEMO_SIZE, MEMO_CHARS = 1 << 18, 48
+MEMO_SIZE, MEMO_CHARS = 1 << 18, 32
+#: Costs are whole multiples of 2^-20, so that sums are exact and a path does not depend on where a window began.
+COST_UNIT = 1 << 20
 
 
 class Vocabulary:
@@ -38,7 +40,7 @@ class Vocabulary:
         size = model.get_piece_size()
         scores = [model.get_score(i) for i in range(size)]
         ranked = all(s <= 0 and s == int(s) for s in scores)
-        self.cost: dict[str, tuple[float, int]] = {}
+        self.cost: dict[str, tuple[int, int]] = {}
         self.bytes_of: list[bytes] = [b""] * size
         self.byte_ids: list[int] = [model.unk_id()] * 256
         for i in range(size):
@@ -47,15 +49,18 @@ class Vocabulary:
                 self.byte_ids[int(piece[1:-1], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[1:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.cost[piece] = (math.log(2 - scores[i]) if ranked else -scores[i], i)
+                self.cost[piece] = (round(COST_UNIT * (math.log(2 - scores[i]) if ranked else -scores[i])), i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.covered = set("".join(self.cost))
         self.longest = max(map(len, self.cost), default=1)
-        #: Longest piece that ends with a character.
-        self.reach: dict[str, int] = {}
-        for piece in self.cost:
-            self.reach[piece[-1]] = max(self.reach.get(piece[-1], 1), len(piece))
-        self.byte_cost = 4 * math.log(2 + size)
+        #: Pieces as a tree of characters; the empty key holds a piece's cost and ids.
+        self.following: dict = {}
+        for piece, (cost, i) in self.cost.items():
+            node = self.following
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = (cost, (i,))
+        self.byte_cost = round(COST_UNIT * 4 * math.log(2 + size))
         #: No piece goes on over a mark that follows another character: each such mark starts a new segment.
         self.cuts_at_mark = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.cost)
         lone = "".join(c for c in "\n\t\r" if c not in self.covered)
@@ -63,40 +68,48 @@ class Vocabulary:
         self.segments = re.compile(f"{MARK}+{body}*|{body}+|[{lone}]" if lone else f"{MARK}+{body}*|{body}+").findall
 
 
+_FAR = 1 << 62
+
+
 class Stream:
     """Viterbi over characters as they come; ``feed`` and ``end`` return ids that no later text can change."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.text, self.best, self.back = "", [0.0], [(0, ())]
+        self.text, self.best, self.back = "", [0], [(0, ())]
 
     def feed(self, text: str) -> list[int]:
         """Extend every path to the ends of ``text``, in steps of the longest piece, and commit where all agree."""
         out, step = [], self.v.longest
         for i in range(0, len(text), step):
-            self._extend(text[i : i + step])
+            self.extend(text[i : i + step])
             out += self._commit(self._agreed())
         return out
 
     def end(self) -> list[int]:
         return self._commit(len(self.text))
 
-    def _extend(self, more: str) -> None:
-        cost, reach, best, back = self.v.cost, self.v.reach, self.best, self.back
-        start = len(self.text)
-        self.text = text = self.text + more
-        for end in range(start + 1, len(text) + 1):
-            char = text[end - 1]
-            low, at = math.inf, None
-            for size in range(1, min(reach.get(char, 0), end) + 1):
-                found = cost.get(text[end - size : end])
-                if found is not None and (total := best[end - size] + found[0]) <= low:
-                    low, at = total, (end - size, (found[1],))
-            if at is None:
-                codes = char.encode("utf-8", "surrogatepass")
-                low, at = best[end - 1] + self.v.byte_cost * len(codes), (end - 1, tuple(self.v.byte_ids[b] for b in codes))
-            best.append(low)
-            back.append(at)
+    def extend(self, more: str) -> list[int]:
+        """Extend every path over ``more`` and commit nothing."""
+        best, back, following, byte_ids = self.best, self.back, self.v.following, self.v.byte_ids
+        start, self.text = len(self.text), self.text + more
+        text, total = self.text, len(self.text)
+        best.extend([_FAR] * (total - start))
+        back.extend([None] * (total - start))
+        # Pieces that end in the new text may start in the old.
+        for begin in range(max(0, start - self.v.longest + 1), total):
+            here, node = best[begin], following
+            for end in range(begin, total):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is not None and end >= start and (cost := here + found[0]) < best[end + 1]:
+                    best[end + 1], back[end + 1] = cost, (begin, found[1])
+            if begin >= start and best[begin + 1] == _FAR:
+                codes = text[begin].encode("utf-8", "surrogatepass")
+                best[begin + 1], back[begin + 1] = here + self.v.byte_cost * len(codes), (begin, tuple(byte_ids[b] for b in codes))
+        return []
 
     def _agreed(self) -> int:
         """The last boundary that all paths still alive share.
@@ -123,23 +136,30 @@ class Stream:
 
 
 class _Memo(dict):
-    """Ids of short segments, as int32 bytes."""
+    """Ids of short segments, as int32 bytes; when full, what was not used since the last time is let go."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.older = vocabulary, {}
 
     def __missing__(self, segment: str) -> bytes:
-        stream = Stream(self.v)
-        ids = array("i", stream.feed(segment))
-        ids.extend(stream.end())
-        packed = ids.tobytes()
+        packed = self.older.get(segment)
+        if packed is None:
+            packed = array("i", encode_whole(self.v, segment)).tobytes()
         if len(segment) <= MEMO_CHARS:
             if len(self) >= MEMO_SIZE:
+                self.older = dict(self)
                 self.clear()
             self[segment] = packed
         return packed
 
 
+def encode_whole(vocabulary: Vocabulary, segment: str) -> list[int]:
+    """Ids of a segment: one that fits the window is committed at its end, a longer one on its way."""
+    stream = Stream(vocabulary)
+    ids = stream.feed(segment) if len(segment) > vocabulary.longest else stream.extend(segment)
+    return ids + stream.end()
+
+
 class Codec:
     """Text to ids and back, exactly."""
 
@@ -165,7 +185,7 @@ class Codec:
             if self.v.cuts_at_mark:
                 out.extend(map(find, self.v.segments(part)))
             else:
-                out.append(_Memo.__missing__(_Memo(self.v), part))
+                out.append(array("i", encode_whole(self.v, part)).tobytes())
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
