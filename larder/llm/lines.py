@@ -221,8 +221,11 @@ def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     ``members``: key, id, root. Each line of such a band is joined to its text
     once; a band is searched in the task that its key falls to.
     """
-    apart = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = materialize(apart.where("n > 2 AND low != high").select("key"), "open-bands")
+    same = (F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("two"))
+    apart = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *same)
+    # Bands with the same lines are searched once.
+    apart = apart.where("n > 2 AND low != high").groupBy("n", "low", "high", "one", "two").agg(F.min("key").alias("key"))
+    apart = materialize(apart.select("key"), "open-bands")
     rows = members.select("key", "id", "root").join(apart, "key", "left_semi").join(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
