@@ -87,14 +87,16 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def global_row_number(df: DataFrame, key: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
+def global_row_number(df: DataFrame, key: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
     """1..n in ascending order of the unique ``key`` columns, with no single-task sort.
 
     Range bounds come from a bounded sample (the rows with the smallest key
     hashes, so the same rows on every evaluation); each range is numbered on its
     own and shifted by the row counts of the ranges before it. Only the bounds
-    and one count per range are gathered, both limited by ``buckets``.
+    and one count per range are gathered, both limited by ``buckets``: as many as
+    shuffle partitions, 64 at least, so that ranges grow in number with the cluster.
     """
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per_bucket = 16
     tagged_key = F.struct(*[F.col(c) for c in key])
     sample = (

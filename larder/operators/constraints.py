@@ -317,7 +317,7 @@ def evaluate(
     strict = F.when(
         short,
         F.array(F.concat(F.lit("Pantry coverage ("), F.col("matched_count").cast("string"), F.lit("/"), F.col("recipe_total_count").cast("string"),
-                         F.lit(") is incomplete. Missing: "), F.array_join(F.slice("missing_ingredients", 1, 3), ", "))),
+                         F.lit(") is incomplete. Missing: "), F.array_join("missing_ingredients", ", "))),
     ).otherwise(none)
     failures = F.concat(
         typed("allergen", each("_allergens", "Contains excluded allergen: '", "' (HARD REJECT).")),
@@ -337,16 +337,18 @@ def evaluate(
 KINDS = ["allergen", "excluded", "dietary", "nutrition", "required"]
 
 
-def rejection_diagnostics(evaluated: DataFrame) -> DataFrame:
+def rejection_diagnostics(evaluated: DataFrame, requests: DataFrame) -> DataFrame:
     """Candidates, eligible and rejected ones and rejections by kind, per request.
 
-    A candidate counts once per kind, however many messages it has.
+    A candidate counts once per kind, however many messages it has. Every row of
+    ``requests`` has a row here; one without candidates has zeros.
     """
     hit = {k: F.array_contains(F.transform("failures", lambda f: f["kind"]), k) for k in KINDS}
-    return evaluated.groupBy("request_id").agg(
+    counts = evaluated.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("total_candidates"), count_where(F.col("passed")).alias("eligible_count"), count_where(~F.col("passed")).alias("rejected_count"),
         *[count_where(c).alias(f"{k}_rejections") for k, c in hit.items()],
     )
+    return requests.select("request_id").distinct().join(counts, "request_id", "left").fillna(0, [c for c in counts.columns if c != "request_id"])
 
 
 def zero_result_causes(diagnostics: DataFrame) -> DataFrame:
@@ -382,7 +384,7 @@ def explain(evaluated: DataFrame) -> DataFrame:
                 F.when(pct > 0, F.concat(pct.cast("string"), F.lit("% pantry ingredient match"))),
             )
         ),
-        F.transform(F.slice("soft_matches", 1, 2), lambda s: F.lower(s)),
+        F.transform("soft_matches", lambda s: F.lower(s)),
         F.array_compact(F.array(F.when(F.col("per_serving_calories_kcal") > 0, F.format_string("%.0f kcal per serving", "per_serving_calories_kcal")))),
     )
     rejected = F.concat(F.lit("Rejected: "), F.array_join(F.transform("failures", lambda f: f["message"]), "; "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import rules
@@ -170,15 +170,16 @@ def pilot_audit(feedback: DataFrame, users: DataFrame, recipes: DataFrame, histo
 
 # ---------------------------------------------------------------- ranking metrics
 
-DEPTH = 10
+MRR_PLACES = 10
 
 
 def ranking_metrics(rows: DataFrame, query: str, order: Sequence[Column], label: str, threshold: float, ks: Sequence[int] = (5, 10)) -> DataFrame:
     """NDCG, precision, recall at each k and MRR@10 per query.
 
-    Only the first ten places matter, so both orders are cut to ten rows per
-    query before the shuffle; a query group of any size stays cheap.
+    Only the first ``max(ks)`` places matter (ten at least, for MRR), so both
+    orders are cut to that before the shuffle; a query group of any size stays cheap.
     """
+    depth = max(MRR_PLACES, *ks)
     gain = F.when(F.col(label) > 0, F.pow(F.lit(2.0), F.col(label).cast("double")) - 1.0).otherwise(0.0)
     discounted = gain / F.log2(F.col("_place") + 1.0)
     hit = F.col(label) >= threshold
@@ -186,12 +187,12 @@ def ranking_metrics(rows: DataFrame, query: str, order: Sequence[Column], label:
     def dcg(k: int) -> Column:
         return F.sum(F.when(F.col("_place") <= k, discounted).otherwise(0.0))
 
-    shown = top_k(rows, [query], list(order), DEPTH, "_place").groupBy(query).agg(
+    shown = top_k(rows, [query], list(order), depth, "_place").groupBy(query).agg(
         *[dcg(k).alias(f"_dcg{k}") for k in ks],
         *[count_where(hit & (F.col("_place") <= k)).alias(f"_hit{k}") for k in ks],
-        F.coalesce(1.0 / F.min(F.when(hit, F.col("_place"))), F.lit(0.0)).alias("mrr_10"),
+        F.coalesce(1.0 / F.min(F.when(hit & (F.col("_place") <= MRR_PLACES), F.col("_place"))), F.lit(0.0)).alias("mrr_10"),
     )
-    ideal = top_k(rows, [query], [F.desc(label)], DEPTH, "_place").groupBy(query).agg(*[dcg(k).alias(f"_idcg{k}") for k in ks])
+    ideal = top_k(rows, [query], [F.desc(label)], depth, "_place").groupBy(query).agg(*[dcg(k).alias(f"_idcg{k}") for k in ks])
     relevant = rows.groupBy(query).agg(count_where(hit).alias("_relevant"))
     out = shown.join(ideal, query).join(relevant, query)
     for k in ks:
@@ -299,16 +300,23 @@ def product_kpis(users: DataFrame, history: DataFrame, feedback: DataFrame) -> D
     )
 
 
-def latency_percentiles(rows: DataFrame, by: Sequence[str], value: str, newest_first: Sequence[Column], keep: int = 500) -> DataFrame:
-    """Count, mean and nearest-index percentiles of the newest ``keep`` values per group."""
-    recent = top_k(rows, by, newest_first, keep, "_r")
-    out = recent.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_v"), rnd(F.avg(value), 2).alias("avg_ms"))
-    n = F.size("_v")
+def latency_percentiles(rows: DataFrame, by: Sequence[str], value: str, newest_first: Sequence[Column] = (), keep: int | None = None) -> DataFrame:
+    """Count, mean and nearest-index percentiles per group (H20), over all rows or the newest ``keep``.
+
+    Equal values are counted before the shuffle; a running sum over the distinct
+    values of a group finds the value at each index without holding the group.
+    """
+    used = top_k(rows, by, newest_first, keep, "_r") if keep else rows
+    counts = used.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    totals = used.groupBy(*by).agg(F.count(value).alias("samples"), rnd(F.avg(value), 2).alias("avg_ms"))
+    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.where(F.col("_v").isNotNull()).withColumn("_upto", F.sum("_c").over(upto)).join(totals, list(by))
 
     def at(p: float) -> Column:
-        return rnd(F.get("_v", F.least(F.floor(n * p).cast("int"), n - 1)), 2)
+        index = F.least(F.floor(F.col("samples") * p), F.col("samples") - 1)
+        return rnd(F.min(F.when(F.col("_upto") > index, F.col("_v"))), 2)
 
-    return out.select(*by, n.cast("long").alias("samples"), "avg_ms", at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
+    return placed.groupBy(*by, "samples", "avg_ms").agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
 
 
 def request_kpis(rows: DataFrame, is_error: Column) -> DataFrame:

@@ -312,7 +312,7 @@ def recommend(eligible: DataFrame, requests: DataFrame, recipes: DataFrame, line
     matched = F.array_compact(F.array(F.when(F.col("vegetarian"), "Vegetarian"), F.when(F.col("vegan"), "Vegan")))
     told = explanation(top.withColumn("matched_preferences", matched))
     return told.withColumns(
-        {"matched_ingredients": F.array_join("matched_ingredients", ", "), "missing_ingredients": F.array_join(F.slice("missing_ingredients", 1, 5), ", ")}
+        {"matched_ingredients": F.array_join("matched_ingredients", ", "), "missing_ingredients": F.array_join("missing_ingredients", ", ")}
     ).select("request_id", *RECOMMENDATION_COLUMNS)
 
 

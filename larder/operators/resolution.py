@@ -334,28 +334,32 @@ def ontology(canonical: DataFrame) -> DataFrame:
     )
 
 
-MAX_STRIPS = 3
+STRIPS_AT_ONCE = 3
 
 
 def _key_ladder(phrases: DataFrame) -> DataFrame:
     """``phrase`` with its lookup keys in the order in which they are tried.
 
-    Levels 0..3 are the phrase with 0..3 preparation words stripped. Every level
-    first tries exact name and alias, then the deeper levels, then its normal form.
+    Level n is the phrase with n preparation words stripped, as far as any phrase
+    of the input goes. Every level first tries exact name and alias, then the deeper levels, then its normal form.
     """
     out = phrases.withColumn("_l0", text_or_empty(F.lower(F.trim("phrase"))))
-    for i in range(MAX_STRIPS):
-        out = text.add_edge_preparation(out, f"_l{i}", f"_w{i}", f"_r{i}")
-        protected = F.col(f"_l{i}").isin("green chilli", "red chilli", "dry red chilli", "red chilli powder", "black pepper powder")
-        out = fence(out.withColumn(f"_l{i + 1}", F.when((F.col(f"_w{i}") != "") & ~protected, F.col(f"_r{i}")).otherwise("")))
-    for i in range(MAX_STRIPS + 1):
+    strips, more = 0, True
+    while more:
+        for i in range(strips, strips + STRIPS_AT_ONCE):
+            out = text.add_edge_preparation(out, f"_l{i}", f"_w{i}", f"_r{i}")
+            protected = F.col(f"_l{i}").isin("green chilli", "red chilli", "dry red chilli", "red chilli powder", "black pepper powder")
+            out = fence(out.withColumn(f"_l{i + 1}", F.when((F.col(f"_w{i}") != "") & ~protected, F.col(f"_r{i}")).otherwise("")))
+        strips += STRIPS_AT_ONCE
+        more = not out.where(F.col(f"_l{strips}") != "").isEmpty()
+    for i in range(strips + 1):
         out = text.add_phrase_key(out, f"_l{i}", f"_n{i}")
 
     def key(col: str, kind: str, factor: float, method: str) -> Column:
         return F.struct(F.col(col).alias("key"), F.lit(kind).alias("kind"), F.lit(factor).alias("factor"), F.lit(method).alias("method"))
 
     first, last = [], []
-    for i in range(MAX_STRIPS + 1):
+    for i in range(strips + 1):
         first += [
             key(f"_l{i}", "NAME", 1.0, "EXACT_CANONICAL"), key(f"_l{i}", "ALIAS", 1.0, "ALIAS_REGISTRY"),
             key(f"_n{i}", "NALIAS", 1.0, "ALIAS_REGISTRY"),
@@ -654,7 +658,7 @@ def fuzzy_fill(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     pool = pairs.join(full, "ingredient_id", "left_anti").join(matches.select("ingredient_id", "food_code"), ["ingredient_id", "food_code"], "left_anti")
     long_enough = F.length(F.regexp_replace("term_key", " ", "")) >= rules.FUZZY_MIN_LETTERS
     near = pool.where(
-        (F.col("term_no") < 8) & long_enough
+        long_enough
         & (F.size(F.array_intersect("term_tokens", "phrase_tokens")) / F.size("term_tokens") >= rules.MIN_COVERAGE)
     )
     scored = near.withColumn("score", difflib_ratio("term_key", "phrase"))

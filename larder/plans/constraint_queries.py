@@ -222,20 +222,20 @@ def f14(t: Tables):
     return evaluated(t).select("request_id", "recipe_id", "passed", *[_n(k) for k in con.KINDS], *[f"{d}_status" for d in con.DIETS], rnd("coverage_ratio", 6).alias("coverage_ratio"))
 
 
-DIAG = f"{FULL}, dg AS (SELECT request_id, count(*) AS total_candidates, count(*) FILTER (passed) AS eligible_count, count(*) FILTER (NOT passed) AS rejected_count, {', '.join(f'count(*) FILTER (n_{k} > 0) AS {k}_rejections' for k in con.KINDS)} FROM fp GROUP BY 1)"
+DIAG = f"{FULL}, dg AS (SELECT r.request_id, count(fp.recipe_id) AS total_candidates, count(*) FILTER (passed) AS eligible_count, count(*) FILTER (NOT passed) AS rejected_count, {', '.join(f'count(*) FILTER (n_{k} > 0) AS {k}_rejections' for k in con.KINDS)} FROM (SELECT DISTINCT request_id FROM requests) r LEFT JOIN fp ON r.request_id = fp.request_id GROUP BY 1)"
 
 
 @query("F15_rejection_diagnostics", f"{DIAG} SELECT * FROM dg")
 def f15(t: Tables):
-    return con.rejection_diagnostics(evaluated(t))
+    return con.rejection_diagnostics(evaluated(t), requests(t))
 
 
 @query("F16_zero_result_causes", f"""{DIAG}, z AS (SELECT *, allergen_rejections > 0 AND allergen_rejections >= total_candidates * 0.5 AS ca FROM dg WHERE eligible_count = 0), z2 AS (SELECT *, dietary_rejections > 0 AND (dietary_rejections >= total_candidates * 0.5 OR NOT ca) AS cd FROM z),
 z3 AS (SELECT *, nutrition_rejections > 0 AND (nutrition_rejections >= total_candidates * 0.5 OR NOT (ca OR cd)) AS cn FROM z2), z4 AS (SELECT *, excluded_rejections + required_rejections > 0 AND (NOT (ca OR cd OR cn) OR excluded_rejections + required_rejections >= total_candidates * 0.3) AS ci FROM z3),
-z5 AS (SELECT request_id, concat_ws('|', CASE WHEN ca THEN 'allergen_conflict' END, CASE WHEN cd THEN 'dietary_conflict' END, CASE WHEN cn THEN 'nutrition_constraint_conflict' END, CASE WHEN ci AND excluded_rejections > 0 THEN 'unresolved_ingredient_constraints' END, CASE WHEN ci AND required_rejections > 0 THEN 'insufficient_pantry_coverage' END) AS c FROM z4)
+z5 AS (SELECT request_id, concat_ws('|', CASE WHEN total_candidates = 0 THEN 'insufficient_eligible_recipes' END, CASE WHEN ca THEN 'allergen_conflict' END, CASE WHEN cd THEN 'dietary_conflict' END, CASE WHEN cn THEN 'nutrition_constraint_conflict' END, CASE WHEN ci AND excluded_rejections > 0 THEN 'unresolved_ingredient_constraints' END, CASE WHEN ci AND required_rejections > 0 THEN 'insufficient_pantry_coverage' END) AS c FROM z4)
 SELECT request_id, CASE WHEN c = '' THEN 'incompatible_preference_combination' ELSE c END AS causes FROM z5""")
 def f16(t: Tables):
-    return con.zero_result_causes(con.rejection_diagnostics(evaluated(t))).select("request_id", F.array_join("all_causes", "|").alias("causes"))
+    return con.zero_result_causes(con.rejection_diagnostics(evaluated(t), requests(t))).select("request_id", F.array_join("all_causes", "|").alias("causes"))
 
 
 @query("F17_explanations")

@@ -219,9 +219,9 @@ def h19(t: Tables):
 
 
 @query("H20_latency_percentiles", f"""SELECT event_type, CAST(n AS BIGINT) AS samples, {sql_round('a', 2)} AS avg_ms, {', '.join(sql_round(f'v[1 + least(CAST(floor(n * {p}) AS INT), n - 1)]', 2) + f' AS p{x}_ms' for p, x in ((0.5, 50), (0.95, 95), (0.99, 99)))}
-FROM (SELECT event_type, count(*) AS n, avg(value) AS a, list(value ORDER BY value) AS v FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 500 GROUP BY 1)""")
+FROM (SELECT event_type, count(*) AS n, avg(value) AS a, list(value ORDER BY value) AS v FROM events GROUP BY 1)""")
 def h20(t: Tables):
-    return fb.latency_percentiles(t.events, ["event_type"], "value", [F.desc("ts"), F.desc("event_id")])
+    return fb.latency_percentiles(t.events, ["event_type"], "value")
 
 
 @query("H20_request_kpis", f"SELECT count(*) AS total_requests, count(*) FILTER (feedback_type = 'HIDE') AS total_errors, count(DISTINCT user_id) AS active_users, {sql_round('''count(*) FILTER (feedback_type = 'HIDE') * 1.0 / count(*)''', 4)} AS error_rate, (SELECT count(*) FROM (SELECT user_id FROM interactions GROUP BY 1 HAVING count(DISTINCT session_id) > 1)) AS returning_users FROM interactions")

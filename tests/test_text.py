@@ -97,3 +97,13 @@ def test_bigrams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "t array<string>")
     got = [r["g"] for r in df.select(text.uni_and_bigrams(F.col("t")).alias("g")).collect()]
     assert got == [["a", "b", "c", "a b", "b c"], ["a"], []]
+
+
+def test_any_number_of_preparation_words_is_stripped(spark):
+    from larder.operators import resolution
+
+    canon = spark.createDataFrame([("ING1", "onion", "Onion")], "ingredient_id string, canonical_name string, display_name string")
+    aliases = spark.createDataFrame([], "alias_id string, alias string, normalized_alias string, canonical_ingredient_id string, confidence double, review_status string")
+    phrases = spark.createDataFrame([("onion",), ("sliced onion",), ("peeled sliced fried roasted onion",), ("peeled sliced chopped fried roasted onion sliced",)], "phrase string")
+    got = resolution.resolve(phrases, canon, aliases).collect()
+    assert {r.ingredient_id for r in got} == {"ING1"}
