@@ -21,6 +21,8 @@ from larder.sources.shared import materialize, shared_dir
 
 #: A writer starts the next archive after this many bytes of records.
 ARCHIVE_BYTES = 64 << 20
+#: Compressed bytes that a task reads back.
+READ_BYTES = 16 << 20
 CHUNK = 1 << 20
 GZIP = 31
 HEAD_END = b"\r\n\r\n"
@@ -182,14 +184,15 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    each = archives.select("path").repartition("path")
+    # One short row per archive: dealt out by number, as Spark would join such small partitions into one.
+    each = archives.select("path").coalesce(1).repartition(max(1, archives.count()))
     return materialize(each.mapInArrow(run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records at the index's offsets: page_id, record_type, url, payload, payload_bytes, payload_digest, refers_to.
 
-    Each record is sought and inflated alone. The digest of a response is worked
+    A task has READ_BYTES of archives or so, in order. Each record is sought and inflated alone. The digest of a response is worked
     out anew and must equal its header; a revisit has no payload and gives size
     and digest from its headers.
     """
@@ -218,7 +221,9 @@ def read_records(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    return index.select("path", "offset", "length").mapInArrow(run, schema)
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = index.select("path", "offset", "length").repartitionByRange(1 + size // READ_BYTES, "path", "offset")
+    return ranges.sortWithinPartitions("path", "offset").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
