@@ -90,4 +90,4 @@ def query(docs: DataFrame) -> DataFrame:
 SQL = r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
     SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-           coalesce(doc_id = min(doc_id) OVER (PARTITION BY t), true) AS kept, sha256(t) AS text_sha256 FROM n"""
+           (doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t)) AS kept, sha256(t) AS text_sha256 FROM n"""

@@ -26,6 +26,8 @@ SHORT, LONG = 112, 160
 BLOCK_CHARS = 1 << 21
 #: Ids of 8 bytes that may go to every task.
 BROADCAST_IDS = 1 << 20
+#: Lines of a band that are compared with each other in one task; a larger band is dealt out as pairs of such blocks.
+BAND_BLOCK = 1 << 11
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -190,13 +192,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"), "similar")
 
 
-def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray) -> list[tuple[int, int]]:
-    """Links between the components of one band, by exact similarity.
+def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the components of one block of a band, or across two, by exact similarity.
 
-    Every line outside the largest component asks an inverted index of the band's
+    Every line outside the largest component asks an inverted index of the
     shingles how many it shares with each other line, so all pairs that are still
-    apart are compared, without a row or a set operation for each.
+    apart are compared, without a row or a set operation for each. Where
+    ``sides`` tells two blocks apart, pairs inside one are left to its own task.
     """
+    across = sides.any() and not sides.all()
     numbers: dict[str, int] = {}
     sets = [np.fromiter({numbers.setdefault(x, len(numbers)) for x in shingles(line)}, np.int64) for line in lines]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -209,6 +213,8 @@ def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray) -> list[tu
     for q in np.flatnonzero(part != counts.argmax()):
         shared = np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in sets[q]]), minlength=len(sets))
         near = shared >= SIMILARITY * (sizes + sizes[q] - shared)
+        if across:
+            near &= sides != sides[q]
         for name in np.unique(part[near]):
             if name != part[q]:
                 found.append((int(ids[q]), int(ids[np.flatnonzero(near & (part == name))[0]])))
@@ -219,32 +225,43 @@ def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: links in bands of three or more lines that the tests against hubs left in several components.
 
     ``members``: key, id, root. Each line of such a band is joined to its text
-    once; a band is searched in the task that its key falls to.
+    once. A band of up to BAND_BLOCK lines is searched in one task; a larger one is
+    split by the lines' hashes, and each pair of its blocks is a task of its own, so
+    that no task holds more than two blocks however hot the band and no pair is left out.
     """
     same = (F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("two"))
     apart = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *same)
     # Bands with the same lines are searched once.
     apart = apart.where("n > 2 AND low != high").groupBy("n", "low", "high", "one", "two").agg(F.min("key").alias("key"))
-    apart = materialize(apart.select("key"), "open-bands")
-    rows = members.select("key", "id", "root").join(apart, "key", "left_semi").join(texts, "id")
+    apart = materialize(apart.select("key", F.ceil(F.col("n") / BAND_BLOCK).alias("blocks")), "open-bands")
+    rows = members.select("key", "id", "root").join(apart, "key").join(texts, "id")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "id", "root", "line"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, lines, roots, links = None, [], [], [], []
-        for key, i, root, line in rows_of(batches, "key", "id", "root", "line"):
-            if key != now:
-                links += _more_links(np.array(ids), lines, np.array(roots)) if ids else []
-                now, ids, lines, roots = key, [], [], []
-            ids.append(i)
-            lines.append(line)
-            roots.append(root)
+        now, held, links = None, [], []
+
+        def search() -> list[tuple[int, int]]:
+            if not held:
+                return []
+            ids, lines, roots, sides = zip(*held, strict=True)
+            return _more_links(np.array(ids), list(lines), np.array(roots), np.array(sides))
+
+        for key, i, j, *line in rows_of(batches, "key", "i", "j", "id", "line", "root", "side"):
+            if (key, i, j) != now:
+                links += search()
+                now, held = (key, i, j), []
+            held.append(line)
             if len(links) > 1 << 16:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
                 links = []
-        links += _more_links(np.array(ids), lines, np.array(roots)) if ids else []
+        links += search()
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
 
-    found = rows.select("key", "id", "root", "line").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
     return materialize(found, "band-links")
 
 

@@ -98,7 +98,9 @@ def test_lines_on_awkward_rows(odd_docs, odd_rows, no_docs):
     assert lines.query(no_docs).collect() == []
 
 
-def test_families_of_edited_lines(spark):
+@pytest.mark.parametrize("block", [lines.BAND_BLOCK, 7])  # a band is one block, or is dealt out as pairs of blocks
+def test_families_of_edited_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BAND_BLOCK", block)
     rng = random.Random(3)
     rows = []
     for family in range(6):
