@@ -214,8 +214,7 @@ def allergen_presence(candidates: DataFrame, requests: DataFrame, evidence: Data
 def pantry_metrics(candidates: DataFrame, requests: DataFrame, lines: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
     """Matched and missing recipe items and coverage for the available ingredients.
 
-    ``coverage_ratio`` counts clean text and canonical name as separate items;
-    ``coverage_by_line`` counts lines.
+    ``coverage_ratio`` counts clean text and canonical name as separate items.
     """
     items = lines.select(
         "recipe_id", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("ingredient"), F.lower("canonical_ingredient"))))).alias("_item")

@@ -24,20 +24,23 @@ def export_interactions(history: DataFrame, feedback: DataFrame, by: Sequence[st
     """Impressions with the feedback given on them and its grade (H1).
 
     Feedback is tied to the session it was given in. Feedback without a session
-    goes to the latest earlier impression of that user and recipe. Passing
+    goes to the latest earlier impression of that user and recipe: both kinds of
+    rows go through one window in order of time, each row on its own, so that
+    repeated feedback stays repeated and no pairs are formed. Passing
     ``by=("user_id", "recipe_id")`` ties it to every impression instead.
     """
     fields = ["feedback_type", "rating", "feedback_timestamp"]
     tied = feedback
     if "session_id" in by:
-        loose = feedback.where(F.col("session_id").isNull()).drop("session_id")
-        seen = history.select("session_id", "user_id", "recipe_id", "impression_timestamp")
-        placed = (
-            loose.join(seen, ["user_id", "recipe_id"])
-            .where(F.col("impression_timestamp") <= F.col("feedback_timestamp"))
-            .groupBy("user_id", "recipe_id", *fields)
-            .agg(F.max_by("session_id", F.struct("impression_timestamp", "session_id")).alias("session_id"))
+        loose = feedback.where("session_id IS NULL AND feedback_timestamp IS NOT NULL")
+        seen = history.where("impression_timestamp IS NOT NULL").select(
+            "user_id", "recipe_id", F.col("impression_timestamp").alias("_at"), F.struct("session_id").alias("_seen")
         )
+        events = seen.unionByName(loose.select("user_id", "recipe_id", F.col("feedback_timestamp").alias("_at"), *fields), allowMissingColumns=True)
+        # Impressions come before feedback of the same moment, and among themselves by session.
+        order = Window.partitionBy("user_id", "recipe_id").orderBy("_at", F.col("_seen").isNull(), "_seen")
+        last = F.last("_seen", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = events.withColumn("_last", last).where("_seen IS NULL AND _last IS NOT NULL").withColumn("session_id", F.col("_last.session_id"))
         tied = feedback.where(F.col("session_id").isNotNull()).select(*by, *fields).unionByName(placed.select(*by, *fields))
     return history.join(tied.select(*by, *fields), list(by), "left").withColumn("relevance_label", grade("feedback_type"))
 

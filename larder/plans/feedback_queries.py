@@ -22,7 +22,8 @@ def rows(t: Tables):
 
 
 HIST = f"SELECT session_id, user_id, recipe_id, event_id, position, impression_timestamp FROM ({BASE_I})"
-FEED = f"SELECT CASE WHEN event_id % 10 = 3 THEN NULL ELSE session_id END AS session_id, user_id, recipe_id, feedback_type, CAST(position AS INT) AS rating, feedback_timestamp FROM ({BASE_I}) WHERE feedback_type IS NOT NULL"
+# Some feedback arrives without its session, and some of it twice.
+FEED = f"SELECT CASE WHEN event_id % 10 = 3 THEN NULL ELSE session_id END AS session_id, user_id, recipe_id, feedback_type, CAST(position AS INT) AS rating, feedback_timestamp FROM (SELECT *, unnest(CASE WHEN event_id % 4 = 1 THEN [1, 2] ELSE [1] END) AS copy FROM ({BASE_I}) WHERE feedback_type IS NOT NULL)"
 
 
 def history(t: Tables):
@@ -30,12 +31,12 @@ def history(t: Tables):
 
 
 def feedback(t: Tables):
-    r = rows(t).where("feedback_type IS NOT NULL")
+    r = rows(t).where("feedback_type IS NOT NULL").withColumn("copy", F.explode(F.expr("sequence(1, IF(event_id % 4 = 1, 2, 1))")))
     return r.select(F.when(F.col("event_id") % 10 == 3, None).otherwise(F.col("session_id")).alias("session_id"), "user_id", "recipe_id", "feedback_type", F.col("position").alias("rating"), "feedback_timestamp")
 
 
 TIED = f"""SELECT * FROM ({FEED}) WHERE session_id IS NOT NULL UNION ALL SELECT s AS session_id, user_id, recipe_id, feedback_type, rating, feedback_timestamp FROM (
-  SELECT f.user_id, f.recipe_id, f.feedback_type, f.rating, f.feedback_timestamp, max_by(h.session_id, (h.impression_timestamp, h.session_id)) AS s FROM ({FEED}) f JOIN ({HIST}) h ON f.user_id = h.user_id AND f.recipe_id = h.recipe_id AND h.impression_timestamp <= f.feedback_timestamp
+  SELECT f.fid, f.user_id, f.recipe_id, f.feedback_type, f.rating, f.feedback_timestamp, max_by(h.session_id, (h.impression_timestamp, h.session_id)) AS s FROM (SELECT *, row_number() OVER () AS fid FROM ({FEED})) f JOIN ({HIST}) h ON f.user_id = h.user_id AND f.recipe_id = h.recipe_id AND h.impression_timestamp <= f.feedback_timestamp
   WHERE f.session_id IS NULL GROUP BY ALL)"""
 EXPORT = f"SELECT h.session_id, h.user_id, h.recipe_id, h.event_id, h.position, h.impression_timestamp, f.feedback_type, f.rating, {_G('f.feedback_type')} AS relevance_label FROM ({HIST}) h LEFT JOIN ({TIED}) f ON h.session_id = f.session_id AND h.user_id = f.user_id AND h.recipe_id = f.recipe_id"
 

@@ -133,9 +133,10 @@ def g14(t: Tables):
     return context(t).select("user_id", *[F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in _CXS])
 
 
-def signals(t: Tables):
+def signals(t: Tables, rows):
+    """Personal signals of scored candidates."""
     ask = requests(t).select("request_id", F.col("cust_no").alias("user_id"), F.col("want_cuisine").alias("pref_cuisine"), F.col("want_meal").alias("pref_meal"), F.lit(None).cast("string").alias("pref_region"), F.lit("main").alias("pref_category"))
-    rows = scored(t).join(ask, "request_id").join(context(t), "user_id", "left").withColumn("item_set", F.col("canon_set"))
+    rows = rows.join(ask, "request_id").join(context(t), "user_id", "left").withColumn("item_set", F.col("canon_set"))
     return rk.personal_signals(rows)
 
 
@@ -153,7 +154,7 @@ _SIG = ["cuisine_affinity", "meal_type_affinity", "category_affinity", "pantry_o
 
 @query("G12_personal_signals", f"WITH {SIGNALS} SELECT request_id, recipe_id, preferred_ingredient_match_count, {', '.join(sql_round(s, 6) + f' AS {s}' for s in _SIG)} FROM sg")
 def g12(t: Tables):
-    return signals(t).select("request_id", "recipe_id", "preferred_ingredient_match_count", *[rnd(s, 6).alias(s) for s in _SIG])
+    return signals(t, scored(t)).select("request_id", "recipe_id", "preferred_ingredient_match_count", *[rnd(s, 6).alias(s) for s in _SIG])
 
 
 _RAW = " + ".join(f"{w} * {c}" for c, w in rules.PERSONAL_GAINS.items()) + " + 0.15 * least(0.1 * preferred_ingredient_match_count, 0.3) - (" + " + ".join(f"{w} * {c}" for c, w in rules.PERSONAL_LOSSES.items()) + ")"
@@ -162,12 +163,13 @@ _ADJ = f"0.2 * greatest(-1.0, least(1.0, {_RAW}))"
 
 @query("G13_adjustment", f"WITH {SIGNALS} SELECT request_id, recipe_id, {sql_round(_ADJ, 6)} AS adjustment FROM sg")
 def g13(t: Tables):
-    return signals(t).select("request_id", "recipe_id", rnd(rk.adjustment(), 6).alias("adjustment"))
+    return signals(t, scored(t)).select("request_id", "recipe_id", rnd(rk.adjustment(), 6).alias("adjustment"))
 
 
-@query("G10_personal_rerank", f"WITH {SIGNALS} SELECT request_id, recipe_id, final_score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, hybrid_score DESC, recipe_id) AS rank FROM (SELECT *, {sql_round(f'greatest(0.0, hybrid_score + {_ADJ})', 6)} AS final_score FROM sg)) WHERE rank <= 5")
+@query("G10_personal_rerank", f"{FULL}, {SIGNALS} SELECT request_id, recipe_id, final_score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, hybrid_score DESC, recipe_id) AS rank FROM (SELECT *, {sql_round(f'greatest(0.0, hybrid_score + {_ADJ})', 6)} AS final_score FROM sg JOIN fp USING (request_id, recipe_id) WHERE passed)) WHERE rank <= 5")
 def g10(t: Tables):
-    rows = signals(t)
+    """Only candidates that passed the hard constraints are personalised, so a liked recipe that was rejected stays out."""
+    rows = signals(t, rk.score_candidates(eligible(t), requests(t), t.recipes, t.lines, nutrition(t), GOALS))
     # snap the adjustment noise before ordering, as the SQL twin does
     return rk.rerank(rows, 5).select("request_id", "recipe_id", rnd("final_score", 6).alias("final_score"), "rank")
 
@@ -266,11 +268,26 @@ def g20(t: Tables):
     return fb.macro_mean(per)
 
 
-@query("H23_constraint_violations", "SELECT CAST(0 AS BIGINT) AS violations FROM (SELECT count(*) FROM orders)")
+# The checks run on rankings with faults, so that they have something to count: rows that the hard constraints reject,
+# and second places given again with a last rank and too high a score.
+UNFILTERED = f"{FULL}, {SCORED}, un AS MATERIALIZED (SELECT request_id, recipe_id, hybrid_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_ORDER}) AS rank FROM sc) WHERE rank <= 5)"
+
+
+def unfiltered(t: Tables):
+    return rk.rank_hybrid(scored(t), 5)
+
+
+@query("H23_constraint_violations", f"{UNFILTERED} SELECT count(*) AS violations FROM un JOIN fp USING (request_id, recipe_id) WHERE NOT passed")
 def h23(t: Tables):
-    return rk.violation_count(recommendations(t), evaluated(t))
+    return rk.violation_count(unfiltered(t), evaluated(t))
 
 
-@query("D19_recommendation_checks", "SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("duplicate_recipes", "rank_gaps", "too_long", "order_broken", "score_out_of_range", "rejected_readmitted")) + " FROM (SELECT count(*) FROM orders)")
+@query("D19_recommendation_checks", f"""{UNFILTERED}, bad AS (SELECT * FROM un UNION ALL SELECT request_id, recipe_id, hybrid_score + 2, 9 FROM un WHERE rank = 2),
+per AS (SELECT request_id, count(*) AS n, count(DISTINCT recipe_id) AS ids, max(rank) AS last FROM bad GROUP BY 1)
+SELECT count(*) FILTER (n <> ids) AS duplicate_recipes, count(*) FILTER (last <> n) AS rank_gaps, count(*) FILTER (n > 5) AS too_long, (SELECT count(DISTINCT request_id) FROM bad WHERE rank = 9) AS order_broken,
+  (SELECT count(*) FROM bad WHERE hybrid_score > 1) AS score_out_of_range, (SELECT count(*) FROM bad JOIN fp USING (request_id, recipe_id) WHERE NOT passed) AS rejected_readmitted FROM per""")
 def d19(t: Tables):
-    return val.recommendation_checks(recommendations(t), 5, evaluated(t).where("NOT passed"))
+    again = F.explode(F.when(F.col("rank") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    bad = unfiltered(t).withColumn("again", again).withColumns(
+        {"rank": F.when(F.col("again") == 1, 9).otherwise(F.col("rank")), "hybrid_score": F.col("hybrid_score") + 2 * F.col("again")})
+    return val.recommendation_checks(bad, 5, evaluated(t).where("NOT passed"))

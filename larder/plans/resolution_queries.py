@@ -155,10 +155,24 @@ def b08(t: Tables):
     return res.link_lines(lines, t.canon, mapping).groupBy("ingredient", "ingredient_id", "canonical_ingredient", "mapping_status", "mapping_source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B09_link_invariants", "SELECT CAST(0 AS BIGINT) AS row_count_change, CAST(0 AS BIGINT) AS unknown_ids, CAST(0 AS BIGINT) AS bad_status, CAST(0 AS BIGINT) AS bad_source, CAST(0 AS BIGINT) AS review_not_blank FROM (SELECT count(*) FROM lineitem)")
+# One fault for each remainder of the line number by 4, and the second lines are lost.
+_FAULT = lambda n: f"count(*) FILTER (line_no % 4 = {n} AND line_no <> 2)"
+
+
+@query("B09_link_invariants", f"""SELECT count(*) FILTER (line_no = 2) AS row_count_change, {_FAULT(1)} AS unknown_ids, {_FAULT(2)} AS bad_status, {_FAULT(3)} AS bad_source, {_FAULT(0)} AS review_not_blank
+FROM lines JOIN foods f ON lines.l_partkey = f.food_code""")
 def b09(t: Tables):
     lines, mapping = link_inputs(t)
-    return res.link_invariants(lines, res.link_lines(lines, t.canon, mapping), t.canon)
+    linked = res.link_lines(lines, t.canon, mapping)
+    k = F.col("line_no") % 4
+    faulty = linked.where("line_no <> 2").withColumns(
+        {
+            "ingredient_id": F.when(k == 1, "ING99999").otherwise(F.col("ingredient_id")),
+            "display_name": F.when(k == 0, "Left over").otherwise(F.col("display_name")),
+            "mapping_status": F.when(k == 0, "REVIEW").when(k == 1, "MAPPED_CANONICAL").when(k == 2, "ODD").otherwise(F.col("mapping_status")),
+            "mapping_source": F.when(k == 0, "NONE").when(k == 1, "CANONICAL_DATABASE").when(k == 3, "ELSEWHERE").otherwise(F.col("mapping_source")),
+        })
+    return res.link_invariants(lines, faulty, t.canon)
 
 
 ALIAS_SOURCES = """
@@ -197,11 +211,15 @@ def b10(t: Tables):
     return res.compile_aliases(alias_sources(t))
 
 
-@query("B10_alias_parts", """
-SELECT recipe_id, trim(s) AS alias FROM (SELECT recipe_id, unnest(string_split_regex(p, '[/,]')) AS s FROM (SELECT recipe_id, unnest(regexp_extract_all(ingredients, '\\(([^)]+)\\)', 1)) AS p FROM recipes))
-WHERE length(trim(s)) >= 3""")
+# Every recipe gets parts that each of the four rules drops, beside two that stay.
+_NOTES = " (curd / dahi, ab, 2 cups of it, one two three four five, " + rules.NON_ALIAS_DESCRIPTORS[0] + ")"
+
+
+@query("B10_alias_parts", f"""
+SELECT recipe_id, trim(s) AS alias FROM (SELECT recipe_id, unnest(string_split_regex(p, '[/,]')) AS s FROM (SELECT recipe_id, unnest(regexp_extract_all(ingredients || {q(_NOTES)}, '\\(([^)]+)\\)', 1)) AS p FROM recipes))
+WHERE length(trim(s)) >= 3 AND NOT regexp_matches(s, '[0-9]') AND lower(trim(s)) NOT IN {in_list(rules.NON_ALIAS_DESCRIPTORS)} AND len(string_split_regex(trim(s), '\\s+')) <= 4""")
 def b10b(t: Tables):
-    return t.recipes.select("recipe_id", F.explode(res.alias_parts("ingredients")).alias("alias"))
+    return t.recipes.select("recipe_id", F.explode(res.alias_parts(F.concat("ingredients", F.lit(_NOTES)))).alias("alias"))
 
 
 _LIVE = "SELECT * FROM alias_rows WHERE review_status <> 'REJECTED'"

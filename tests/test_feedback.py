@@ -61,3 +61,14 @@ def test_metrics_by_hand(spark):
     ideal = 7 + 3 / math.log2(3)
     assert abs(got["q"].ndcg_5 - dcg / ideal) < 1e-9 and got["q"].mrr_10 == 0.5 and got["q"].recall_5 == 1.0
     assert got["z"].ndcg_5 == 0.0 and got["z"].mrr_10 == 0.0
+
+
+def test_feedback_without_a_session_goes_to_the_last_impression_before_it(spark):
+    shown = [("a", 1, 1), ("b", 1, 5), ("c", 1, 9), ("a", 2, 1)]
+    history = spark.createDataFrame([(s, "u", f"r{r}", at) for s, r, at in shown], "session_id string, user_id string, recipe_id string, impression_timestamp int")
+    given = [(None, 1, "LIKE", 7), (None, 1, "LIKE", 7), (None, 1, "SAVE", 9), ("a", 1, "HIDE", 2), ("a", 1, "HIDE", 2), (None, 2, "LIKE", 0), (None, 3, "LIKE", 4), (None, 1, "COOKED", None)]
+    feedback = spark.createDataFrame(
+        [(s, "u", f"r{r}", kind, None, at) for s, r, kind, at in given], "session_id string, user_id string, recipe_id string, feedback_type string, rating int, feedback_timestamp int"
+    )
+    got = sorted((r.session_id, r.recipe_id, r.feedback_type or "") for r in fb.export_interactions(history, feedback).collect())
+    assert got == [("a", "r1", "HIDE")] * 2 + [("a", "r2", ""), ("b", "r1", "LIKE"), ("b", "r1", "LIKE"), ("c", "r1", "SAVE")]
