@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.common import is_small
 from larder.llm.base import lowered_words, view
 from larder.llm.components import components
 from larder.sources.shared import materialize
@@ -20,6 +21,10 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 N_PIVOTS = 12
 #: Up to this many fingerprints with one key are compared shift by shift, more by a search from each one found.
 SHORT_RUN = 8
+#: Fingerprints with one key that are searched in one task; a larger run is dealt out as pairs of such blocks.
+KEY_BLOCK = 1 << 14
+#: Keys of more than KEY_BLOCK fingerprints that may go to every task, 16 bytes each.
+BROADCAST_KEYS = 1 << 18
 
 
 def _references(n: int) -> np.ndarray:
@@ -123,14 +128,34 @@ def _links(keys: np.ndarray, fps: np.ndarray, pivots: np.ndarray, max_bits: int)
     return fps[np.concatenate(left)], fps[np.concatenate(right)]
 
 
+def dealt_keys(distinct: DataFrame) -> DataFrame:
+    """``key, fp``: each fingerprint of ``fp`` under its 16 keys.
+
+    A key with more than KEY_BLOCK fingerprints is split by their hashes, and each
+    pair of its blocks is a key of its own, so that no task holds more than two
+    blocks however hot the key and every pair still meets. Those keys are hashes; if two
+    fall together, their fingerprints are compared too, which changes nothing.
+    """
+    keyed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KEY_BLOCK)
+    hot = materialize(sizes.select("key", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks")), "hot-keys")
+    if hot.isEmpty():
+        return keyed
+    hot = F.broadcast(hot) if is_small(hot, BROADCAST_KEYS) else hot
+    split = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
+    each = split.withColumn("other", F.explode(F.expr("sequence(0L, coalesce(blocks, 1L) - 1)")))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return each.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp")
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``a, b``: links that connect all fingerprints of ``fp`` within ``max_bits`` (at most 3) bits.
 
     Pairs with a common key are the candidates, which is complete. A task reads
-    its keys in order and holds one run of equal keys, 8 bytes and a table row
-    each; a long run is searched from one fingerprint to the next, so that a dense
-    group costs little more than its size, and yields a spanning forest, not all
-    pairs.
+    its keys in order and holds one run of equal keys, at most two blocks of
+    KEY_BLOCK or so, 8 bytes and a table row each; a long run is searched from one
+    fingerprint to the next, so that a dense group costs little more than its
+    size, and yields a spanning forest, not all pairs.
     """
     pivots = _references(N_PIVOTS)
 
@@ -154,8 +179,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     a, b = _links(keys[several], fps[several], pivots, max_bits)
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    dealt = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt_keys(distinct).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _then_none(batches: Iterator) -> Iterator:

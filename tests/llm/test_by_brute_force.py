@@ -57,7 +57,9 @@ def test_simhash_on_awkward_rows(odd_docs, odd_rows, no_docs):
     assert simhash.query(no_docs).collect() == []
 
 
-def test_links_connect_all_near_fingerprints(spark):
+@pytest.mark.parametrize("block", [simhash.KEY_BLOCK, 9])  # a key is one block, or is dealt out as pairs of blocks
+def test_links_connect_all_near_fingerprints(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "KEY_BLOCK", block)
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
