@@ -21,6 +21,11 @@ def view(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """All columns of ``df`` as the struct ``_row``, and the named ones beside it, so that no other column can clash."""
+    return df.select(F.struct("*").alias("_row"), *[F.col(f"`{c}`") for c in columns])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

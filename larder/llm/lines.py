@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.common import is_small
-from larder.llm.base import SPACE_CHARS, rows_of, view
+from larder.llm.base import SPACE_CHARS, packed, rows_of, view
 from larder.llm.components import components
 from larder.sources.shared import materialize
 
@@ -331,11 +331,12 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     Blank lines between kept ones stay.
     """
     pieces = F.filter(F.split("text", "\n", -1), lambda x, i: (F.btrim(x, F.lit(SPACE_CHARS)) == "") | F.array_contains("_lines", i))
-    changed = {"text": F.array_join(pieces, "\n")}
-    left = mark_lines(docs).where(F.size("_lines") > 0).withColumns(changed)
+    marked = mark_lines(packed(docs, "doc_id", "text")).where(F.size("_lines") > 0)
+    left = marked.select("_row", F.array_join(pieces, "\n").alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.base import WORD, view
+from larder.llm.base import WORD, packed, view
 from larder.sources.shared import materialize
 
 #: Bits of the hash that each level of the histogram resolves.
@@ -112,7 +112,7 @@ def cyclic_weights(sized: DataFrame, cycle: tuple[float, ...] = WEIGHTS) -> Data
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` plus ``_mix``: size, source_size, target, copies.
+    """``docs`` plus ``_mix``: size, source_size, target, copies; it takes the place of one ``docs`` has.
 
     Documents are never moved: only sizes are summed, and each row is compared
     with its source's threshold. The plan has one row per source and reaches the
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     texts have size 0 and are taken like others; rows of equal id fall on the
     same place and are taken together; a rerun takes the same documents.
     """
-    own = docs.select(
+    own = docs.drop("_mix").select(
         F.struct("*").alias("_row"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(F.col(f"`{id_col}`")).alias("_place")
     )
     sized = materialize(own.select("source", "size", "_place"), "sizes")
@@ -134,8 +134,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
 
 def repeated(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, with its own columns."""
-    mixed = mix(docs, weights)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    mixed = mix(packed(docs, "doc_id", "text", "source"), weights)
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.common import fence
-from larder.llm.base import SPACE_CHARS, view, words_of
+from larder.llm.base import SPACE_CHARS, packed, view, words_of
 
 
 class Rule(NamedTuple):
@@ -46,7 +46,7 @@ WINDOW = 5
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus a struct ``_quality`` of counts and ratios.
+    """All columns of ``docs`` plus a struct ``_quality`` of counts and ratios, which takes the place of one it has.
 
     One scan, no shuffle and no user function: every count is an array or string
     expression of the whole text, so a row needs no other row. A null text counts
@@ -57,7 +57,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     whole = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     empty = F.array().cast("array<bigint>")
-    start = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    start = docs.drop("_quality").select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     split = fence(start.select("_row", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines")))
     n = F.size("_words")
     window = F.transform(
@@ -138,7 +138,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that break no rule, with their own columns."""
-    return judge(docs, rules, text_col).where("_kept").select(*[f"`{c}`" for c in docs.columns])
+    return judge(packed(docs, text_col), rules, text_col).where("_kept").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

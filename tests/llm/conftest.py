@@ -23,7 +23,8 @@ def odd_rows():
 def odd_docs(spark, odd_rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(odd_rows, schema)
-    for name in ("words", "line", "id", "key", "size", "fp", "token", "h", "root", "path"):  # names that operators use inside
+    inside = "words line id key size fp token h root path _row _text _words _quality _kept _broken _lines _doc _own _mix _copy _drop".split()
+    for name in inside:  # names that operators use inside
         docs = docs.selectExpr("*", f"'clash' AS {name}")
     return docs
 
