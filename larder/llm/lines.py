@@ -265,27 +265,59 @@ def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(found, "band-links")
 
 
-def _position(doc_id: Column, at: Column) -> Column:
-    """Document id and line number in one decimal, ordered like the two."""
-    return (doc_id.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + at).cast("decimal(38,0)")
+def _times(number: Column) -> Column:
+    return number * F.lit(1 << 31).cast("decimal(10,0)")
+
+
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` plus ``_own``, one key per row, ordered by id (null last) and then by serial number.
+
+    An id that one row has needs no number. The others, rows without an id and
+    rows that share one, are written with a serial number each; rows that repeat
+    an id together with its text are one document and have the first one's key.
+    """
+    doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    key = lambda serial: (_times(F.coalesce(doc.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))) + serial).cast("decimal(30,0)")
+    counted = docs.select(doc.alias("_doc")).where("_doc IS NOT NULL").groupBy("_doc").agg(F.count(F.lit(1)).alias("_n"))
+    shared = materialize(counted.where("_n > 1").select("_doc"), "shared-ids")
+    nulls, known = docs.where(doc.isNull()), docs.where(doc.isNotNull())
+    if shared.isEmpty() and nulls.isEmpty():
+        return docs.withColumn("_own", key(F.lit(0)))
+    ids = F.broadcast(shared) if is_small(shared, BROADCAST_IDS) else shared
+    several, alone = (known.join(ids, doc == F.col("_doc"), how) for how in ("left_semi", "left_anti"))
+    odd = materialize(nulls.unionByName(several).withColumn("_serial", F.monotonically_increasing_id()), "shared-rows")
+    # The number of the task leads the serial number; offsets of the tasks make it dense.
+    part, offsets, total = F.shiftright("_serial", 33), [], 0
+    for r in odd.groupBy(part.cast("long").alias("part")).count().orderBy("part").collect():
+        offsets.append((r["part"], total))
+        total += r["count"]
+    if total >= 1 << 31:
+        raise ValueError(f"{total} rows without an id of their own are more than the serial numbers")
+    starts = F.broadcast(docs.sparkSession.createDataFrame(offsets, "_part long, _start long"))
+    odd = odd.join(starts, part == F.col("_part")).withColumn("_serial", F.col("_start") + F.col("_serial").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
+    unnamed, named = odd.where(doc.isNull()), odd.where(doc.isNotNull())
+    firsts = named.groupBy(doc.alias("_doc"), text.alias("_same")).agg(F.min("_serial").alias("_first"))
+    named = named.join(firsts, (doc == F.col("_doc")) & (text == F.col("_same")), "left").withColumn("_serial", F.coalesce("_first", "_serial"))
+    numbered = named.drop("_doc", "_same", "_first").unionByName(unnamed)
+    return alone.withColumn("_own", key(F.lit(0))).unionByName(numbered.withColumn("_own", key(F.col("_serial"))).drop("_serial"))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """The lines to keep: ``doc_id, lines`` (array of line numbers from 0) per document that has any.
+    """The lines to keep: ``_own, lines`` (array of line numbers from 0) per row key of ``row_keys`` that has any.
 
     Lines are compared without white space at their ends; those without words
     are not judged. Equal lines are one node. Lines are similar when their sets of
     SHINGLE-character shingles have a Jaccard similarity of SIMILARITY or more;
-    a component of similar lines keeps its first line by document id and place.
+    a component of similar lines keeps its first line by row key and place.
 
     Each band links its lines to one hub, a frequent line where there is one;
     candidates are verified exactly; then lines of a band that are still apart are
     compared with each other, so that no candidate pair goes untested, while a
     family of near copies costs little more than a comparison for each.
     """
-    own = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
-    own = own.select("doc_id", "at", F.btrim("raw", F.lit(SPACE_CHARS)).alias("line")).where("line != ''")
-    place = _position(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("at"))
+    own = docs.select("_own", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    own = own.select("_own", "at", F.btrim("raw", F.lit(SPACE_CHARS)).alias("line")).where("line != ''")
+    place = (_times(F.col("_own")) + F.col("at")).cast("decimal(38,0)")
     grouped = own.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).sortWithinPartitions(F.desc("n"))
     # Frequent lines come first in their partition; the row number leads the id, so that they have small ids.
     serial = F.monotonically_increasing_id()
@@ -308,21 +340,21 @@ def first_lines(docs: DataFrame) -> DataFrame:
     keep = materialize(linked.groupBy("root").agg(F.min("first").alias("keep")), "kept-lines")
     losers = linked.join(keep, "root").where("first != keep").select("first")
     firsts = lines.select("first").join(losers, "first", "left_anti")
-    base = F.lit(1 << 31).cast("decimal(10,0)")
-    doc = F.floor(F.col("first") / base).cast("long")
-    firsts = firsts.select(doc.alias("doc_id"), (F.col("first") - doc.cast("decimal(28,0)") * base).cast("int").alias("at"))
-    return firsts.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("lines"))
+    row = F.floor(F.col("first") / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(30,0)")
+    firsts = firsts.select(row.alias("_own"), (F.col("first") - _times(row)).cast("int").alias("at"))
+    return firsts.groupBy("_own").agg(F.sort_array(F.collect_list("at")).alias("lines"))
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``_lines``, the numbers of the lines to keep (empty where none is; null text has none).
 
-    Rows that repeat an id count as one document: their lines at equal places stand or fall together.
+    Rows are judged one by one, those without an id or with an id of several texts too;
+    only rows that repeat an id and its text are one document, whose lines stand or fall together.
     """
-    keep = first_lines(view(docs, doc_id=id_col, text=text_col)).toDF("_doc", "_lines")
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
-    joined = docs.withColumn("_own", own).join(keep, F.col("_own") == F.col("_doc"), "left")
-    return joined.withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>"))).drop("_own", "_doc")
+    keyed = row_keys(docs, id_col, text_col)
+    keep = first_lines(view(keyed, _own="_own", text=text_col)).toDF("_key", "_lines")
+    joined = keyed.join(keep, F.col("_own") == F.col("_key"), "left")
+    return joined.withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>"))).drop("_own", "_key")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
