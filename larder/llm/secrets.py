@@ -12,9 +12,11 @@ from larder.functions.common import fence
 from larder.llm.base import view, words_of
 from larder.sources.shared import materialize
 
-#: A candidate is a run of these characters inside a word, of this length at least.
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
-MIN_LENGTH = 16
+#: A candidate is a run of these characters inside a word: of MIN_LENGTH with a digit, in a vendor's
+#: format, or of SHORT_LENGTH after an announcing word or an assignment.
+MIN_LENGTH, SHORT_LENGTH = 16, 4
+CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{SHORT_LENGTH},}}={{0,2}}"
+LONG_CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}"
 #: Words taken on each side.
 NEIGHBOURS = 3
 #: At most so many labelled findings, those with the smallest hashes, train the forest.
@@ -40,6 +42,9 @@ ANNOUNCING = "key keys token secret password passwd pwd apikey api_key access_ke
 EXAMPLES = "example sample dummy placeholder changeme xxxx test fake 12345678 abcdef"
 VENDORS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{16,}"
 
+#: Text that ends with an assignment.
+ASSIGNED = r"[=:]\s*[\"'`(\[{<]*$"
+
 FEATURES = [
     "length", "case_changes", "digit_changes", "symbol_changes", "digit_share", "upper_share", "vowel_share", "distinct_share", "hex_only", "coverage",
     "longest_letters", "assigned", "quoted", "path_example", "path_config", "near_secret", "near_example", "near_letters",
@@ -51,12 +56,20 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
 
     One projection over the words of each whole text; only the words that hold a
     candidate leave it, with their neighbours. Null and empty texts have none.
+    Whether a candidate is prose is left to the forest.
     """
-    split = fence(docs.select("doc_id", path.alias("path"), words_of(F.col("text")).alias("words")))
+    split = docs.select("doc_id", path.alias("path"), words_of(F.col("text")).alias("words"))
+    split = fence(fence(split).withColumn("announced", F.transform("words", lambda w: _has_word(F.lower(w), ANNOUNCING))))
     word = lambda i: F.get(F.col("words"), i)
+    announced = lambda i: F.coalesce(F.get(F.col("announced"), i), F.lit(False))
+    follows = lambda i: (
+        announced(i) | announced(i - 1) | announced(i - 2) | announced(i - 3) | word(i).rlike("[=:]") | F.coalesce(word(i - 1).rlike(ASSIGNED), F.lit(False))
+    )
     places = F.filter(
         F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (F.length(word(i)) >= MIN_LENGTH) & word(i).rlike(CANDIDATE) & word(i).rlike("[0-9]"),
+        lambda i: (F.length(word(i)) >= SHORT_LENGTH)
+        & word(i).rlike(CANDIDATE)
+        & ((word(i).rlike(LONG_CANDIDATE) & word(i).rlike("[0-9]")) | word(i).rlike(VENDORS.replace("^", "").replace("$", "")) | follows(i)),
     )
     around = lambda start, stop: F.lower(F.array_join(F.slice("words", start, stop), " "))
     found = split.select("doc_id", "path", "words", F.explode(places).alias("place")).select(
@@ -65,11 +78,18 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
         around(F.col("place") + 2, F.lit(NEIGHBOURS)).alias("after"),
     )
     parts = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "candidate"))
-    return parts.withColumn("prefix", F.lower(F.expr("substring_index(word, candidate, 1)"))).where(F.col("candidate").rlike("[0-9]"))
+    parts = fence(parts.withColumn("prefix", F.lower(F.expr("substring_index(word, candidate, 1)"))))
+    c, leading = F.col("candidate"), F.concat_ws(" ", "before", "prefix")
+    follows = _has_word(leading, ANNOUNCING) | (leading.rlike(ASSIGNED) & ~c.rlike("^//"))
+    return parts.where((c.rlike(LONG_CANDIDATE) & c.rlike("[0-9]")) | c.rlike(VENDORS) | follows)
+
+
+def _has_word(text: Column, words: str) -> Column:
+    return text.rlike(r"(?:^|[^a-z])(?:" + "|".join(words.split()) + r")(?:[^a-z]|$)")
 
 
 def _with_word(text: Column, words: str) -> Column:
-    return text.rlike(r"(?:^|[^a-z])(?:" + "|".join(words.split()) + r")(?:[^a-z]|$)").cast("double")
+    return _has_word(text, words).cast("double")
 
 
 def features(found: DataFrame) -> DataFrame:
