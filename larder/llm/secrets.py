@@ -19,7 +19,7 @@ CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{SHORT_LENGTH},}}={{0,2}}"
 LONG_CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}"
 #: Words taken on each side.
 NEIGHBOURS = 3
-#: At most so many labelled findings, those with the smallest hashes, train the forest.
+#: At most so many labelled findings, half of each label, train the forest.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 6, 7
 THRESHOLD = 0.5
@@ -144,11 +144,17 @@ def labelled(described: DataFrame) -> DataFrame:
 def train(findings: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
     """A forest over FEATURES of labelled findings; None unless both labels occur.
 
-    The bounded sample is the ``rows`` findings with the smallest hashes, in one
-    sorted partition, so that a rerun trains the same forest.
+    Copies of a finding, candidate and neighbours alike, count once for a label.
+    The bounded sample is, of each label, the ``rows // 2`` findings with the
+    smallest hashes, in one sorted partition, so that a rerun trains the same
+    forest and neither copies nor a common label crowd the other label out.
     """
-    key = F.xxhash64("candidate", "before", "after")
-    sample = findings.select(*FEATURES, "label", key.alias("_key")).orderBy("_key", *FEATURES).limit(rows).coalesce(1)
+    same = ["candidate", "before", "after", "label"]
+    distinct = findings.groupBy(*same).agg(F.min(F.struct(*FEATURES)).alias("_own"))
+    distinct = distinct.select(F.xxhash64("candidate", "before", "after").alias("_key"), "_own.*", "label")
+    order = ["_key", *FEATURES]
+    halves = [distinct.where(F.col("label") == label).orderBy(*order).limit(rows // 2) for label in (0.0, 1.0)]
+    sample = halves[0].unionByName(halves[1]).coalesce(1).sortWithinPartitions(*order, "label").select(*FEATURES, "label")
     sample = materialize(sample, "secret-sample")
     if sample.select("label").distinct().count() < 2:
         return None
