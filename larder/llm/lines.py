@@ -18,10 +18,12 @@ SHINGLE, SIMILARITY = 7, 0.8
 #: 12 bands of 4 rows: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.3 with 0.1.
 BANDS, ROWS = 12, 4
 SLOTS = BANDS * ROWS
-#: Lines of at most LONG characters have one minimum per hash function; of at least SHORT, one
-#: hash function with a minimum per slot. Lines in between have both, so that two lines of like
-#: length always have one kind in common.
+#: Lines of at most LONG different shingles have one minimum per hash function; of at least SHORT shingles,
+#: repeats counted, one hash function with a minimum per slot; many lines have both. The sets of two like lines
+#: differ in size by no more than the factor SIMILARITY: both have the first kind, or both have SHORT or more.
 SHORT, LONG = 112, 160
+#: Shingles of a longer line that are looked at before all of them are.
+FIRST = 256
 #: Characters that a task hashes at once.
 BLOCK_CHARS = 1 << 21
 #: Ids of 8 bytes that may go to every task.
@@ -67,6 +69,18 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(sums[inside]), counts
 
 
+def _few_distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each line has at most LONG different shingles; a line that shows more in its first ones is not looked through."""
+    few, starts = counts <= LONG, np.cumsum(counts) - counts
+    rest = np.flatnonzero(~few)
+    for part in np.array_split(rest, len(rest) // 4096 + 1):
+        at = starts[part, None] + np.minimum(np.arange(FIRST)[None, :], counts[part, None] - 1)
+        first = np.sort((hashes[at] >> np.uint64(32)).astype(np.uint32), axis=1)
+        for i in part[(first[:, 1:] != first[:, :-1]).sum(axis=1) < LONG]:
+            few[i] = len(np.unique(hashes[starts[i] : starts[i] + counts[i]])) <= LONG
+    return few
+
+
 def _many_functions(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     at, high = np.r_[0, np.cumsum(counts)[:-1]], (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(counts), SLOTS), np.uint32)
@@ -105,7 +119,7 @@ def band_rows(lines: DataFrame) -> DataFrame:
     def block(ids: list[int], lines: list[str]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _shingle_hashes(lines)
         owner, ids = np.repeat(np.arange(len(counts)), counts), np.array(ids, np.int64)
-        for kind, chosen, sign in ((0, counts <= LONG, _many_functions), (1, counts >= SHORT, _one_function)):
+        for kind, chosen, sign in ((0, _few_distinct(hashes, counts), _many_functions), (1, counts >= SHORT, _one_function)):
             if chosen.any():
                 keys = _band_keys(sign(hashes[chosen[owner]], counts[chosen]), kind)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[chosen], BANDS))], names=["key", "id"])
