@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.common import is_small
-from larder.llm.base import lowered_words, view
+from larder.llm.base import lowered_words, packed, view
 from larder.llm.components import components
 from larder.sources.shared import materialize
 
@@ -187,6 +187,19 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
+def component_labels(printed: DataFrame) -> DataFrame:
+    """``fp, root, component_id`` of the fingerprints whose component has several rows of ``printed`` (``doc_id, fp``)."""
+    nodes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    up = components(links(nodes.select("fp")))
+    n, u = nodes.alias("n"), up.alias("u")
+    rooted = materialize(
+        n.join(u, F.col("n.fp") == F.col("u.node"), "left").select("n.fp", "least", "n", F.coalesce("u.root", "n.fp").alias("root")), "rooted"
+    )
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
+    groups = materialize(groups.where("rows > 1").select("root", "component_id"), "groups")
+    return materialize(rooted.join(groups, "root").select("fp", "root", "component_id"), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable, its own included) for each row.
 
@@ -196,23 +209,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only for fingerprints that occur twice or are linked.
     """
     printed = materialize(fingerprints(view(docs, doc_id=id_col, text=text_col)), "fingerprints")
-    nodes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    up = components(links(nodes.select("fp")))
-    n, u = nodes.alias("n"), up.alias("u")
-    rooted = materialize(
-        n.join(u, F.col("n.fp") == F.col("u.node"), "left").select("n.fp", "least", "n", F.coalesce("u.root", "n.fp").alias("root")), "rooted"
-    )
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
-    groups = materialize(groups.where("rows > 1").select("root", "component_id"), "groups")
-    labels = materialize(rooted.join(groups, "root").select(F.col("fp"), "component_id"), "labels")
+    labels = component_labels(printed)
     return printed.join(labels, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with ``doc_id, text``) whose id is the smallest of its component."""
-    found = near_duplicates(docs)
-    drop = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    """The rows of ``docs`` (with ``doc_id, text``) that come first in their component, by id (null last) and then by a serial number.
+
+    Rows are written once with the serial number, so that each is kept or dropped
+    by itself: rows without an id, rows that repeat one, and texts of one id in
+    different components.
+    """
+    rows = materialize(packed(docs, "doc_id", "text").withColumn("_serial", F.monotonically_increasing_id()), "numbered")
+    printed = materialize(fingerprints(rows.select("doc_id", "_serial", "text")), "fingerprints")
+    members = materialize(printed.join(component_labels(printed), "fp").select("root", "doc_id", "_serial"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_serial")
+    firsts = materialize(members.groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first._serial").alias("_keep")), "firsts")
+    drop = members.join(firsts, "root").where(F.col("_serial") != F.col("_keep")).select("_serial")
+    return rows.join(drop, "_serial", "left_anti").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
