@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import exact, lines, markov, mixing, pieces, quality, secrets, simhash, urls, warc
+from larder.llm import exact, extract, lines, markov, mixing, phrases, pieces, quality, runs, secrets, simhash, urls, warc
 
 
 def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": _over("documents", pieces.query),
     "op9_simhash": _over("documents", simhash.query),
     "op10_markov_scores": _over("documents", markov.query),
+    "op11_html_extraction": _over("pages", extract.query),
+    "op12_phrase_mining": _over("documents", phrases.query),
+    "op13_periodic_runs": _over("documents", runs.query),
 }
 
 ORACLE: dict[str, str] = {
@@ -31,4 +34,5 @@ ORACLE: dict[str, str] = {
     "op2_url_filters": urls.SQL,
     "op3_exact_dedup": exact.SQL,
     "op6_source_mixing": mixing.SQL,
+    "op12_phrase_mining": phrases.SQL,
 }
