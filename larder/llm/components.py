@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.sources.shared import materialize
+from larder.sources.shared import materialize, scratch
 
 #: A task folds its edges into a forest whenever it holds this many.
 FOLD_EDGES = 1 << 20
@@ -64,16 +64,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     start = edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root"))
-    now = materialize(fold(start), "edges")
-    while True:
-        forest = materialize(fold(now.repartition("node")), "forest")
-        up = materialize(forest.groupBy("node").agg(F.min("root").alias("root")), "parents")
-        f, u = forest.alias("f"), up.alias("u")
-        skipped = f.join(u, F.col("f.root") == F.col("u.node"), "left").select(
-            F.col("f.node"), F.coalesce("u.root", "f.root").alias("root"), F.col("u.root").isNotNull().alias("moved")
-        )
-        now = materialize(skipped, "edges")
-        rows, moved = now.agg(F.count(F.lit(1)), F.count(F.when(F.col("moved"), 1))).first()
-        if moved == 0 and rows == up.count():
-            return up
-        now = now.select("node", "root")
+    with scratch(edges.sparkSession) as result:
+        with scratch(edges.sparkSession) as keep:
+            now = keep(materialize(fold(start), "edges"))
+        while True:
+            with scratch(edges.sparkSession) as keep:  # a round leaves one table
+                forest = materialize(fold(now.repartition("node")), "forest")
+                up = materialize(forest.groupBy("node").agg(F.min("root").alias("root")), "parents")
+                f, u = forest.alias("f"), up.alias("u")
+                skipped = f.join(u, F.col("f.root") == F.col("u.node"), "left").select(
+                    F.col("f.node"), F.coalesce("u.root", "f.root").alias("root"), F.col("u.root").isNotNull().alias("moved")
+                )
+                after = materialize(skipped, "edges")
+                rows, moved = after.agg(F.count(F.lit(1)), F.count(F.when(F.col("moved"), 1))).first()
+                if moved == 0 and rows == up.count():
+                    return result(keep(up))
+                now = keep(after).select("node", "root")

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.common import is_small
+from larder.functions.common import global_row_number, is_small
 from larder.llm.base import SPACE_CHARS, packed, rows_of, view
 from larder.llm.components import components
-from larder.sources.shared import materialize
+from larder.sources.shared import materialize, scratch
 
 SHINGLE, SIMILARITY = 7, 0.8
 #: 12 bands of 4 rows: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.3 with 0.1.
@@ -25,11 +25,11 @@ SHORT, LONG = 112, 160
 #: Shingles of a longer line that are looked at before all of them are.
 FIRST = 256
 #: Characters that a task hashes at once.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 18
 #: Ids of 8 bytes that may go to every task.
 BROADCAST_IDS = 1 << 20
 #: Lines of a band that are compared with each other in one task; a larger band is dealt out as pairs of such blocks.
-BAND_BLOCK = 1 << 11
+BAND_BLOCK = 1 << 10
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -139,58 +139,124 @@ def band_rows(lines: DataFrame) -> DataFrame:
     return lines.select("id", "line").mapInArrow(run, "key long, id long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of rows sorted by the first, in blocks that end where a key ends."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        end = np.searchsorted(held[0], held[0][-1])
-        if end:
-            yield tuple(x[:end] for x in held)
-            held = [x[end:] for x in held]
-    if held is not None:
-        yield tuple(held)
-
-
 def shared_bands(bands: DataFrame) -> DataFrame:
-    """``key, id, hub`` of the keys that several lines have; the hub of a key is its smallest id."""
+    """``key, id, hub`` of the keys that several lines have; the hub of a key is its smallest id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids in _runs(batches):
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            hubs = np.repeat(np.minimum.reduceat(ids, starts), sizes)
-            several = np.repeat(sizes > 1, sizes)
-            if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (keys, ids, hubs)], names=["key", "id", "hub"])
+    Rows come in order of key and id, so the first of a key is its hub and a task
+    remembers one row, however many have the key.
+    """
 
-    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long, hub long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, id and hub of the row before, and whether it went out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = (c.to_numpy() for c in batch.columns)
+            if last:
+                keys, ids = np.r_[last[0], keys], np.r_[last[1], ids]
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            run_of = np.cumsum(new) - 1
+            hubs = ids[np.flatnonzero(new)][run_of]
+            if last:
+                hubs[: np.searchsorted(run_of, 1)] = last[2]
+            several = ~new | np.r_[~new[1:], False]
+            if last:
+                several[0] |= last[1] != last[2]
+            out = several.copy()
+            if last and last[3]:
+                out[0] = False
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (keys, ids, hubs)], names=["key", "id", "hub"])
+            last = int(keys[-1]), int(ids[-1]), int(hubs[-1]), bool(several[-1])
+
+    return bands.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, hub long")
 
 
 def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
+class ShingleSets:
+    """The sets of shingles of some lines as sorted numbers, one after the other; equal numbers are equal shingles."""
+
+    def __init__(self, lines: list[str]):
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        wide = np.maximum(sizes, SHINGLE)
+        ends = np.cumsum(wide)
+        codes = np.full(int(ends[-1]), 0x110000, np.uint32)  # no character: what a short line is filled up with
+        text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[np.arange(len(text)) + np.repeat(ends - wide - np.cumsum(sizes) + sizes, sizes)] = text
+        count = wide - SHINGLE + 1
+        owner = np.repeat(np.arange(len(lines)), count)
+        at = np.arange(len(owner)) + np.repeat(ends - wide - np.cumsum(count) + count, count)
+        hashes = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
+        for k in range(SHINGLE):
+            hashes += codes[k : k + len(hashes)] * _STEPS[k]
+        _, model, number = np.unique(_mix(hashes)[at], return_index=True, return_inverse=True)
+        differ = np.zeros(len(at), bool)
+        for k in range(SHINGLE):
+            differ |= codes[at + k] != codes[at[model[number]] + k]
+        self.distinct = len(model)
+        if differ.any():  # equal hashes of different shingles
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, SHINGLE)[at])
+            found, number = np.unique(windows.view(f"V{4 * SHINGLE}").ravel(), return_inverse=True)
+            self.distinct = len(found)
+        self.order(owner, number)
+
+    def order(self, owner: np.ndarray, number: np.ndarray) -> None:
+        pairs = np.unique(owner * self.distinct + number)
+        self.owner, self.flat = np.divmod(pairs, self.distinct)
+        self.sizes = np.bincount(self.owner)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self._mark = np.zeros(self.distinct, bool)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def like(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` (not empty) have a Jaccard similarity of SIMILARITY or more with line ``i``."""
+        size, own = self.sizes[others], self.of(i)
+        self._mark[own] = True
+        heads = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(self.starts[others] - heads, size)
+        common = np.add.reduceat(self._mark[self.flat[at]], heads, dtype=np.int64)
+        self._mark[own] = False
+        return common >= SIMILARITY * (size + len(own) - common)
+
+    def fits(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` whose size allows the similarity."""
+        size = self.sizes[others]
+        return others[np.minimum(size, self.sizes[i]) >= SIMILARITY * np.maximum(size, self.sizes[i])]
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose exact Jaccard similarity reaches SIMILARITY."""
-    last, own = None, frozenset()
-    for batch in batches:
-        a, b = [], []
-        for i, j, left, right in rows_of(iter([batch]), "a", "b", "left", "right"):
-            if left != last:
-                last, own = left, shingles(left)
-            other = shingles(right)
-            low, high = sorted((len(own), len(other)))
-            if low < SIMILARITY * high:
-                continue
-            common = len(own & other)
-            if common >= SIMILARITY * (low + high - common):
-                a.append(i)
-                b.append(j)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def block(rows: list[tuple]) -> pa.RecordBatch:
+        at: dict[str, int] = {}
+        pairs = [(at.setdefault(left, len(at)), at.setdefault(right, len(at))) for _, _, left, right in rows]
+        sets = ShingleSets(list(at))
+        one, two = np.array(pairs, np.int64).T
+        order = np.argsort(one, kind="stable")
+        good = []
+        for part in np.split(order, np.flatnonzero(np.diff(one[order])) + 1):
+            line = one[part[0]]
+            size = sets.sizes[two[part]]
+            part = part[np.minimum(size, sets.sizes[line]) >= SIMILARITY * np.maximum(size, sets.sizes[line])]
+            if len(part):
+                good.append(part[sets.like(line, two[part])])
+        good = np.concatenate(good) if good else order[:0]
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][c] for i in good], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    held, size = [], 0
+    for row in rows_of(batches, "a", "b", "left", "right"):
+        held.append(row)
+        size += len(row[3])
+        if size >= BLOCK_CHARS:
+            yield block(held)
+            held, size = [], 0
+    if held:
+        yield block(held)
 
 
 def candidate_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -209,29 +275,40 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
     """Links between the components of one block of a band, or across two, by exact similarity.
 
-    Every line outside the largest component asks an inverted index of the
-    shingles how many it shares with each other line, so all pairs that are still
-    apart are compared, without a row or a set operation for each. Where
-    ``sides`` tells two blocks apart, pairs inside one are left to its own task.
+    Of two similar lines each has more than the rest of the other's shingles, so
+    they share one among their n - ceil(SIMILARITY * n) + 1 rarest: an index of
+    those gives every line outside the largest component its candidates, all of
+    which are compared. Where ``sides`` tells two blocks apart, pairs inside one
+    are left to its own task.
     """
     across = sides.any() and not sides.all()
-    numbers: dict[str, int] = {}
-    sets = [np.fromiter({numbers.setdefault(x, len(numbers)) for x in shingles(line)}, np.int64) for line in lines]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    owner, ends = owner[order], np.cumsum(np.bincount(flat, minlength=len(numbers)))
-    starts = np.r_[0, ends[:-1]]
-    names, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
-    found = []
+    sets = ShingleSets(lines)
+    counts = np.bincount(sets.flat, minlength=sets.distinct)
+    rank = np.empty(sets.distinct, np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(sets.distinct)
+    sets.order(sets.owner, rank[sets.flat])  # rare shingles first
+    rare = sets.sizes - np.ceil(SIMILARITY * sets.sizes - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(sets.flat)) - sets.starts[sets.owner] < rare[sets.owner]
+    number, owner = sets.flat[first], sets.owner[first]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    _, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    found, near = [], np.zeros(len(lines), bool)
     for q in np.flatnonzero(part != counts.argmax()):
-        shared = np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in sets[q]]), minlength=len(sets))
-        near = shared >= SIMILARITY * (sizes + sizes[q] - shared)
+        own = sets.of(q)[: rare[q]]
+        begins, ends = np.searchsorted(number, own), np.searchsorted(number, own, "right")
+        near[:] = False
+        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+            if end - begin > 1:
+                near[owner[begin:end]] = True
+        near &= part != part[q]
         if across:
             near &= sides != sides[q]
-        for name in np.unique(part[near]):
-            if name != part[q]:
-                found.append((int(ids[q]), int(ids[np.flatnonzero(near & (part == name))[0]])))
+        others = sets.fits(q, np.flatnonzero(near))
+        if len(others):
+            others = others[sets.like(q, others)]
+            _, one = np.unique(part[others], return_index=True)
+            found.extend((int(ids[q]), int(ids[i])) for i in others[one])
     return found
 
 
@@ -284,12 +361,19 @@ def _times(number: Column) -> Column:
 
 
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` plus ``_own``, one key per row, ordered by id (null last) and then by serial number.
+    """``docs`` plus ``_own``, one key per row, ordered by id (null last) and then by a serial number.
 
     An id that one row has needs no number. The others, rows without an id and
     rows that share one, are written with a serial number each; rows that repeat
     an id together with its text are one document and have the first one's key.
+    Ids that are no whole numbers are ranked first. Up to 2^31 rows may share
+    their ids with other texts; rows without an id may be any number.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        own = materialize(docs.select(F.col(f"`{id_col}`").alias("_named")).where("_named IS NOT NULL").distinct(), "ids")
+        ranks = materialize(global_row_number(own, ["_named"], "_ranked"), "ranked-ids")
+        ranked = docs.join(ranks, F.col(f"`{id_col}`") == F.col("_named"), "left").drop("_named")
+        return row_keys(ranked, "_ranked", text_col).drop("_ranked")
     doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     key = lambda serial: (_times(F.coalesce(doc.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))) + serial).cast("decimal(30,0)")
     counted = docs.select(doc.alias("_doc")).where("_doc IS NOT NULL").groupBy("_doc").agg(F.count(F.lit(1)).alias("_n"))
@@ -299,17 +383,17 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return docs.withColumn("_own", key(F.lit(0)))
     ids = F.broadcast(shared) if is_small(shared, BROADCAST_IDS) else shared
     several, alone = (known.join(ids, doc == F.col("_doc"), how) for how in ("left_semi", "left_anti"))
-    odd = materialize(nulls.unionByName(several).withColumn("_serial", F.monotonically_increasing_id()), "shared-rows")
+    unnamed = materialize(nulls.withColumn("_serial", F.monotonically_increasing_id()), "unnamed-rows")
+    named = materialize(several.withColumn("_serial", F.monotonically_increasing_id()), "shared-rows")
     # The number of the task leads the serial number; offsets of the tasks make it dense.
     part, offsets, total = F.shiftright("_serial", 33), [], 0
-    for r in odd.groupBy(part.cast("long").alias("part")).count().orderBy("part").collect():
+    for r in named.groupBy(part.cast("long").alias("part")).count().orderBy("part").collect():
         offsets.append((r["part"], total))
         total += r["count"]
     if total >= 1 << 31:
-        raise ValueError(f"{total} rows without an id of their own are more than the serial numbers")
+        raise ValueError(f"{total} rows that share an id with another text are more than the serial numbers")
     starts = F.broadcast(docs.sparkSession.createDataFrame(offsets, "_part long, _start long"))
-    odd = odd.join(starts, part == F.col("_part")).withColumn("_serial", F.col("_start") + F.col("_serial").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
-    unnamed, named = odd.where(doc.isNull()), odd.where(doc.isNotNull())
+    named = named.join(starts, part == F.col("_part")).withColumn("_serial", F.col("_start") + F.col("_serial").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
     firsts = named.groupBy(doc.alias("_doc"), text.alias("_same")).agg(F.min("_serial").alias("_first"))
     named = named.join(firsts, (doc == F.col("_doc")) & (text == F.col("_same")), "left").withColumn("_serial", F.coalesce("_first", "_serial"))
     numbered = named.drop("_doc", "_same", "_first").unionByName(unnamed)
@@ -329,34 +413,35 @@ def first_lines(docs: DataFrame) -> DataFrame:
     compared with each other, so that no candidate pair goes untested, while a
     family of near copies costs little more than a comparison for each.
     """
-    own = docs.select("_own", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
-    own = own.select("_own", "at", F.btrim("raw", F.lit(SPACE_CHARS)).alias("line")).where("line != ''")
-    place = (_times(F.col("_own")) + F.col("at")).cast("decimal(38,0)")
-    grouped = own.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).sortWithinPartitions(F.desc("n"))
-    # Frequent lines come first in their partition; the row number leads the id, so that they have small ids.
-    serial = F.monotonically_increasing_id()
-    spread = F.shiftleft(serial.bitwiseAND(F.lit((1 << 33) - 1)), 30).bitwiseOR(F.shiftright(serial, 33))
-    lines = materialize(grouped.select(spread.alias("id"), "line", "first"), "lines")
-
-    members = materialize(shared_bands(band_rows(lines)), "bands")
-    pairs = materialize(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    texts = candidate_lines(pairs, lines)
-    similar = verified(pairs, texts)
-    up = components(similar)
-    m, u = members.alias("m"), up.alias("u")
-    rooted = m.join(u, F.col("m.id") == F.col("u.node"), "left").select("m.key", "m.id", F.coalesce("u.root", "m.id").alias("root"))
-    more = band_links(materialize(rooted, "rooted-bands"), texts)
-    if not more.isEmpty():
-        up = components(similar.unionByName(more))
-
-    nodes = up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
-    linked = materialize(lines.select("id", "first").join(nodes, F.col("id") == F.col("node")).select("first", "root"), "linked")
-    keep = materialize(linked.groupBy("root").agg(F.min("first").alias("keep")), "kept-lines")
-    losers = linked.join(keep, "root").where("first != keep").select("first")
-    firsts = lines.select("first").join(losers, "first", "left_anti")
-    row = F.floor(F.col("first") / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(30,0)")
-    firsts = firsts.select(row.alias("_own"), (F.col("first") - _times(row)).cast("int").alias("at"))
-    return firsts.groupBy("_own").agg(F.sort_array(F.collect_list("at")).alias("lines"))
+    with scratch(docs.sparkSession) as keep_table:
+        own = docs.select("_own", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+        own = own.select("_own", "at", F.btrim("raw", F.lit(SPACE_CHARS)).alias("line")).where("line != ''")
+        place = (_times(F.col("_own")) + F.col("at")).cast("decimal(38,0)")
+        grouped = own.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).sortWithinPartitions(F.desc("n"))
+        # Frequent lines come first in their partition; the row number leads the id, so that they have small ids.
+        serial = F.monotonically_increasing_id()
+        spread = F.shiftleft(serial.bitwiseAND(F.lit((1 << 33) - 1)), 30).bitwiseOR(F.shiftright(serial, 33))
+        lines = materialize(grouped.select(spread.alias("id"), "line", "first"), "lines")
+
+        members = materialize(shared_bands(band_rows(lines)), "bands")
+        pairs = materialize(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        texts = candidate_lines(pairs, lines)
+        similar = verified(pairs, texts)
+        up = components(similar)
+        m, u = members.alias("m"), up.alias("u")
+        rooted = m.join(u, F.col("m.id") == F.col("u.node"), "left").select("m.key", "m.id", F.coalesce("u.root", "m.id").alias("root"))
+        more = band_links(materialize(rooted, "rooted-bands"), texts)
+        if not more.isEmpty():
+            up = components(similar.unionByName(more))
+
+        nodes = up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
+        linked = materialize(lines.select("id", "first").join(nodes, F.col("id") == F.col("node")).select("first", "root"), "linked")
+        keep = materialize(linked.groupBy("root").agg(F.min("first").alias("keep")), "kept-lines")
+        losers = linked.join(keep, "root").where("first != keep").select("first")
+        firsts = lines.select("first").join(losers, "first", "left_anti")
+        row = F.floor(F.col("first") / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(30,0)")
+        firsts = firsts.select(row.alias("_own"), (F.col("first") - _times(row)).cast("int").alias("at"))
+        return keep_table(materialize(firsts.groupBy("_own").agg(F.sort_array(F.collect_list("at")).alias("lines")), "first-lines"))
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

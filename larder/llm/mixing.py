@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.base import WORD, packed, view
+from larder.llm.base import WORD, ordinals, packed, view
 from larder.sources.shared import materialize
 
 #: Bits of the hash that each level of the histogram resolves.
@@ -19,9 +19,16 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place_of(key: Column) -> Column:
-    """A document's place in [0, 2^48): the first 12 hex digits of the MD5 of its key."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def identity_of(doc_id: Column, text: Column, source: Column) -> Column:
+    """MD5 of a row's id, text and source."""
+    kind = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+    joined = F.concat(kind, F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.md5(joined.cast("binary"))
+
+
+def place_of(identity: Column, ordinal: Column) -> Column:
+    """A row's place in [0, 2^48): the first 12 hex digits of the MD5 of its identity and its number among equal rows."""
+    return F.conv(F.substring(F.md5(F.concat(identity, F.lit("|"), ordinal.cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -114,15 +121,18 @@ def cyclic_weights(sized: DataFrame, cycle: tuple[float, ...] = WEIGHTS) -> Data
 def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``docs`` plus ``_mix``: size, source_size, target, copies; it takes the place of one ``docs`` has.
 
-    Documents are never moved: only sizes are summed, and each row is compared
-    with its source's threshold. The plan has one row per source and reaches the
-    documents by a join that Spark can split for hot sources. Null and blank
-    texts have size 0 and are taken like others; rows of equal id fall on the
-    same place and are taken together; a rerun takes the same documents.
+    Documents are never moved, but for rows that repeat id, text and source: only
+    sizes are summed, and each row is compared with its source's threshold. The
+    plan has one row per source, ordered in one task (millions are no burden), and
+    reaches the documents by a join that Spark can split for hot sources. Null and
+    blank texts have size 0 and are taken like others. A row's place comes from its
+    id, text and source and its number among rows equal in all three, so rows
+    without an id, and rows that share one, are taken each by itself; a rerun
+    takes the same documents.
     """
-    own = docs.drop("_mix").select(
-        F.struct("*").alias("_row"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"), place_of(F.col(f"`{id_col}`")).alias("_place")
-    )
+    id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    own = docs.drop("_mix").select(F.struct("*").alias("_row"), source.alias("source"), size_of(text).alias("size"), identity_of(id_, text, source).alias("_same"))
+    own = ordinals(own, "_same", "_k").select("_row", "source", "size", place_of(F.col("_same"), F.col("_k")).alias("_place"))
     sized = materialize(own.select("source", "size", "_place"), "sizes")
     planned = plan(sized, weights if weights is not None else cyclic_weights(sized), max_epochs)
     d, p = own.alias("d"), planned.alias("p")
@@ -144,8 +154,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 SQL = rf"""
-    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                      ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:12])::BIGINT AS place FROM documents),
+    WITH h AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                      md5(coalesce('s' || source, 'n') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS same FROM documents),
+    d AS (SELECT doc_id, source, size, ('0x' || md5(same || '|' || (row_number() OVER (PARTITION BY same) - 1))[1:12])::BIGINT AS place FROM h),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM d GROUP BY source),
     l AS (SELECT *, {MAX_EPOCHS}.0::DOUBLE * source_size AS lim FROM s),
     v AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(lim) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lev

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions.common import is_small
 from larder.llm.base import lowered_words, packed, view
 from larder.llm.components import components
-from larder.sources.shared import materialize
+from larder.sources.shared import materialize, scratch
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Reference fingerprints of the pivot table; more discard more pairs before the exact comparison.
@@ -23,6 +23,8 @@ N_PIVOTS = 12
 SHORT_RUN = 8
 #: Fingerprints with one key that are searched in one task; a larger run is dealt out as pairs of such blocks.
 KEY_BLOCK = 1 << 14
+#: Serial numbers of rows to drop that may go to every task, 8 bytes each.
+BROADCAST_ROWS = 1 << 20
 #: Keys of more than KEY_BLOCK fingerprints that may go to every task, 16 bytes each.
 BROADCAST_KEYS = 1 << 18
 
@@ -189,6 +191,11 @@ def _then_none(batches: Iterator) -> Iterator:
 
 def component_labels(printed: DataFrame) -> DataFrame:
     """``fp, root, component_id`` of the fingerprints whose component has several rows of ``printed`` (``doc_id, fp``)."""
+    with scratch(printed.sparkSession) as keep:
+        return keep(_labels(printed))
+
+
+def _labels(printed: DataFrame) -> DataFrame:
     nodes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     up = components(links(nodes.select("fp")))
     n, u = nodes.alias("n"), up.alias("u")
@@ -221,11 +228,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     different components.
     """
     rows = materialize(packed(docs, "doc_id", "text").withColumn("_serial", F.monotonically_increasing_id()), "numbered")
-    printed = materialize(fingerprints(rows.select("doc_id", "_serial", "text")), "fingerprints")
-    members = materialize(printed.join(component_labels(printed), "fp").select("root", "doc_id", "_serial"), "members")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_serial")
-    firsts = materialize(members.groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first._serial").alias("_keep")), "firsts")
-    drop = members.join(firsts, "root").where(F.col("_serial") != F.col("_keep")).select("_serial")
+    with scratch(docs.sparkSession) as keep:
+        printed = materialize(fingerprints(rows.select("doc_id", "_serial", "text")), "fingerprints")
+        members = materialize(printed.join(component_labels(printed), "fp").select("root", "doc_id", "_serial"), "members")
+        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_serial")
+        firsts = materialize(members.groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first._serial").alias("_keep")), "firsts")
+        drop = keep(materialize(members.join(firsts, "root").where(F.col("_serial") != F.col("_keep")).select("_serial"), "dropped"))
+    drop = F.broadcast(drop) if is_small(drop, BROADCAST_ROWS) else drop  # else Spark decides by the written table's size
     return rows.join(drop, "_serial", "left_anti").select("_row.*")
 
 

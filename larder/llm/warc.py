@@ -9,6 +9,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.base import view
+from larder.llm.base import ordinals, view
 from larder.sources.shared import materialize, shared_dir
 
 #: A writer starts the next archive after this many bytes of records.
@@ -24,6 +25,10 @@ ARCHIVE_BYTES = 64 << 20
 #: Compressed bytes that a task reads back.
 READ_BYTES = 16 << 20
 CHUNK = 1 << 20
+#: Records whose places a task passes on at once.
+INDEX_ROWS = 1 << 12
+#: A record's header is no longer than this; a longer one is a broken archive.
+HEAD_BYTES = 1 << 24
 GZIP = 31
 HEAD_END = b"\r\n\r\n"
 
@@ -34,8 +39,9 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(key: str) -> str:
+    """A record's id by the key of its page; keys of different records differ."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>"
 
 
 def _clean(value: str) -> str:
@@ -43,15 +49,16 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """A response with the payload, or a revisit with its HTTP header only."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, key: str | None = None, refers_key: str | None = None) -> bytes:
+    """A response with the payload, or a revisit with its HTTP header only; the keys are those of ``record_id``."""
+    key = f"{page_id}" if key is None else key
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {date}"]
     head += [f"WARC-Target-URI: {_clean(url)}"] if url else []
     head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_key or str(refers_to))}", f"X-Refers-To-Page: {refers_to}"]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + HEAD_END + block + HEAD_END
 
@@ -90,6 +97,8 @@ class Inflated:
         at = 0
         while (found := self.buffer.find(mark, at)) < 0:
             at = max(0, len(self.buffer) - len(mark) + 1)
+            if at > HEAD_BYTES:
+                raise ValueError(f"no end of a record's header within {HEAD_BYTES} bytes")
             if not self._more():
                 if self.buffer.strip():
                     raise EOFError("the archive ends inside a record")
@@ -110,7 +119,7 @@ class Inflated:
 
 
 def write_archives(records: DataFrame, folder: str, date: str, level: int = 1) -> DataFrame:
-    """One row ``path, n`` per archive of ``page_id, url, payload, refers_to`` rows, each one gzip member as a whole.
+    """One row ``path, n`` per archive of ``page_id, url, payload, refers_to, key, refers_key`` rows, each one gzip member as a whole.
 
     File names carry the task attempt; the written list of names is what counts,
     so a lost or repeated task leaves at most a file that nothing reads.
@@ -122,13 +131,13 @@ def write_archives(records: DataFrame, folder: str, date: str, level: int = 1) -
         task = TaskContext.get()
         names, counts, out = [], [], None
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*[batch.column(i) for i in range(4)], strict=True):
+            for page_id, url, payload, refers_to, key, refers_key in zip(*[batch.column(i) for i in range(6)], strict=True):
                 if out is None:
                     name = f"raw-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.gz"
                     out, gz, size = fs.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(level, zlib.DEFLATED, GZIP), 0
                     names.append(f"{folder}/{name}")
                     counts.append(0)
-                record = build_record(page_id.as_py(), url.as_py(), payload.as_py() or b"", refers_to.as_py(), date)
+                record = build_record(page_id.as_py(), url.as_py(), payload.as_py() or b"", refers_to.as_py(), date, key.as_py(), refers_key.as_py())
                 out.write(gz.compress(record))
                 size += len(record)
                 counts[-1] += 1
@@ -141,7 +150,7 @@ def write_archives(records: DataFrame, folder: str, date: str, level: int = 1) -
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["path", "n"])
 
-    return materialize(records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n long"), "raw-archives")
+    return materialize(records.select("page_id", "url", "payload", "refers_to", "key", "refers_key").mapInArrow(run, "path string, n long"), "raw-archives")
 
 
 def normalise_one(fs: FileSystem, source: str, target: str, level: int = 4) -> Iterator[tuple]:
@@ -179,10 +188,10 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 source = FileSystem.from_uri(path)[1]
                 name = f"{source.rpartition('/')[2].removesuffix('.warc.gz')}-{attempt}.warc.gz"
-                rows = list(normalise_one(fs, source, f"{root}/{name}"))
-                columns = [[f"{folder}/{name}"] * len(rows), *(zip(*rows, strict=True) if rows else [[]] * 5)]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+                for rows in batched(normalise_one(fs, source, f"{root}/{name}"), INDEX_ROWS):
+                    columns = [[f"{folder}/{name}"] * len(rows), *zip(*rows, strict=True)]
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     # One short row per archive: dealt out by number, as Spark would join such small partitions into one.
     each = archives.select("path").coalesce(1).repartition(max(1, archives.count()))
@@ -233,18 +242,27 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ``min_bytes`` the one with the largest id is the response, the others revisit
     it; rows that repeat that id are responses too. A null html is an empty
     payload, a null id has no id header and is never a revisit's target unless
-    all of its group are null. Payloads move once, by id, so a payload that a
-    third of all rows share meets nowhere: groups are made of digests,
-    combined before the shuffle.
+    all of its group are null. A record's own id comes from the row's id, url and
+    payload and its number among rows equal in all of them, so no two records
+    share one. Payloads move once, by id, so a payload that a third of all rows
+    share meets nowhere: groups are made of digests, combined before the shuffle.
     """
     rows = view(pages, page_id=id_col, url=url_col, html=html_col)
     rows = rows.withColumn("payload", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))).drop("html")
-    digests = materialize(rows.select("page_id", F.sha2("payload", 256).alias("sha"), F.length("payload").cast("long").alias("n")), "digests")
-    groups = digests.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("rows"))
-    groups = materialize(groups.where("rows > 1"), "equal-payloads")
-    revisits = digests.join(groups, ["sha", "n"]).where("page_id < refers_to").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to").distinct()
+    key = lambda page_id, url, sha: F.md5(F.concat_ws("|", page_id.cast("string"), F.when(url.isNull(), F.lit("n")).otherwise(F.concat(F.lit("u"), url)), sha).cast("binary"))
+    sha = F.sha2("payload", 256)
+    rows = ordinals(rows.withColumn("_page", key(F.col("page_id"), F.col("url"), sha)), "_page", "_k")
+    rows = rows.withColumn("key", F.concat("_page", F.lit("|"), F.col("_k").cast("string"))).drop("_page", "_k")
+    digests = materialize(rows.select("page_id", "url", sha.alias("sha"), F.length("payload").cast("long").alias("n")), "digests")
+    # The largest id, and of rows that repeat it the one with the largest url; every such row is a response.
+    groups = digests.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(
+        F.max("page_id").alias("refers_to"), F.max(F.struct("page_id", "url")).alias("_last"), F.count(F.lit(1)).alias("rows")
+    )
+    groups = groups.where("rows > 1").withColumn("refers_key", F.concat(key(F.col("_last.page_id"), F.col("_last.url"), F.col("sha")), F.lit("|0"))).drop("_last")
+    groups = materialize(groups, "equal-payloads")
+    revisits = digests.join(groups, ["sha", "n"]).where("page_id < refers_to").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to", "refers_key").distinct()
     revisits = materialize(revisits, "revisits")
-    decided = rows.join(revisits, (F.col("page_id") == F.col("_id")) & (F.sha2("payload", 256) == F.col("_sha")), "left").drop("_id", "_sha")
+    decided = rows.join(revisits, (F.col("page_id") == F.col("_id")) & (sha == F.col("_sha")), "left").drop("_id", "_sha")
     folder = shared_dir(pages.sparkSession, "warc")
     return normalise(write_archives(decided, f"{folder}/raw", date), f"{folder}/records")
 

@@ -84,3 +84,19 @@ def test_mix_comes_near_its_targets(spark):
     for r in out.groupBy("source_size", "target").sum("taken").collect():
         assert abs(r["sum(taken)"] - r.target) <= 9
     assert out.where("taken > 3 * size").isEmpty()
+
+
+def test_mix_comes_near_its_targets_without_ids_of_their_own(spark):
+    """A source whose rows share an id, one with a third of null ids, one that repeats one row."""
+    rows = [(1, f"{i} " * (1 + i % 9), "one id") for i in range(2000)]
+    rows += [(None if i % 3 == 0 else i, f"{i} " * (1 + i % 9), "a") for i in range(2000)]
+    rows += [(7, "same row again", "repeated")] * 2000 + [(i, "w " * 5, None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.query(docs).collect()
+    assert sorted(map(plain, out), key=repr) == sorted(map(plain, mixing.query(docs.repartition(3)).collect()), key=repr)
+    by = {}
+    for r in out:
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    assert len(by) == 4 and all(abs(sum(taken) - target) <= 9 for (_, target), taken in by.items())
+    table = pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string())))})
+    same(mixing.query(docs), mixing.SQL, documents=table)

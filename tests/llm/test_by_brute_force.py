@@ -243,3 +243,14 @@ def test_the_forest_tells_unseen_findings(spark):
 def test_secrets_on_awkward_rows(odd_docs, no_docs):
     assert all(not r.is_secret for r in secrets.query(odd_docs).collect())
     assert secrets.query(no_docs).collect() == []
+
+
+def test_no_two_records_share_an_id(spark):
+    rows = [(i % 7 or None, f"http://x/{i % 3}" if i % 4 else None, f"<p>{i % 5}</p>") for i in range(60)] + [(7, "http://x/0", "<p>1</p>")] * 20
+    index = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    assert index.select("record_id").distinct().count() == index.count() == len(rows)
+    found = {(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index).collect()}
+    last = {}
+    for page, _, html in rows:
+        last[html] = max(last.get(html, 0), page or 0)
+    assert found == {(p, warc.sha1_base32(h.encode()), *(("revisit", last[h]) if p and p < last[h] else ("response", None))) for p, _, h in rows}

@@ -1,6 +1,8 @@
 """Lines of rows without an id, or with an id of several texts, are judged row by row."""
 
 import collections
+import itertools
+import random
 
 from larder.llm import lines
 
@@ -25,3 +27,35 @@ def test_rows_without_an_id_of_their_own(spark):
 def test_repeated_rows_are_one_document(spark):
     docs = spark.createDataFrame([(3, UNLIKE[0]), (3, UNLIKE[0]), (3, UNLIKE[1]), (4, UNLIKE[1])], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_kept) for r in lines.query(docs).collect()) == [(3, 1), (3, 1), (3, 1), (4, 0)]
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("b", UNLIKE[0]), ("a", UNLIKE[0] + "\n" + UNLIKE[1]), (None, UNLIKE[1]), ("a", UNLIKE[2])], "doc_id string, text string")
+    got = lines.query(docs.repartition(3)).collect()
+    assert sorted((r.doc_id or "", r.n_lines, list(r.kept_lines)) for r in got) == [("", 1, []), ("a", 1, [0]), ("a", 2, [0, 1]), ("b", 1, [])]
+
+
+def test_the_hub_search_remembers_one_row(spark):
+    """Keys that go on over many Arrow batches give what whole groups give."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(60), i) for i in range(400)] + [(1000, i) for i in range(300)] + [(2000 + i, i) for i in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = lines.shared_bands(spark.createDataFrame(rows, "key long, id long").repartition(4)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = collections.defaultdict(list)
+    for key, i in rows:
+        groups[key].append(i)
+    assert sorted(tuple(r) for r in got) == sorted((key, i, min(ids)) for key, ids in groups.items() if len(ids) > 1 for i in ids)
+
+
+def test_shingle_sets_are_exact(monkeypatch):
+    """Also when all hashes are equal, and for lines shorter than a shingle."""
+    texts = ["", "a", "a\0", "abc", "abcdefg", "abcdefgh", "=" * 50, "=" * 90, "über 漢字 😀 und mehr davon", LINE.format("here"), LINE.format("there")]
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(lines, "_mix", lambda x: x * 0)
+        sets = lines.ShingleSets(texts)
+        for i, j in itertools.product(range(len(texts)), repeat=2):
+            assert len(set(sets.of(i)) & set(sets.of(j))) == len(lines.shingles(texts[i]) & lines.shingles(texts[j]))
