@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,8 @@ SETTING = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: dict[str, str] = {}
+#: (table, folder) of what the innermost ``scratch`` has seen written; None outside of one.
+_written: ContextVar[list[tuple[DataFrame, str]] | None] = ContextVar("written", default=None)
 
 
 def _local_only(spark: SparkSession) -> bool:
@@ -61,4 +65,40 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     path = shared_dir(df.sparkSession, label)
     with _tidy(df.sparkSession):
         df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (seen := _written.get()) is not None:
+        seen.append((table, path))
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes inside are removed at the end, but for those passed to the function it gives.
+
+    What leaves the block may read those kept and nothing else written inside; a
+    block around this one removes them in turn. Where the block fails, the tables
+    stay until the shared folder is cleared.
+    """
+    seen, outer, stay = [], _written.get(), []
+    token = _written.set(seen)
+
+    def keep(table: DataFrame) -> DataFrame:
+        stay.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+    for table, path in seen:
+        if any(table is x for x in stay):
+            if outer is not None:
+                outer.append((table, path))
+        else:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this module's own making, wherever the shared folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
