@@ -119,6 +119,9 @@ PREPARATION_WORDS = [
     "steamed", "blanched", "deseeded", "slit", "peeled", "beaten", "whisked", "melted", "toasted",
     "warm", "cold", "chilled", "sifted",
 ]
+# Phrases that keep a preparation word in front, or at the end.
+KEPT_AT_FRONT = ["green chilli", "red chilli", "dry red chilli"]
+KEPT_AT_END = ["red chilli powder", "black pepper powder"]
 CONTROLLED_PLURALS = {
     "onions": "onion", "tomatoes": "tomato", "potatoes": "potato", "chillies": "chilli",
     "chillis": "chilli", "chickpeas": "chickpea", "lentils": "lentil", "cloves": "clove",

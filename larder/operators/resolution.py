@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -334,42 +337,89 @@ def ontology(canonical: DataFrame) -> DataFrame:
     )
 
 
-STRIPS_AT_ONCE = 3
+_EDGES = [(f"{w} ", f" {w}") for w in rules.PREPARATION_WORDS]
+#: Rows that a task passes on at once.
+STRIP_ROWS = 1 << 12
+
+
+def _strips(phrase: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What is left of ``phrase[start:end]`` without each fitting preparation word, in list order."""
+    whole = phrase[start:end] if end - start <= 20 else None
+    for front, back in _EDGES:
+        if phrase.startswith(front, start, end) and whole not in rules.KEPT_AT_FRONT:
+            i, j = start + len(front), end
+        elif phrase.endswith(back, start, end) and whole not in rules.KEPT_AT_END:
+            i, j = start, end - len(back)
+        else:
+            continue
+        while i < j and phrase[i].isspace():
+            i += 1
+        while i < j and phrase[j - 1].isspace():
+            j -= 1
+        if i < j:
+            yield i, j
+
+
+def stripped_forms(phrase: str) -> Iterator[tuple[str, int, int]]:
+    """(form, early, late) of a phrase and of all that stripping preparation words leaves of it, each once.
+
+    A form is looked up as it stands at ``early``, then come the forms that one
+    more word less leaves, first word first, and its normal form at ``late``: the
+    first lookup by these numbers that finds something is the answer. A form met
+    again has found nothing before. Places in the phrase stand for texts, so a
+    phrase of n preparation words holds n * n / 2 pairs of numbers at most.
+    """
+    clock, seen = 1, {(0, len(phrase))}
+    stack = [((0, len(phrase)), 0, _strips(phrase, 0, len(phrase)))]
+    while stack:
+        place, early, rest = stack[-1]
+        inner = next(rest, None)
+        if inner is None:
+            yield phrase[place[0] : place[1]], early, clock
+            stack.pop()
+        elif inner in seen:
+            continue
+        else:
+            seen.add(inner)
+            stack.append((inner, clock, _strips(phrase, *inner)))
+        clock += 1
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["phrase", "form", "plain", "early", "late"]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    rows: list[tuple] = []
+    for batch in batches:
+        for phrase, lowered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for form, early, late in stripped_forms(lowered):
+                rows.append((phrase, form, form if form.isascii() else unicodedata.normalize("NFKD", form), early, late))
+                if len(rows) >= STRIP_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _key_ladder(phrases: DataFrame) -> DataFrame:
-    """``phrase`` with its lookup keys in the order in which they are tried.
+    """``phrase`` with its lookup keys, numbered in the order in which they are tried.
 
-    Level n is the phrase with n preparation words stripped, as far as any phrase
-    of the input goes. Every level first tries exact name and alias, then the deeper levels, then its normal form.
+    Each form of a phrase is looked up as name, as alias and by its normal form
+    among normal aliases; after all shorter forms its normal form is looked up as
+    name and as alias. The plan is one projection, whatever the number of words.
     """
-    out = phrases.withColumn("_l0", text_or_empty(F.lower(F.trim("phrase"))))
-    strips, more = 0, True
-    while more:
-        for i in range(strips, strips + STRIPS_AT_ONCE):
-            out = text.add_edge_preparation(out, f"_l{i}", f"_w{i}", f"_r{i}")
-            protected = F.col(f"_l{i}").isin("green chilli", "red chilli", "dry red chilli", "red chilli powder", "black pepper powder")
-            out = fence(out.withColumn(f"_l{i + 1}", F.when((F.col(f"_w{i}") != "") & ~protected, F.col(f"_r{i}")).otherwise("")))
-        strips += STRIPS_AT_ONCE
-        more = not out.where(F.col(f"_l{strips}") != "").isEmpty()
-    for i in range(strips + 1):
-        out = text.add_phrase_key(out, f"_l{i}", f"_n{i}")
-
-    def key(col: str, kind: str, factor: float, method: str) -> Column:
-        return F.struct(F.col(col).alias("key"), F.lit(kind).alias("kind"), F.lit(factor).alias("factor"), F.lit(method).alias("method"))
-
-    first, last = [], []
-    for i in range(strips + 1):
-        first += [
-            key(f"_l{i}", "NAME", 1.0, "EXACT_CANONICAL"), key(f"_l{i}", "ALIAS", 1.0, "ALIAS_REGISTRY"),
-            key(f"_n{i}", "NALIAS", 1.0, "ALIAS_REGISTRY"),
-        ]
-        last = [
-            key(f"_n{i}", "NAME", 0.9, "NORMALIZED_CANONICAL"), key(f"_n{i}", "ALIAS", 0.95, "NORMALIZED_ALIAS"),
-        ] + last
-    return out.select("phrase", F.posexplode(F.array(*first, *last)).alias("_pos", "_k")).select(
-        "phrase", "_pos", "_k.key", "_k.kind", "_k.factor", "_k.method"
-    ).where(F.col("key") != "")
+    lowered = phrases.select("phrase", F.lower(F.trim("phrase")).alias("_l")).where("_l != ''")
+    forms = lowered.mapInArrow(_forms, "phrase string, form string, plain string, early long, late long")
+    keyed = text.add_phrase_key(forms, "plain", "_n")
+
+    def key(col: str, kind: str, at: Column, factor: float, method: str) -> Column:
+        return F.struct(F.col(col).alias("key"), F.lit(kind).alias("kind"), at.alias("_pos"), F.lit(factor).alias("factor"), F.lit(method).alias("method"))
+
+    early, late = F.col("early") * 3, F.col("late") * 3
+    lookups = F.array(
+        key("form", "NAME", early, 1.0, "EXACT_CANONICAL"), key("form", "ALIAS", early + 1, 1.0, "ALIAS_REGISTRY"), key("_n", "NALIAS", early + 2, 1.0, "ALIAS_REGISTRY"),
+        key("_n", "NAME", late, 0.9, "NORMALIZED_CANONICAL"), key("_n", "ALIAS", late + 1, 0.95, "NORMALIZED_ALIAS"),
+    )
+    return keyed.select("phrase", F.inline(lookups)).where(F.col("key") != "")
 
 
 def resolve(phrases: DataFrame, canonical: DataFrame, aliases: DataFrame, column: str = "phrase") -> DataFrame:
@@ -605,6 +655,27 @@ def blocked_pairs(terms: DataFrame, phrases: DataFrame) -> DataFrame:
     return left.join(right, "_tok").drop("_tok").dropDuplicates(["ingredient_id", "term_key", "food_code", "phrase"])
 
 
+def matching_pairs(terms: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The pairs of ``blocked_pairs`` that reach the coverage gate, without forming the others.
+
+    A phrase that holds ``need`` of a term's n tokens holds one of its
+    n - need + 1 rarest, so only those are join keys: a token that half of all
+    phrases have is a key for terms that consist of it alone.
+    """
+    held = phrases.select(F.explode("phrase_tokens").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+    words = terms.select("ingredient_id", "term_key", F.explode("term_tokens").alias("_tok")).join(held, "_tok", "left")
+    order = words.groupBy("ingredient_id", "term_key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_tok"))).alias("_order"))
+    n = F.size("_order")
+    rarest = F.slice("_order", F.lit(1), n - F.ceil(n * rules.MIN_COVERAGE - 1e-9).cast("int") + 1)
+    keys = order.select("ingredient_id", "term_key", F.explode(rarest).alias("_o")).where("_o.df > 0").select("ingredient_id", "term_key", "_o._tok")
+    right = phrases.withColumn("_tok", F.explode("phrase_tokens"))
+    found = keys.join(right, "_tok").drop("_tok").dropDuplicates(["ingredient_id", "term_key", "food_code", "phrase"])
+    both = F.array_intersect("term_tokens", "phrase_tokens")
+    return found.join(terms, ["ingredient_id", "term_key"]).where(
+        (F.size(both) / F.size("term_tokens") >= rules.MIN_COVERAGE) & F.exists(both, lambda w: F.length(w) > 1)
+    )
+
+
 def token_score(term: str = "term_tokens", phrase: str = "phrase_tokens") -> Column:
     """0.55 coverage + 0.45 Jaccard, zero below the coverage gate."""
     overlap = F.array_intersect(term, phrase)
@@ -619,7 +690,10 @@ def token_score(term: str = "term_tokens", phrase: str = "phrase_tokens") -> Col
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
-    """Best match per (ingredient, food) by method priority, score and term."""
+    """Best match per (ingredient, food) by method priority, score and term.
+
+    Below the coverage gate no method applies, so ``matching_pairs`` are enough.
+    """
     scored = pairs.withColumn("_score", rnd(token_score(), 9))
     exact = F.col("is_name") & (F.col("term_key") == F.col("phrase"))
     alternate = ~F.col("is_name") & (F.col("term_key") == F.col("phrase"))
@@ -652,8 +726,41 @@ def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
 
 
-def fuzzy_fill(pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Up to three fuzzy candidates for ingredients with fewer than three matches."""
+def edit_ratio(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length; null where the distance passes what MIN_FUZZY_SCORE allows."""
+    longer = F.greatest(F.length(a), F.length(b))
+    limit = F.floor(longer * (1 - rules.MIN_FUZZY_SCORE) + 1e-9)
+    distance = F.levenshtein(a, b)
+    return F.when(distance <= limit, 1 - distance / longer)
+
+
+def may_be_near(a: Column, b: Column) -> Column:
+    """Necessary for a ``difflib_ratio`` of MIN_FUZZY_SCORE.
+
+    The ratio is twice the matching characters over all characters, and no more match than the shorter text has.
+    """
+    la, lb = F.length(a), F.length(b)
+    return 2 * F.least(la, lb) >= rules.MIN_FUZZY_SCORE * (la + lb)
+
+
+def may_be_edited(a: Column, b: Column, q: int = 3) -> Column:
+    """Necessary for ``edit_ratio``: length bound, then count filter on the distinct grams of q characters.
+
+    An edit changes at most q grams, so at least the distinct grams of one text
+    less q times the distance occur in the other.
+    """
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    limit = F.floor(longer * (1 - rules.MIN_FUZZY_SCORE) + 1e-9)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - q + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(q))))
+    common = F.size(F.array_intersect(grams(a), grams(b)))
+    return (longer - shorter <= limit) & (common >= F.greatest(F.size(grams(a)), F.size(grams(b))) - q * limit)
+
+
+def fuzzy_fill(pairs: DataFrame, matches: DataFrame, measure: str = "difflib") -> DataFrame:
+    """Up to three fuzzy candidates for ingredients with fewer than three matches.
+
+    ``measure``: ``difflib``, or ``edit`` for a ratio that SQL has too and that stays in the JVM.
+    """
     full = matches.groupBy("ingredient_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= rules.FUZZY_FILL)
     pool = pairs.join(full, "ingredient_id", "left_anti").join(matches.select("ingredient_id", "food_code"), ["ingredient_id", "food_code"], "left_anti")
     long_enough = F.length(F.regexp_replace("term_key", " ", "")) >= rules.FUZZY_MIN_LETTERS
@@ -661,7 +768,11 @@ def fuzzy_fill(pairs: DataFrame, matches: DataFrame) -> DataFrame:
         long_enough
         & (F.size(F.array_intersect("term_tokens", "phrase_tokens")) / F.size("term_tokens") >= rules.MIN_COVERAGE)
     )
-    scored = near.withColumn("score", difflib_ratio("term_key", "phrase"))
+    term, phrase = F.col("term_key"), F.col("phrase")
+    if measure == "edit":
+        scored = fence(near.where(may_be_edited(term, phrase))).withColumn("score", edit_ratio(term, phrase))
+    else:
+        scored = near.where(may_be_near(term, phrase)).withColumn("score", difflib_ratio("term_key", "phrase"))
     best = (
         scored.groupBy("ingredient_id", "food_code")
         .agg(F.max_by(F.struct("score", "term"), F.struct("score", -F.col("term_no"))).alias("_m"))
@@ -785,7 +896,7 @@ def rank_candidates(matches: DataFrame, ingredients: DataFrame, dim: DataFrame,
 def generate_food_candidates(ingredients: DataFrame, foods: DataFrame, lines: DataFrame) -> DataFrame:
     """B20 to B29 in one plan."""
     dim = food_dimension(foods)
-    pairs = blocked_pairs(query_terms(ingredients), food_phrases(dim))
+    pairs = matching_pairs(query_terms(ingredients), food_phrases(dim))
     matches = best_matches(pairs)
     every = matches.unionByName(fuzzy_fill(pairs, matches))
     return rank_candidates(every, ingredients, dim, form_evidence(lines))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import rules, text
 from larder.operators import resolution as res
 from larder.operators import cleaning
-from larder.plans.cleaning_queries import _PHRASE, EXPLODED, exploded
+from larder.plans.cleaning_queries import _PHRASE, EXPLODED, PARSED, exploded
 from larder.plans.registry import Tables, query
 from larder.plans.sqltext import any_of, food_tokens, has, in_list, phrase_key, q, sql_case, sql_round, squeeze, sub
 from larder.functions.common import words_regex
@@ -242,24 +242,62 @@ def b12(t: Tables):
     return res.ontology(t.ingredient_dim).select("ingredient_id", "canonical_name", "vegetarian", "vegan", F.array_join("allergen_flags", ",").alias("allergens"), "default_unit")
 
 
-_STRIP = sub(sub("lower(trim(phrase))", "^" + words_regex(rules.PREPARATION_WORDS, boundary=False) + " ", "", ""), " " + words_regex(rules.PREPARATION_WORDS, boundary=False) + "$", "", "")
-RESOLVED = f"""
-SELECT food_code, phrase, CASE WHEN c0.ingredient_id IS NOT NULL THEN c0.ingredient_id ELSE coalesce(a0.canonical_ingredient_id, n0.canonical_ingredient_id, c1.ingredient_id, a1.canonical_ingredient_id, k1.ingredient_id, k0.ingredient_id) END AS ingredient_id,
-  CASE WHEN c0.ingredient_id IS NOT NULL THEN 1.0 WHEN a0.alias IS NOT NULL THEN a0.confidence WHEN n0.alias IS NOT NULL THEN n0.confidence WHEN c1.ingredient_id IS NOT NULL THEN 1.0 WHEN a1.alias IS NOT NULL THEN a1.confidence
-       WHEN k1.ingredient_id IS NOT NULL OR k0.ingredient_id IS NOT NULL THEN 0.9 ELSE 0.0 END AS confidence,
-  CASE WHEN c0.ingredient_id IS NOT NULL THEN 'EXACT_CANONICAL' WHEN a0.alias IS NOT NULL OR n0.alias IS NOT NULL THEN 'ALIAS_REGISTRY' WHEN c1.ingredient_id IS NOT NULL THEN 'EXACT_CANONICAL' WHEN a1.alias IS NOT NULL THEN 'ALIAS_REGISTRY'
-       WHEN k1.ingredient_id IS NOT NULL OR k0.ingredient_id IS NOT NULL THEN 'NORMALIZED_CANONICAL' ELSE 'NONE' END AS match_method
-FROM (SELECT *, lower(trim(phrase)) AS l0, {_STRIP} AS l1, {phrase_key('phrase')} AS p0, {phrase_key(_STRIP)} AS p1 FROM phrases) p
-LEFT JOIN canon c0 ON p.l0 = c0.canonical_name LEFT JOIN ({_LIVE}) a0 ON p.l0 = a0.alias LEFT JOIN ({_LIVE}) n0 ON p.p0 = n0.alias
-LEFT JOIN canon c1 ON p.l1 = c1.canonical_name LEFT JOIN ({_LIVE}) a1 ON p.l1 = a1.alias LEFT JOIN canon k1 ON p.p1 = k1.canonical_name LEFT JOIN canon k0 ON p.p0 = k0.canonical_name"""
+def resolved_sql(source: str, column: str) -> str:
+    """Rows of ``source`` with ingredient_id, confidence and match_method of the phrase in ``column``, as a statement.
 
-
-@query("B13_resolution_cascade", f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({RESOLVED})")
+    ``walk`` strips fitting words one by one and keeps the way it took; the first
+    hit by way and kind wins, a normal form after all that lies below it.
+    """
+    words = ", ".join(f"({i + 1}, {q(w)})" for i, w in enumerate(rules.PREPARATION_WORDS))
+    hit = lambda kind, way, target, rest, on, conf, method: (
+        f"SELECT p0, list_append(path, {way}) AS way, {kind} AS kind, {target} AS ingredient_id, {conf} AS confidence, {q(method)} AS match_method FROM {rest} ON {on}"
+    )
+    live = f"({_LIVE}) a"
+    exact = "(SELECT alias, max_by(canonical_ingredient_id, alias_id) AS canonical_ingredient_id, max_by(confidence, alias_id) AS confidence FROM (" + _LIVE + ") GROUP BY alias) a"
+    return f"""
+WITH RECURSIVE walk AS (
+  SELECT DISTINCT trim(coalesce({column}, '')) AS p0, lower(trim(coalesce({column}, ''))) AS rest, CAST([] AS INT[]) AS path FROM {source}
+  UNION ALL
+  SELECT p0, less, list_append(path, j) FROM (SELECT p0, path, j,
+    CASE WHEN starts_with(rest, w || ' ') AND rest NOT IN {in_list(rules.KEPT_AT_FRONT)} THEN trim(substr(rest, length(w) + 2))
+         WHEN suffix(rest, ' ' || w) AND rest NOT IN {in_list(rules.KEPT_AT_END)} THEN trim(left(rest, length(rest) - length(w) - 1)) END AS less
+    FROM walk JOIN (VALUES {words}) AS k(j, w) ON length(rest) > length(w)) WHERE less <> ''),
+nodes AS (SELECT *, {phrase_key('rest')} AS n FROM walk WHERE rest <> ''),
+hits AS (
+  {hit(0, 0, 'c.ingredient_id', 'nodes JOIN canon c', 'rest = c.canonical_name', '1.0', 'EXACT_CANONICAL')} UNION ALL
+  {hit(1, 0, 'a.canonical_ingredient_id', f'nodes JOIN {exact}', 'rest = a.alias', 'a.confidence', 'ALIAS_REGISTRY')} UNION ALL
+  {hit(2, 0, 'a.canonical_ingredient_id', f'nodes JOIN {live}', 'n = a.normalized_alias', 'a.confidence', 'ALIAS_REGISTRY')} UNION ALL
+  {hit(3, 1000, 'c.ingredient_id', 'nodes JOIN canon c', 'n = c.canonical_name', '0.9', 'NORMALIZED_CANONICAL')} UNION ALL
+  {hit(4, 1000, 'a.canonical_ingredient_id', f'nodes JOIN {exact}', 'n = a.alias', 'round(CAST(a.confidence * 0.95 AS DECIMAL(18,9)), 4)', 'NORMALIZED_ALIAS')}),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY p0 ORDER BY way, kind, confidence DESC, ingredient_id) = 1)
+SELECT s.*, b.ingredient_id, CAST(coalesce(b.confidence, 0.0) AS DOUBLE) AS confidence, coalesce(b.match_method, 'NONE') AS match_method
+FROM {source} s LEFT JOIN best b ON trim(coalesce(s.{column}, '')) = b.p0"""
+
+
+RESOLVED = resolved_sql("phrases", "phrase")
+
+
+@query("B13_resolution_cascade", f"SELECT * FROM ({RESOLVED})")
 def b13(t: Tables):
     return res.resolve(t.phrases, t.canon, t.alias_rows)
 
 
-@query("B14_parse_and_resolve")
+# Every phrase between other words of preparation, half of them around a name that begins with one itself.
+_WORN = "SELECT food_code, CASE WHEN food_code % 2 = 0 THEN 'warm ' || phrase || ' sliced cold' ELSE 'boiled ' || phrase || ' warm' END AS phrase FROM phrases"
+_CANON2 = "SELECT ingredient_id, CASE WHEN ingredient_id LIKE '%2' OR ingredient_id LIKE '%6' THEN 'boiled ' || canonical_name ELSE canonical_name END AS canonical_name FROM canon"
+
+
+@query("B13_fall_through", f"WITH worn AS ({_WORN}), canon2 AS ({_CANON2}) SELECT * FROM (" + resolved_sql("worn", "phrase").replace("JOIN canon c", "JOIN canon2 c") + ")")
+def b13b(t: Tables):
+    worn = t.spark.sql(_WORN.replace("FROM phrases", "FROM {phrases}"), phrases=t.phrases)
+    return res.resolve(worn, t.spark.sql(_CANON2.replace("FROM canon", "FROM {canon}"), canon=t.canon), t.alias_rows)
+
+
+@query("B14_parse_and_resolve", f"""
+WITH parsed AS ({PARSED}), named AS (SELECT DISTINCT ingredient FROM parsed), found AS ({resolved_sql("named", "ingredient")})
+SELECT ingredient, ingredient_id, CASE WHEN match_method = 'EXACT_CANONICAL' THEN 'MAPPED_CANONICAL' WHEN ingredient_id IS NOT NULL THEN 'MAPPED_ALIAS' WHEN ingredient <> '' THEN 'REVIEW_REQUIRED' ELSE 'UNMAPPED' END AS mapping_status,
+       confidence, count(*) AS n
+FROM (SELECT p.ingredient FROM lines l JOIN parsed p ON l.original_ingredient = p.original_ingredient) JOIN found USING (ingredient) GROUP BY ALL""")
 def b14(t: Tables):
     out = res.parse_and_resolve(t.lines.select("original_ingredient"), t.canon, t.alias_rows, "original_ingredient")
     return out.groupBy("ingredient", "ingredient_id", "mapping_status", "confidence").agg(F.count(F.lit(1)).alias("n"))
@@ -352,6 +390,10 @@ FROM (SELECT *, {_MTOK('term_key')} AS tt FROM ({TERMS})) t JOIN (SELECT *, {_MT
 ON len(list_filter(list_intersect(t.tt, d.pt), lambda w: length(w) > 1)) > 0"""
 
 
+def likely(t: Tables):
+    return res.matching_pairs(res.query_terms(ingredients(t)), res.food_phrases(res.food_dimension(foods(t))))
+
+
 def pairs(t: Tables):
     return res.blocked_pairs(res.query_terms(ingredients(t)), res.food_phrases(res.food_dimension(foods(t))))
 
@@ -383,14 +425,47 @@ SELECT ingredient_id, food_code, min_by(method, o) AS method, min_by(score, o) A
 @query("B24_best_match", f"SELECT ingredient_id, food_code, method, {sql_round('score', 6)} AS score, matched_term FROM ({BEST})")
 def b24(t: Tables):
     from larder.functions.common import rnd
-    return res.best_matches(pairs(t)).select("ingredient_id", "food_code", "method", rnd("score", 6).alias("score"), "matched_term")
+    return res.best_matches(likely(t)).select("ingredient_id", "food_code", "method", rnd("score", 6).alias("score"), "matched_term")
+
+
+# Foods named after a one-letter segment, so that a plain name is in them without being their name; a few bear it alone.
+_TYPED = "SELECT ingredient_id, canonical_name AS display_name, canonical_name, ingredient_form, category FROM ingredient_dim"
+_NAMED = "SELECT food_code, CASE WHEN food_code % 1000 = 0 THEN food ELSE substr('bcdefghj', CAST(1 + food_code % 8 AS INT), 1) || ', ' || food END AS food_name FROM foods"
+
+
+def _fuzzy(t: Tables, measure: str):
+    typed = t.spark.sql(_TYPED.replace("FROM ingredient_dim", "FROM {i}"), i=t.ingredient_dim).withColumn("aliases", F.array(F.concat(F.lit("old "), "canonical_name")))
+    named = t.spark.sql(_NAMED.replace("FROM foods", "FROM {f}"), f=t.foods).withColumn("alternates", F.array().cast("array<string>"))
+    p = res.matching_pairs(res.query_terms(typed), res.food_phrases(res.food_dimension(named)))
+    return res.fuzzy_fill(p, res.best_matches(p), measure)
+
+
+def _over_typed(sql: str) -> str:
+    return sql.replace("FROM ingredient_dim", "FROM typed").replace("FROM food_names", "FROM named")
+
+
+_POOL = f"""
+SELECT p.*, t.term_no FROM ({_over_typed(_PAIRS)}) p JOIN ({_over_typed(TERMS)}) t USING (ingredient_id, term_key)
+WHERE len(ov) * 1.0 / len(tt) >= {rules.MIN_COVERAGE} AND length(replace(term_key, ' ', '')) >= {rules.FUZZY_MIN_LETTERS}
+  AND ingredient_id NOT IN (SELECT ingredient_id FROM matched GROUP BY 1 HAVING count(*) >= {rules.FUZZY_FILL})
+  AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.ingredient_id = p.ingredient_id AND m.food_code = p.food_code)"""
 
 
 @query("B25_fuzzy_fill")
 def b25(t: Tables):
-    typed = t.ingredient_dim.withColumns({"display_name": F.concat(F.col("display_name"), F.lit(" mix")), "canonical_name": F.concat(F.lit("x"), "canonical_name"), "aliases": F.array().cast("array<string>")})
-    p = res.blocked_pairs(res.query_terms(typed), res.food_phrases(res.food_dimension(foods(t))))
-    return res.fuzzy_fill(p, res.best_matches(p))
+    return _fuzzy(t, "difflib")
+
+
+@query("B25_fuzzy_edit", f"""
+WITH typed AS ({_TYPED}), named AS ({_NAMED}), matched AS ({_over_typed(BEST)}), scored AS (
+  SELECT *, 1 - levenshtein(term_key, phrase) / greatest(length(term_key), length(phrase)) AS s FROM ({_POOL})),
+best AS (SELECT ingredient_id, food_code, s, term AS matched_term FROM scored WHERE s >= {rules.MIN_FUZZY_SCORE} - 1e-9
+         QUALIFY row_number() OVER (PARTITION BY ingredient_id, food_code ORDER BY s DESC, term_no) = 1)
+SELECT ingredient_id, food_code, {sql_round('s', 6)} AS score, matched_term, 'FUZZY_CANDIDATE' AS method FROM best
+QUALIFY row_number() OVER (PARTITION BY ingredient_id ORDER BY {sql_round('s', 9)} DESC, food_code) <= {rules.FUZZY_FILL}""")
+def b25b(t: Tables):
+    from larder.functions.common import rnd
+    return _fuzzy(t, "edit").select("ingredient_id", "food_code", rnd("score", 6).alias("score"), "matched_term", "method")
 
 
 EVIDENCE = "SELECT ingredient_id, " + ", ".join(
@@ -412,7 +487,7 @@ SELECT b.ingredient_id, b.food_code, CASE WHEN i.ingredient_form = 'default' THE
        WHEN len({_TAGS}) > 0 THEN 'CONFLICT' ELSE 'UNVERIFIED' END AS form_signal
 FROM ({BEST}) b JOIN ingredient_dim i ON b.ingredient_id = i.ingredient_id JOIN ({DIM}) d ON b.food_code = d.food_code""")
 def b27(t: Tables):
-    rows = res.best_matches(pairs(t)).join(t.ingredient_dim, "ingredient_id").join(res.food_dimension(foods(t)), "food_code")
+    rows = res.best_matches(likely(t)).join(t.ingredient_dim, "ingredient_id").join(res.food_dimension(foods(t)), "food_code")
     return rows.select("ingredient_id", "food_code", res.form_signal(F.col("ingredient_form")).alias("form_signal"))
 
 
