@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import rules, text
-from larder.functions.common import count_where, lookup, text_or_empty, words_regex
+from larder.functions.common import count_where, fence, lookup, text_or_empty, words_regex
 from larder.functions.diet import add_diet_terms, label_exempts_flag, label_is_non_veg
 from larder.operators.resolution import ontology, resolve_for_constraints
 
@@ -24,12 +24,16 @@ DIETS = ["vegetarian", "vegan", "jain", "satvik"]
 # ---------------------------------------------------------------- evidence per recipe
 
 
+def _lowered(c: Column | str) -> Column:
+    """Lower-cased trimmed text, NULL where there is none."""
+    return F.nullif(F.lower(F.trim(F.col(c) if isinstance(c, str) else c)), F.lit(""))
+
+
 def recipe_texts(recipes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct lower-cased ingredient texts of each recipe, from lines and recipe text."""
-    from_lines = lines.select("recipe_id", F.explode(F.array("ingredient", "original_ingredient", "canonical_ingredient")).alias("text"))
-    from_recipe = recipes.select("recipe_id", F.explode(F.split(text_or_empty(F.col("ingredients")), ",")).alias("text"))
-    both = from_lines.unionByName(from_recipe).select("recipe_id", F.lower(F.trim("text")).alias("text"))
-    return both.where(F.coalesce(F.col("text"), F.lit("")) != "").distinct()
+    """Lower-cased ingredient texts of each recipe, from lines and recipe text; a text may come more than once."""
+    from_lines = lines.select("recipe_id", F.explode(F.array_distinct(F.array(*[_lowered(c) for c in ("ingredient", "original_ingredient", "canonical_ingredient")]))).alias("text"))
+    from_recipe = recipes.select("recipe_id", F.explode(F.split(text_or_empty(F.col("ingredients")), ",")).alias("_part")).select("recipe_id", _lowered("_part").alias("text"))
+    return from_lines.unionByName(from_recipe).where(F.col("text").isNotNull())
 
 
 def recipe_evidence(recipes: DataFrame, lines: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -37,9 +41,10 @@ def recipe_evidence(recipes: DataFrame, lines: DataFrame, canonical: DataFrame)
 
     The detectors run on distinct texts. Only terms from the fixed lists are
     collected per recipe, so the arrays are small whatever the recipe holds.
+    Texts repeat from recipe to recipe, which minimum and set do not mind.
     """
     texts = recipe_texts(recipes, lines)
-    terms = add_diet_terms(texts.select("text").distinct(), "text")
+    terms = fence(add_diet_terms(texts.select("text").distinct(), "text"))
     words = {g: rules.ALLERGEN_TEXT_WORDS[g] for g in ("peanut", "tree_nut", "gluten")}
     said = {g: F.col("text").rlike(words_regex(w, boundary=False)) for g, w in words.items()}
     terms = terms.withColumn(
@@ -53,7 +58,7 @@ def recipe_evidence(recipes: DataFrame, lines: DataFrame, canonical: DataFrame)
         F.array_distinct(F.flatten(F.collect_set("text_allergens"))).alias("_said"),
     )
     onto = ontology(canonical).select("ingredient_id", "canonical_name", "vegetarian", "vegan", "allergen_flags")
-    known = lines.select("recipe_id", "ingredient_id").where(F.col("ingredient_id").isNotNull()).distinct().join(onto, "ingredient_id")
+    known = lines.select("recipe_id", "ingredient_id").where(F.col("ingredient_id").isNotNull()).join(onto, "ingredient_id")
     from_onto = known.groupBy("recipe_id").agg(
         F.min(F.when(~F.col("vegetarian"), F.col("canonical_name"))).alias("_canon_nonveg"),
         F.collect_set(F.when(~F.col("vegan"), F.col("canonical_name"))).alias("_canon_nonvegan"),
@@ -194,21 +199,24 @@ def item_presence(candidates: DataFrame, items: DataFrame, lines: DataFrame) ->
     )
 
 
+ALLERGEN_GROUPS = {k: k for k in ("dairy", "peanut", "tree_nut", "gluten")} | {"peanuts": "peanut", "tree_nuts": "tree_nut", "nuts": "tree_nut"}
+
+
 def allergen_presence(candidates: DataFrame, requests: DataFrame, evidence: DataFrame, texts: DataFrame) -> DataFrame:
     """Excluded allergens found in each candidate (F8).
 
     Known groups are answered from the evidence; only free-text allergens meet
-    the recipe texts.
+    the recipe texts. One row per candidate and allergen asked is then kept or not.
     """
-    groups = {k: k for k in ("dairy", "peanut", "tree_nut", "gluten")} | {"peanuts": "peanut", "tree_nuts": "tree_nut", "nuts": "tree_nut"}
-    asked = request_items(requests, {"allergens": "allergen"}).select("request_id", F.lower("item").alias("allergen"))
-    pairs = candidates.select("request_id", "recipe_id").join(asked, "request_id").withColumn("_group", lookup(F.col("allergen"), groups))
-    flagged = pairs.join(evidence.select("recipe_id", "allergens"), "recipe_id", "left").where(
-        F.array_contains("allergens", F.col("allergen")) | F.array_contains("allergens", F.col("_group"))
+    keys = ["request_id", "recipe_id", "allergen"]
+    asked = request_items(requests, {"allergens": "allergen"}).select("request_id", F.lower("item").alias("allergen")).distinct()
+    pairs = candidates.select("request_id", "recipe_id").distinct().join(asked, "request_id").withColumn("_group", lookup(F.col("allergen"), ALLERGEN_GROUPS))
+    free = pairs.where(F.col("_group").isNull()).select(*keys).join(texts, "recipe_id").groupBy(*keys).agg(
+        F.max(F.contains(F.col("text"), F.col("allergen"))).alias("_said")
     )
-    free = pairs.where(F.col("_group").isNull()).join(texts, "recipe_id").where(F.contains(F.col("text"), F.col("allergen")))
-    cols = ["request_id", "recipe_id", "allergen"]
-    return flagged.select(*cols).unionByName(free.select(*cols)).distinct()
+    flagged = F.array_contains("allergens", F.col("allergen")) | F.array_contains("allergens", F.col("_group"))
+    rows = pairs.join(evidence.select("recipe_id", "allergens"), "recipe_id", "left").join(free, keys, "left")
+    return rows.where(F.coalesce(flagged, F.lit(False)) | F.coalesce("_said", F.lit(False))).select(*keys)
 
 
 def pantry_metrics(candidates: DataFrame, requests: DataFrame, lines: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -273,38 +281,98 @@ def nutrition_failures(bounds: dict[str, tuple[str | None, str | None]]) -> Colu
     return F.when(F.col("has_nutrition"), F.array_compact(F.array(*messages))).otherwise(missing)
 
 
+ASKED = {"excluded": "excluded", "required": "required", "preferred": "preferred", "available": "available"}
+
+
+def request_lists(requests: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row per request that asks for anything: its resolved items and its allergens without a known group, as arrays."""
+    items = with_resolution(request_items(requests, ASKED), canonical, aliases)
+    lists = items.groupBy("request_id").agg(
+        F.collect_set(F.struct("kind", "item", F.lower("item").alias("raw"), F.col("item_id").alias("id"), F.col("item_name").alias("name"), F.col("item_key").alias("key"))).alias("_items")
+    )
+    none = F.array().cast("array<string>")
+    lowered = F.array_distinct(F.filter(F.transform(F.coalesce("allergens", none), lambda a: F.lower(F.trim(a))), lambda a: a != ""))
+    known = F.array(*[F.lit(g) for g in ALLERGEN_GROUPS])
+    allergens = requests.select("request_id", lowered.alias("_asked_allergens"), F.array_except(lowered, known).alias("_free"))
+    return allergens.join(lists, "request_id", "left")
+
+
+def line_checks(candidates: DataFrame, lists: DataFrame, lines: DataFrame, recipes: DataFrame) -> DataFrame:
+    """All that a candidate's lines tell about its request, in one join and one grouping.
+
+    Each line is checked against the request's arrays: ``_hits`` are the items it
+    holds by id, name or text, ``_said`` the free-text allergens in it, ``_seen``
+    its clean and canonical name with whether the pantry has them. Only what a line
+    tells is collected, and the lists of a request and the lines of a recipe bound it.
+    """
+    keys = ["request_id", "recipe_id"]
+    line = lines.select(
+        "recipe_id", F.col("ingredient_id").alias("_id"), F.lower("canonical_ingredient").alias("_name"), F.lower("ingredient").alias("_clean"), F.lower("original_ingredient").alias("_raw")
+    )
+    true = lambda c: F.coalesce(c, F.lit(False))
+    asked = lambda *kinds: F.filter("_items", lambda x: x["kind"].isin(*kinds))
+    pairs = candidates.select(*keys).distinct().join(lists, "request_id").withColumns({"_wish": asked("excluded", "required", "preferred"), "_have": asked("available")}).drop("_items")
+    met = fence(pairs.join(line, "recipe_id", "left"))
+    hit = F.filter(
+        "_wish",
+        lambda x: true(F.col("_id") == x["id"]) | true(F.col("_name") == x["name"]) | true(F.contains(F.col("_clean"), x["key"])) | true(F.contains(F.col("_raw"), x["key"])),
+    )
+    stocked = lambda t: F.exists(
+        "_have", lambda a: true(F.contains(t, a["name"])) | true(F.contains(t, a["key"])) | F.contains(t, a["raw"]) | F.contains(a["raw"], t)
+    )
+    names = F.filter(F.array_distinct(F.array_compact(F.array("_clean", "_name"))), lambda t: t != "")
+    said = F.filter("_free", lambda a: true(F.contains(F.trim("_clean"), a)) | true(F.contains(F.trim("_raw"), a)) | true(F.contains(F.trim("_name"), a)))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    told = met.select(
+        *keys, some(F.transform(hit, lambda x: F.struct(x["kind"], x["item"]))).alias("_hit"), some(said).alias("_said"),
+        F.transform(names, lambda t: F.struct(t.alias("item"), F.coalesce(stocked(t), F.lit(False)).alias("hit"))).alias("_seen"),
+    )
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    found = told.groupBy(*keys).agg(union("_hit").alias("_hits"), union("_said").alias("_said"), union("_seen").alias("_seen"))
+    kind = lambda k: F.transform(F.filter("_hits", lambda x: x["kind"] == k), lambda x: x["item"])
+    wanted = F.transform(F.filter("_items", lambda x: x["kind"] == "required"), lambda x: x["item"])
+    stock = lambda yes: F.array_sort(F.transform(F.filter("_seen", lambda x: x["hit"] == yes), lambda x: x["item"]))
+    parts = recipes.select("recipe_id", F.filter(F.transform(F.split(text_or_empty(F.col("ingredients")), ","), _lowered), lambda x: x.isNotNull()).alias("_parts"))
+    rows = found.join(lists, "request_id").join(parts, "recipe_id", "left")
+    written = F.filter("_free", lambda a: F.exists("_parts", lambda x: F.contains(x, a)))
+    total = F.size("_seen")
+    return rows.select(
+        *keys, "_asked_allergens", F.array_union("_said", F.coalesce(written, F.array().cast("array<string>"))).alias("_said"),
+        F.array_sort(kind("excluded")).alias("_excluded"), F.array_sort(kind("preferred")).alias("_preferred"),
+        F.array_sort(F.array_except(F.coalesce(wanted, F.array().cast("array<string>")), kind("required"))).alias("_missing"),
+        F.when(total > 0, F.size(stock(True)).cast("long")).alias("matched_count"), F.when(total > 0, total.cast("long")).alias("recipe_total_count"),
+        F.when(total > 0, F.size(stock(True)) / total).alias("coverage_ratio"),
+        F.when(total > 0, stock(True)).alias("matched_ingredients"), F.when(total > 0, stock(False)).alias("missing_ingredients"),
+    )
+
+
 def evaluate(
-    candidates: DataFrame, requests: DataFrame, evidence: DataFrame, texts: DataFrame, lines: DataFrame, nutrition: DataFrame,
+    candidates: DataFrame, requests: DataFrame, evidence: DataFrame, recipes: DataFrame, lines: DataFrame, nutrition: DataFrame,
     canonical: DataFrame, aliases: DataFrame, bounds: dict[str, tuple[str | None, str | None]],
 ) -> DataFrame:
     """Full evaluation of every candidate.
 
     ``failures`` is an array of (kind, message) in the fixed order allergen,
-    ingredient, dietary, nutrition; a candidate passes when it is empty.
+    ingredient, dietary, nutrition; a candidate passes when it is empty. Lines
+    are read once here, by ``line_checks``.
     """
     keys = ["request_id", "recipe_id"]
-    items = with_resolution(request_items(requests, {"excluded": "excluded", "required": "required", "preferred": "preferred"}), canonical, aliases)
-    presence = item_presence(candidates, items, lines).groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when((F.col("kind") == "excluded") & F.col("present"), F.col("item")))).alias("_excluded"),
-        F.array_sort(F.collect_set(F.when((F.col("kind") == "required") & ~F.col("present"), F.col("item")))).alias("_missing"),
-        F.array_sort(F.collect_set(F.when((F.col("kind") == "preferred") & F.col("present"), F.col("item")))).alias("_preferred"),
-    )
-    allergens = allergen_presence(candidates, requests, evidence, texts).groupBy(*keys).agg(F.array_sort(F.collect_set("allergen")).alias("_allergens"))
-    pantry = pantry_metrics(candidates, requests, lines, canonical, aliases)
+    checks = line_checks(candidates, request_lists(requests, canonical, aliases), lines, recipes)
     columns = [f"per_serving_{m}" for m in ("calories_kcal", "protein_g", "carbs_g", "fat_g", "fiber_g")]
     measures = nutrition.select("recipe_id", *[c for c in columns if c in nutrition.columns], F.lit(True).alias("has_nutrition"))
     lists = [c for c in requests.columns if c not in candidates.columns or c == "request_id"]
     rows = (
         candidates.join(requests.select(*lists), "request_id")
-        .join(evidence.drop("allergens"), "recipe_id", "left").join(measures, "recipe_id", "left")
-        .join(presence, keys, "left").join(allergens, keys, "left").join(pantry, keys, "left")
+        .join(evidence.withColumnRenamed("allergens", "_flagged"), "recipe_id", "left").join(measures, "recipe_id", "left").join(checks, keys, "left")
         .withColumn("has_nutrition", F.coalesce("has_nutrition", F.lit(False)))
     )
+    none = F.array().cast("array<string>")
+    flagged = F.filter("_asked_allergens", lambda a: F.array_contains("_flagged", a) | F.coalesce(F.array_contains("_flagged", lookup(a, ALLERGEN_GROUPS)), F.lit(False)))
+    rows = rows.withColumn("_allergens", F.array_sort(F.array_union(F.coalesce(flagged, none), F.coalesce("_said", none))))
     for c in columns:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("double"))
     rows = add_diet_evaluation(rows)
-    none = F.array().cast("array<string>")
 
     def typed(kind: str, messages: Column) -> Column:
         return F.transform(messages, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("message")))

@@ -8,6 +8,7 @@ from larder.functions import rules
 from larder.functions.common import rnd, words_regex
 from larder.functions.diet import add_diet_terms, clean_context
 from larder.operators import constraints as con
+from larder.sources.shared import materialize, scratch
 from larder.plans.cleaning_queries import _NONVEG, _SATVIK, _DIET
 from larder.plans.registry import Tables, query
 from larder.plans.resolution_queries import _LIVE
@@ -21,6 +22,11 @@ def texts(t: Tables):
     return con.recipe_texts(t.recipes, t.lines)
 
 
+def lines(t: Tables):
+    """The lines with what the checks read, written once: they are a join of two tables and are read three times."""
+    return materialize(t.lines.select("recipe_id", "ingredient_id", "canonical_ingredient", "ingredient", "original_ingredient"), "lines")
+
+
 def all_texts(t: Tables):
     return texts(t).select("text").union(t.recipes.select(F.lower("recipe_name"))).distinct()
 
@@ -210,7 +216,11 @@ fp AS MATERIALIZED (SELECT *, n_allergen + n_excluded + n_required + n_dietary +
 
 
 def evaluated(t: Tables):
-    return con.evaluate(t.candidates.select("request_id", "recipe_id"), requests(t), evidence(t), texts(t), t.lines, t.nutri, t.canon, t.alias_rows, BOUNDS)
+    """The full evaluation, written once: each query here reads it, some of them more than once."""
+    with scratch(t.spark) as keep:
+        held = lines(t)
+        known = con.recipe_evidence(t.recipes, held, food_ontology(t))
+        return keep(materialize(con.evaluate(t.candidates.select("request_id", "recipe_id"), requests(t), known, t.recipes, held, t.nutri, t.canon, t.alias_rows, BOUNDS), "evaluated"))
 
 
 def _n(kind: str):
@@ -222,12 +232,17 @@ def f14(t: Tables):
     return evaluated(t).select("request_id", "recipe_id", "passed", *[_n(k) for k in con.KINDS], *[f"{d}_status" for d in con.DIETS], rnd("coverage_ratio", 6).alias("coverage_ratio"))
 
 
-DIAG = f"{FULL}, dg AS (SELECT r.request_id, count(fp.recipe_id) AS total_candidates, count(*) FILTER (passed) AS eligible_count, count(*) FILTER (NOT passed) AS rejected_count, {', '.join(f'count(*) FILTER (n_{k} > 0) AS {k}_rejections' for k in con.KINDS)} FROM (SELECT DISTINCT request_id FROM requests) r LEFT JOIN fp ON r.request_id = fp.request_id GROUP BY 1)"
+DIAG = f"{FULL}, dg AS (SELECT r.request_id, count(fp.recipe_id) AS total_candidates, count(*) FILTER (passed) AS eligible_count, count(*) FILTER (NOT passed) AS rejected_count, {', '.join(f'count(*) FILTER (n_{k} > 0) AS {k}_rejections' for k in con.KINDS)} FROM (SELECT request_id FROM requests UNION SELECT 'S' || s_suppkey FROM supplier) r LEFT JOIN fp ON r.request_id = fp.request_id GROUP BY 1)"
+
+
+def asking(t: Tables):
+    """All requests, and those of suppliers, for whom there are no candidates."""
+    return t.requests.select("request_id").union(t.supplier.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))))
 
 
 @query("F15_rejection_diagnostics", f"{DIAG} SELECT * FROM dg")
 def f15(t: Tables):
-    return con.rejection_diagnostics(evaluated(t), requests(t))
+    return con.rejection_diagnostics(evaluated(t), asking(t))
 
 
 @query("F16_zero_result_causes", f"""{DIAG}, z AS (SELECT *, allergen_rejections > 0 AND allergen_rejections >= total_candidates * 0.5 AS ca FROM dg WHERE eligible_count = 0), z2 AS (SELECT *, dietary_rejections > 0 AND (dietary_rejections >= total_candidates * 0.5 OR NOT ca) AS cd FROM z),
@@ -235,7 +250,7 @@ z3 AS (SELECT *, nutrition_rejections > 0 AND (nutrition_rejections >= total_can
 z5 AS (SELECT request_id, concat_ws('|', CASE WHEN total_candidates = 0 THEN 'insufficient_eligible_recipes' END, CASE WHEN ca THEN 'allergen_conflict' END, CASE WHEN cd THEN 'dietary_conflict' END, CASE WHEN cn THEN 'nutrition_constraint_conflict' END, CASE WHEN ci AND excluded_rejections > 0 THEN 'unresolved_ingredient_constraints' END, CASE WHEN ci AND required_rejections > 0 THEN 'insufficient_pantry_coverage' END) AS c FROM z4)
 SELECT request_id, CASE WHEN c = '' THEN 'incompatible_preference_combination' ELSE c END AS causes FROM z5""")
 def f16(t: Tables):
-    return con.zero_result_causes(con.rejection_diagnostics(evaluated(t), requests(t))).select("request_id", F.array_join("all_causes", "|").alias("causes"))
+    return con.zero_result_causes(con.rejection_diagnostics(evaluated(t), asking(t))).select("request_id", F.array_join("all_causes", "|").alias("causes"))
 
 
 @query("F17_explanations")
