@@ -29,7 +29,7 @@ BLOCK_CHARS = 1 << 18
 #: Ids of 8 bytes that may go to every task.
 BROADCAST_IDS = 1 << 20
 #: Lines of a band that are compared with each other in one task; a larger band is dealt out as pairs of such blocks.
-BAND_BLOCK = 1 << 10
+BAND_BLOCK = 1 << 9
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -176,87 +176,95 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
+#: Lines whose shingles are compared at once, and the bits that number them; the others hold a shingle's hash.
+SET_BITS = 11
+_HASH = np.uint64((1 << (64 - SET_BITS)) - 1)
+#: Upper bits of a hash that tell how many lines have the shingle, where rare ones come first.
+RARITY_BITS = 5
+
+
 class ShingleSets:
-    """The sets of shingles of some lines as sorted numbers, one after the other; equal numbers are equal shingles."""
+    """The sets of shingles of up to 2^SET_BITS lines as sorted hashes, rare shingles first.
+
+    Two shingles of one hash make sets look more alike, by one for each such
+    pair. ``near`` leaves room for that, and what it lets pass is compared by text.
+    """
 
     def __init__(self, lines: list[str]):
-        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        wide = np.maximum(sizes, SHINGLE)
-        ends = np.cumsum(wide)
-        codes = np.full(int(ends[-1]), 0x110000, np.uint32)  # no character: what a short line is filled up with
-        text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes[np.arange(len(text)) + np.repeat(ends - wide - np.cumsum(sizes) + sizes, sizes)] = text
-        count = wide - SHINGLE + 1
-        owner = np.repeat(np.arange(len(lines)), count)
-        at = np.arange(len(owner)) + np.repeat(ends - wide - np.cumsum(count) + count, count)
-        hashes = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            hashes += codes[k : k + len(hashes)] * _STEPS[k]
-        _, model, number = np.unique(_mix(hashes)[at], return_index=True, return_inverse=True)
-        differ = np.zeros(len(at), bool)
-        for k in range(SHINGLE):
-            differ |= codes[at + k] != codes[at[model[number]] + k]
-        self.distinct = len(model)
-        if differ.any():  # equal hashes of different shingles
-            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, SHINGLE)[at])
-            found, number = np.unique(windows.view(f"V{4 * SHINGLE}").ravel(), return_inverse=True)
-            self.distinct = len(found)
-        self.order(owner, number)
-
-    def order(self, owner: np.ndarray, number: np.ndarray) -> None:
-        pairs = np.unique(owner * self.distinct + number)
-        self.owner, self.flat = np.divmod(pairs, self.distinct)
-        self.sizes = np.bincount(self.owner)
+        self.lines = lines
+        hashes, counts = _shingle_hashes(lines)
+        rare = np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+        rank = np.minimum(np.log2(np.maximum(rare, 1)).astype(np.uint64), (1 << RARITY_BITS) - 1)
+        rank = rank[(hashes >> np.uint64(44)).astype(np.int64)] << np.uint64(64 - SET_BITS - RARITY_BITS)
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(64 - SET_BITS)
+        found = np.sort(owner | rank | (hashes >> np.uint64(SET_BITS + RARITY_BITS)))
+        found = found[np.r_[True, found[1:] != found[:-1]]]
+        self.flat = found & _HASH
+        self.owner = (found >> np.uint64(64 - SET_BITS)).astype(np.int64)
+        self.sizes = np.bincount(self.owner, minlength=len(lines))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self._mark = np.zeros(self.distinct, bool)
+        self._texts: dict[int, frozenset[str]] = {}
 
     def of(self, i: int) -> np.ndarray:
         return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
 
-    def like(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Which of ``others`` (not empty) have a Jaccard similarity of SIMILARITY or more with line ``i``."""
-        size, own = self.sizes[others], self.of(i)
-        self._mark[own] = True
-        heads = np.cumsum(size) - size
-        at = np.arange(size.sum()) + np.repeat(self.starts[others] - heads, size)
-        common = np.add.reduceat(self._mark[self.flat[at]], heads, dtype=np.int64)
-        self._mark[own] = False
-        return common >= SIMILARITY * (size + len(own) - common)
+    def of_all(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of some lines one after the other, and whose they are."""
+        size = self.sizes[some]
+        at = np.arange(size.sum()) + np.repeat(self.starts[some] - np.cumsum(size) + size, size)
+        return self.flat[at], np.repeat(np.arange(len(some)), size)
+
+    def fits(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which pairs have sizes that allow the similarity."""
+        a, b = self.sizes[one] + 1, self.sizes[two] + 1
+        return np.minimum(a, b) >= SIMILARITY * (np.maximum(a, b) - 1)
+
+    def near(self, one: np.ndarray, two: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Which pairs with so many common hashes may be similar."""
+        return common + 2 >= SIMILARITY * (self.sizes[one] + self.sizes[two] - common)
+
+    def alike(self, i: int, j: int) -> bool:
+        """Exact: whether the Jaccard similarity of two lines reaches SIMILARITY."""
+        a, b = self._text(i), self._text(j)
+        common = len(a & b)
+        return common >= SIMILARITY * (len(a) + len(b) - common)
 
-    def fits(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` whose size allows the similarity."""
-        size = self.sizes[others]
-        return others[np.minimum(size, self.sizes[i]) >= SIMILARITY * np.maximum(size, self.sizes[i])]
+    def _text(self, i: int) -> frozenset[str]:
+        if i not in self._texts:
+            if len(self._texts) > 64:
+                self._texts.clear()
+            self._texts[i] = shingles(self.lines[i])
+        return self._texts[i]
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose exact Jaccard similarity reaches SIMILARITY."""
 
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        at: dict[str, int] = {}
-        pairs = [(at.setdefault(left, len(at)), at.setdefault(right, len(at))) for _, _, left, right in rows]
+    def block(rows: list[tuple], at: dict[str, int]) -> pa.RecordBatch:
         sets = ShingleSets(list(at))
-        one, two = np.array(pairs, np.int64).T
-        order = np.argsort(one, kind="stable")
-        good = []
-        for part in np.split(order, np.flatnonzero(np.diff(one[order])) + 1):
-            line = one[part[0]]
-            size = sets.sizes[two[part]]
-            part = part[np.minimum(size, sets.sizes[line]) >= SIMILARITY * np.maximum(size, sets.sizes[line])]
-            if len(part):
-                good.append(part[sets.like(line, two[part])])
-        good = np.concatenate(good) if good else order[:0]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][c] for i in good], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-    held, size = [], 0
+        one, two = (np.array([at[r[c]] for r in rows], np.int64) for c in (2, 3))
+        pairs = np.flatnonzero(sets.fits(one, two))
+        (left, which), (right, whose) = sets.of_all(one[pairs]), sets.of_all(two[pairs])
+        pair = lambda n: n.astype(np.uint64) << np.uint64(64 - SET_BITS)
+        both = np.sort(np.concatenate([left | pair(which), right | pair(whose)]))
+        twice = both[1:][both[1:] == both[:-1]] >> np.uint64(64 - SET_BITS)
+        common = np.bincount(twice.astype(np.int64), minlength=len(pairs))
+        pairs = pairs[sets.near(one[pairs], two[pairs], common)]
+        good = [rows[i] for i in pairs[np.argsort(one[pairs], kind="stable")] if sets.alike(one[i], two[i])]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in good], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    held, at, size = [], {}, 0
     for row in rows_of(batches, "a", "b", "left", "right"):
+        for line in row[2:]:
+            if line not in at:
+                at[line] = len(at)
+                size += len(line)
         held.append(row)
-        size += len(row[3])
-        if size >= BLOCK_CHARS:
-            yield block(held)
-            held, size = [], 0
+        if size >= BLOCK_CHARS or len(at) + 2 > 1 << SET_BITS or len(held) == 1 << SET_BITS:
+            yield block(held, at)
+            held, at, size = [], {}, 0
     if held:
-        yield block(held)
+        yield block(held, at)
 
 
 def candidate_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -275,19 +283,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
     """Links between the components of one block of a band, or across two, by exact similarity.
 
-    Of two similar lines each has more than the rest of the other's shingles, so
-    they share one among their n - ceil(SIMILARITY * n) + 1 rarest: an index of
+    Of two similar lines each has ceil(SIMILARITY * n) of the other's n shingles or
+    more, so they share one among their n - ceil(SIMILARITY * n) + 1 rarest: an index of
     those gives every line outside the largest component its candidates, all of
     which are compared. Where ``sides`` tells two blocks apart, pairs inside one
     are left to its own task.
     """
     across = sides.any() and not sides.all()
     sets = ShingleSets(lines)
-    counts = np.bincount(sets.flat, minlength=sets.distinct)
-    rank = np.empty(sets.distinct, np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(sets.distinct)
-    sets.order(sets.owner, rank[sets.flat])  # rare shingles first
-    rare = sets.sizes - np.ceil(SIMILARITY * sets.sizes - 1e-9).astype(np.int64) + 1
+    rare = sets.sizes - np.ceil(SIMILARITY * sets.sizes - 1e-9).astype(np.int64) + 2  # one more for equal hashes
     first = np.arange(len(sets.flat)) - sets.starts[sets.owner] < rare[sets.owner]
     number, owner = sets.flat[first], sets.owner[first]
     order = np.argsort(number, kind="stable")
@@ -295,20 +299,27 @@ def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.
     _, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
     found, near = [], np.zeros(len(lines), bool)
     for q in np.flatnonzero(part != counts.argmax()):
-        own = sets.of(q)[: rare[q]]
-        begins, ends = np.searchsorted(number, own), np.searchsorted(number, own, "right")
+        own = sets.of(q)
+        begins, ends = np.searchsorted(number, own[: rare[q]]), np.searchsorted(number, own[: rare[q]], "right")
+        several = ends - begins > 1
         near[:] = False
-        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
-            if end - begin > 1:
-                near[owner[begin:end]] = True
+        for begin, end in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
+            near[owner[begin:end]] = True
         near &= part != part[q]
         if across:
             near &= sides != sides[q]
-        others = sets.fits(q, np.flatnonzero(near))
+        others = np.flatnonzero(near)
+        others = others[sets.fits(others, q)]
         if len(others):
-            others = others[sets.like(q, others)]
-            _, one = np.unique(part[others], return_index=True)
-            found.extend((int(ids[q]), int(ids[i])) for i in others[one])
+            flat, whose = sets.of_all(others)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.bincount(whose[own[at] == flat], minlength=len(others))
+            others = others[sets.near(others, q, common)]
+            linked: set[int] = set()
+            for i in others:
+                if part[i] not in linked and sets.alike(q, i):
+                    linked.add(part[i])
+                    found.append((int(ids[q]), int(ids[i])))
     return found
 
 
@@ -325,7 +336,8 @@ def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     # Bands with the same lines are searched once.
     apart = apart.where("n > 2 AND low != high").groupBy("n", "low", "high", "one", "two").agg(F.min("key").alias("key"))
     apart = materialize(apart.select("key", F.ceil(F.col("n") / BAND_BLOCK).alias("blocks")), "open-bands")
-    rows = members.select("key", "id", "root").join(apart, "key").join(texts, "id")
+    # Lines move by id at every size: a table that is broadcast while small would be a step in the shuffle later.
+    rows = members.select("key", "id", "root").join(apart, "key").join(texts.hint("merge"), "id")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "id", "root", "line"
