@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import rules, text
-from larder.functions.common import clip01, count_where, is_small, rnd, text_or_empty, top_k
+from larder.functions.common import clip01, count_where, rnd, text_or_empty, top_k
+from larder.sources.shared import materialize, scratch
 
 # ---------------------------------------------------------------- corpus
 
@@ -134,12 +135,87 @@ def lexical_top(scores: DataFrame, k: int, key: str = "doc_id", query_key: str =
     return top_k(positive, [query_key], [F.desc("_s"), F.asc(key)], k).select(query_key, key, rnd("_s", 4).alias("score"), "rank")
 
 
+#: Documents to a block of the index, on average; heaviest terms of a query that give its first threshold.
+BLOCK_DOCS, FIRST_TERMS = 64, 4
+#: Room for rounding when a bound is held against a score.
+SLACK = 1e-7
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Written postings ``(key, term, nw, block)`` of unit weights, and the largest weight of a term in a block."""
+
+    model: TfIdf
+    key: str
+    postings: DataFrame
+    block_max: DataFrame
+
+
+def lexical_index(model: TfIdf, key: str = "doc_id") -> LexicalIndex:
+    """Index of a fitted model for ``lexical_search``.
+
+    A block holds documents of about one length that have the same heaviest term,
+    or terms that fall together, so that their weights are alike and the largest
+    one says much about each.
+    """
+    weighted = weigh(model.doc_terms, model).select(key, "term", "w")
+    docs = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.max_by("term", F.struct("w", "term")).alias("_heavy"), F.count(F.lit(1)).alias("_terms"))
+    spread = F.pmod(F.xxhash64("_heavy"), F.greatest(F.ceil(model.n_docs / F.lit(BLOCK_DOCS)), F.lit(1)))
+    block = F.shiftleft(F.floor(F.log2("_terms")), 40) + spread
+    rows = weighted.join(docs.select(key, "_norm", block.alias("block")), key).select(key, "term", (F.col("w") / F.col("_norm")).alias("nw"), "block")
+    postings = materialize(rows, "postings")
+    return LexicalIndex(model, key, postings, materialize(postings.groupBy("block", "term").agg(F.max("nw").alias("top")), "block-max"))
+
+
+def lexical_search(index: LexicalIndex, queries: DataFrame, k: int, query_key: str = "query_id", column: str = "text", not_self: bool = False) -> DataFrame:
+    """The first ``k`` documents by cosine per query, exact, without scoring the others.
+
+    A first threshold per query is its k-th best score among the documents that
+    have the most of its heaviest terms. Terms whose largest weights together stay
+    below it cannot bring a document up alone, so only the others are looked up;
+    of the blocks found, those whose bound (the largest weight of every term) is
+    below the threshold are skipped. Only documents of the rest are scored, and
+    what is left of them are ``k`` rows per query.
+    """
+    key = index.key
+    if query_key == key:
+        raise ValueError("queries and documents need keys of different names")
+    with scratch(queries.sparkSession) as keep:
+        return keep(materialize(_search(index, queries, k, query_key, column, not_self), "lexical-top"))
+
+
+def _search(index: LexicalIndex, queries: DataFrame, k: int, query_key: str, column: str, not_self: bool) -> DataFrame:
+    key, postings, block_max = index.key, index.postings, index.block_max
+    vectors = query_vectors(queries, index.model, query_key, column)
+    q = materialize(vectors.select(query_key, "term", "qw"), "query-terms")
+    other = F.col(query_key) != F.col(key) if not_self else F.lit(True)
+
+    heavy = top_k(q, [query_key], [F.desc("qw"), F.asc("term")], FIRST_TERMS).drop("rank")
+    held = postings.join(heavy.select("term").distinct(), "term", "left_semi")
+    best = top_k(held, ["term"], [F.desc("nw"), F.asc(key)], k + 1).select("term", key)
+    tried = heavy.join(best, "term").where(other).select(query_key, key).distinct()
+    scored = tried.join(q, query_key).join(postings.drop("block"), [key, "term"]).groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("nw")).alias("_s"))
+    first = top_k(scored, [query_key], [F.desc("_s")], k).groupBy(query_key).agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_kth"))
+    floor = F.coalesce(F.when(F.col("_n") == k, F.col("_kth") - SLACK), F.lit(0.0))
+
+    tops = block_max.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("top").alias("_most"))
+    w = Window.partitionBy(query_key).orderBy(F.col("qw") * F.col("_most"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = q.join(tops, "term").withColumn("_reach", F.sum(F.col("qw") * F.col("_most")).over(w)).join(first, query_key, "left").withColumn("_floor", floor)
+    keys = materialize(bounded.select(query_key, "term", "qw", "_floor", (F.col("_reach") >= F.col("_floor")).alias("_needed")), "bounded-terms")
+    blocks = keys.where("_needed").select(query_key, "term").join(block_max.drop("top"), "term").select(query_key, "block").distinct()
+    reach = blocks.join(keys.drop("_needed"), query_key).join(block_max, ["block", "term"]).groupBy(query_key, "block").agg(
+        F.sum(F.col("qw") * F.col("top")).alias("_reach"), F.max("_floor").alias("_floor")
+    )
+    alive = materialize(reach.where(F.col("_reach") >= F.col("_floor")).select(query_key, "block"), "live-blocks")
+    final = alive.join(q, query_key).join(postings, ["block", "term"]).where(other)
+    scores = final.groupBy(query_key, key).agg(clip01(F.sum(F.col("qw") * F.col("nw"))).alias("score"))
+    return lexical_top(scores, k, key, query_key)
+
+
 def more_like_this(docs: DataFrame, k: int, key: str, column: str, bigrams: bool = True) -> DataFrame:
     """Most similar other rows for each row."""
-    model = fit_tfidf(docs, key, column, bigrams)
-    queries = docs.select(F.col(key).alias("query_id"), F.col(column).alias("text"))
-    scores = lexical_scores(model, queries, key).where(F.col("query_id") != F.col(key))
-    return lexical_top(scores, k, key)
+    index = lexical_index(fit_tfidf(docs, key, column, bigrams), key)
+    return lexical_search(index, docs.select(F.col(key).alias("query_id"), F.col(column).alias("text")), k, not_self=True)
 
 
 # ---------------------------------------------------------------- dense vectors
@@ -163,7 +239,7 @@ def l2_normalize(c: Column) -> Column:
     return F.when(norm > 0, F.transform(doubles, lambda x: x / norm)).otherwise(doubles)
 
 
-MAX_QUERY_ROWS = 4096
+#: Rows of a block on either side, on average.
 BLOCK_ROWS = 8192
 
 
@@ -185,36 +261,25 @@ def _pairs(ids: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, k: int |
 def dense_scores(corpus: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """Exact dot products of ``queries(query_id, vector)`` and ``corpus(id, vector)``.
 
-    With ``k``, each block keeps only the rows that can still be among the top
-    ``k``. A query table of at most 4096 rows is shipped to every task and the
-    corpus is not shuffled. A larger one is matched block by block: both sides
-    are cut into hash blocks of bounded size and each pair of blocks is one
-    matrix product, so no task ever holds more than two blocks.
+    Both sides are dealt into blocks of BLOCK_ROWS or so by hash, as many as their
+    counts ask for, and each pair of blocks is one matrix product, so a task holds
+    two blocks whatever the sizes. With ``k``, a pair of blocks passes on only the
+    rows that can still be among the top ``k``. The counts are subqueries of the
+    plan: nothing runs while it is built, and nothing goes through the driver.
     """
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
-    if is_small(queries, MAX_QUERY_ROWS):
-        local = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toPandas()
-        query_ids, matrix = local["query_id"].to_numpy(), np.array(local["vector"].tolist(), dtype="float64")
-        if not len(local):
-            return corpus.sparkSession.createDataFrame([], schema)
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    yield _pairs(b["id"].to_numpy(), query_ids, _scores(np.array(b["vector"].tolist(), dtype="float64"), matrix), k)
+    def blocks(df: DataFrame) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.lit(1)).cast("long").alias("n")).scalar()
 
-        return corpus.select("id", "vector").mapInPandas(score, schema)
+    n_corpus, n_queries = blocks(corpus), blocks(queries)
 
-    def blocks(df: DataFrame, key: str) -> int:
-        return max(1, -(-df.count() // BLOCK_ROWS))
+    def spread(df: DataFrame, key: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+        rows = df.select(F.col(key), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64(key), own_n).alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), other_n - 1)))
 
-    n_corpus, n_queries = blocks(corpus, "id"), blocks(queries, "query_id")
-
-    def spread(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)).cast("array<bigint>")))
-
-    left = spread(corpus.select("id", "vector"), "id", "_c", n_corpus, "_q", n_queries)
-    right = spread(queries.select("query_id", "vector"), "query_id", "_q", n_queries, "_c", n_corpus)
+    left = spread(corpus, "id", "_c", n_corpus, "_q", n_queries)
+    right = spread(queries, "query_id", "_q", n_queries, "_c", n_corpus)
 
     def block(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
@@ -226,7 +291,11 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, k: int | None = None) ->
 
 
 def dense_top(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` per query by cosine, score to 4 digits, rank from 1."""
+    """Top ``k`` per query by cosine, score to 4 digits, rank from 1.
+
+    Block pairs give ``k`` rows a query, tasks keep ``k`` of those before the
+    shuffle, and one task per query merges what the tasks kept.
+    """
     best = top_k(dense_scores(corpus, queries, k), ["query_id"], [F.desc("score"), F.asc("id")], k)
     return best.select("query_id", "id", rnd("score", 4).alias("score"), "rank")
 

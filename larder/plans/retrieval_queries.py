@@ -81,9 +81,9 @@ def e05(t: Tables):
 _R9 = lambda e: sql_round(e, 9)
 
 
-@query("E06_more_like_this", f"WITH {scores_sql('benchmark', 'item_id', 'benchmark', 'item_id')} SELECT query_id, d AS item_id, {sql_round('s', 4)} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, d) AS rank FROM (SELECT query_id, d, {_R9('score')} AS s FROM sc WHERE query_id <> d) WHERE s > 0) WHERE rank <= 5")
+@query("E06_more_like_this", f"WITH {scores_sql('documents', 'doc_id', 'documents', 'doc_id')} SELECT query_id, d AS doc_id, {sql_round('s', 4)} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, d) AS rank FROM (SELECT query_id, d, {_R9('score')} AS s FROM sc WHERE query_id <> d) WHERE s > 0) WHERE rank <= 5")
 def e06(t: Tables):
-    return ret.more_like_this(t.benchmark, 5, "item_id", "text")
+    return ret.more_like_this(t.documents.select("doc_id", "text"), 5, "doc_id", "text")
 
 
 TOP = f"SELECT query_id, d AS doc_id, {sql_round('s', 4)} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, d) AS rank FROM (SELECT query_id, d, {_R9('score')} AS s FROM sc) WHERE s > 0) WHERE rank <= 10"
@@ -91,7 +91,7 @@ TOP = f"SELECT query_id, d AS doc_id, {sql_round('s', 4)} AS score, CAST(rank AS
 
 @query("E07_lexical_retrieve", f"WITH {LEX} {TOP}")
 def e07(t: Tables):
-    return ret.lexical_top(ret.lexical_scores(doc_model(t), bench_queries(t)), 10)
+    return ret.lexical_search(ret.lexical_index(doc_model(t)), bench_queries(t), 10)
 
 
 _FLAGS = "list_filter([nullif(trim(diet_type), ''), CASE WHEN o % 2 = 0 AND lower(trim(diet_type)) <> 'vegetarian' THEN 'Vegetarian' END, CASE WHEN o % 3 = 0 AND lower(trim(diet_type)) <> 'vegan' THEN 'Vegan' END], lambda x: x IS NOT NULL)"
@@ -145,7 +145,7 @@ def corpus(t: Tables):
 CENT = """
 cm AS MATERIALIZED (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, 64)) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
 cq AS MATERIALIZED (SELECT label AS query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM cm),
-ds AS MATERIALIZED (SELECT query_id, vec_id AS id, label, round(least(1.0, greatest(0.0, list_dot_product(CAST(embedding AS DOUBLE[]), v))), 9) AS score, round(least(1.0, greatest(0.0, list_dot_product(CAST(embedding[1:32] AS DOUBLE[]), v[1:32]))), 9) AS half FROM embeddings, cq)"""
+ds AS MATERIALIZED (SELECT query_id, vec_id AS id, label, round(least(1.0, greatest(0.0, list_dot_product(CAST(embedding AS DOUBLE[]), v))), 9) AS score FROM embeddings, cq)"""
 _TOPK = lambda col, k, where="TRUE": f"SELECT query_id, id, {sql_round(col, 4)} AS score, CAST(rank AS INT) AS rank FROM (SELECT query_id, id, {col}, row_number() OVER (PARTITION BY query_id ORDER BY {col} DESC, id) AS rank FROM ds WHERE {where}) WHERE rank <= {k}"
 
 
@@ -159,19 +159,32 @@ def e13(t: Tables):
     return ret.dense_top(corpus(t), centroids(t), 10)
 
 
-def _half(df):
-    return df.withColumn("vector", F.slice(F.col("vector").cast("array<double>"), 1, 32))
+# One corpus for both lists: documents that have a vector. A label asks with its centroid and with the text of its first document.
+def labelled(t: Tables):
+    return t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"), t.documents["text"])
+
+
+def label_texts(t: Tables):
+    first = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.min("vec_id").alias("_first"))
+    return first.join(t.documents, F.col("_first") == F.col("doc_id")).select("query_id", "text")
 
 
 def union(t: Tables):
-    return ret.candidate_union(ret.dense_top(_half(corpus(t)), _half(centroids(t)), 50), ret.dense_top(corpus(t), centroids(t), 50))
+    both = labelled(t)
+    index = ret.lexical_index(ret.fit_tfidf(both.select("id", "text"), "id"), "id")
+    return ret.candidate_union(ret.lexical_search(index, label_texts(t), 50), ret.dense_top(both.select("id", "vector"), centroids(t), 50))
 
 
+BOTH = f"""dv AS MATERIALIZED (SELECT vec_id AS id, label, text FROM embeddings JOIN documents ON vec_id = doc_id),
+lq AS MATERIALIZED (SELECT query_id, text FROM (SELECT label AS query_id, min(vec_id) AS m FROM embeddings GROUP BY 1) JOIN documents ON doc_id = m),
+{scores_sql('dv', 'id', 'lq', 'query_id')}, {CENT.strip()},
+lx AS (SELECT query_id, id, {sql_round('s', 4)} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT query_id, d AS id, {sql_round('score', 9)} AS s FROM sc) WHERE s > 0) WHERE rank <= 50)"""
+_IN_BOTH = "id IN (SELECT id FROM dv)"
 UNION = f"""SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.score AS tfidf_score, a.rank AS tfidf_rank, b.score AS semantic_score, b.rank AS semantic_rank,
-  CASE WHEN a.id IS NULL THEN 'semantic' WHEN b.id IS NULL THEN 'tfidf' ELSE 'both' END AS provenance FROM ({_TOPK('half', 50)}) a FULL JOIN ({_TOPK('score', 50)}) b ON a.query_id = b.query_id AND a.id = b.id"""
+  CASE WHEN a.id IS NULL THEN 'semantic' WHEN b.id IS NULL THEN 'tfidf' ELSE 'both' END AS provenance FROM lx a FULL JOIN ({_TOPK('score', 50, _IN_BOTH)}) b ON a.query_id = b.query_id AND a.id = b.id"""
 
 
-@query("E14_candidate_union", f"WITH {CENT} SELECT query_id, id, tfidf_score, CAST(tfidf_rank AS DOUBLE) AS tfidf_rank, semantic_score, CAST(semantic_rank AS DOUBLE) AS semantic_rank, provenance FROM ({UNION})")
+@query("E14_candidate_union", f"WITH {BOTH} SELECT query_id, id, tfidf_score, CAST(tfidf_rank AS DOUBLE) AS tfidf_rank, semantic_score, CAST(semantic_rank AS DOUBLE) AS semantic_rank, provenance FROM ({UNION})")
 def e14(t: Tables):
     return union(t).withColumns({c: F.col(c).cast("double") for c in ("tfidf_rank", "semantic_rank")})
 
@@ -190,7 +203,7 @@ def diversity(t: Tables):
     return ret.list_diversity(ret.dense_top(corpus(t), centroids(t), 10), corpus(t))
 
 
-@query("E16_retrieval_evaluation", f"""WITH {CENT}, u AS MATERIALIZED ({UNION}), pq AS (SELECT query_id, count(*) AS pool, count(*) FILTER (tfidf_rank <= 10 AND semantic_rank <= 10) AS b, count(*) FILTER (tfidf_rank <= 10 OR semantic_rank <= 10) AS o FROM u GROUP BY 1)
+@query("E16_retrieval_evaluation", f"""WITH {BOTH}, u AS MATERIALIZED ({UNION}), pq AS (SELECT query_id, count(*) AS pool, count(*) FILTER (tfidf_rank <= 10 AND semantic_rank <= 10) AS b, count(*) FILTER (tfidf_rank <= 10 OR semantic_rank <= 10) AS o FROM u GROUP BY 1)
 SELECT count(*) FILTER (provenance = 'tfidf') AS n_tfidf, count(*) FILTER (provenance = 'semantic') AS n_semantic, count(*) FILTER (provenance = 'both') AS n_both,
   {sql_round('count(DISTINCT CASE WHEN tfidf_rank <= 10 THEN id END) * 100.0 / (SELECT count(*) FROM embeddings)', 2)} AS lexical_coverage_pct, {sql_round('count(DISTINCT CASE WHEN semantic_rank <= 10 THEN id END) * 100.0 / (SELECT count(*) FROM embeddings)', 2)} AS dense_coverage_pct,
   {sql_round('count(DISTINCT id) * 100.0 / (SELECT count(*) FROM embeddings)', 2)} AS union_coverage_pct, (SELECT {sql_round('avg(coalesce(b * 1.0 / nullif(o, 0), 0))', 4)} FROM pq) AS mean_jaccard, (SELECT {sql_round('avg(pool)', 2)} FROM pq) AS mean_pool, (SELECT count(*) FROM pq) AS queries,

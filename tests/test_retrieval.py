@@ -30,9 +30,9 @@ def test_dense_paths_agree_with_brute_force(spark, monkeypatch):
         return {q: [r.id for r in rows if r.query_id == q] for q in want}
 
     assert got() == want
-    monkeypatch.setattr(ret, "MAX_QUERY_ROWS", 10)
     monkeypatch.setattr(ret, "BLOCK_ROWS", 64)
     assert got() == want
+    assert ret.dense_top(corpus, queries.limit(0), 5).collect() == [] and ret.dense_top(corpus.limit(0), queries, 5).collect() == []
 
 
 def test_tfidf_by_hand(spark):
@@ -95,3 +95,19 @@ def test_food_candidates(spark):
     assert onion[0].food_code == 1 and onion[0].method == "EXACT_NAME" and [r.candidate_rank for r in onion] == list(range(1, len(onion) + 1))
     assert 3 not in [r.food_code for r in onion]
     assert [(r.method, r.selection_status, r.candidate_rank) for r in rows if r.ingredient_id == "ING00002"] == [("NO_MATCH", "NO_MATCH", 1)]
+
+
+def test_search_skips_blocks_and_finds_the_same(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rare = lambda: " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=rng.randrange(1, 60)))
+    docs = spark.createDataFrame([(i, rare()) for i in range(400)] + [(400, ""), (401, None), (402, "w1 w2"), (403, "w1 w2")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, rare()) for i in range(30)] + [(30, "unknown words"), (31, "w1 w2"), (32, None)], "query_id long, text string")
+    model = ret.fit_tfidf(docs)
+    index = ret.lexical_index(model)
+    want = sorted(tuple(r) for r in ret.lexical_top(ret.lexical_scores(model, queries), 5).collect())
+    assert sorted(tuple(r) for r in ret.lexical_search(index, queries, 5).collect()) == want
+    own = docs.select(F.col("doc_id").alias("query_id"), "text")
+    rows = [r for r in ret.lexical_scores(model, own).collect() if r.query_id != r.doc_id]
+    best = ret.lexical_top(spark.createDataFrame(rows, "query_id long, doc_id long, score double"), 3)
+    assert sorted(tuple(r) for r in ret.more_like_this(docs, 3, "doc_id", "text").collect()) == sorted(tuple(r) for r in best.collect())
