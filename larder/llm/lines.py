@@ -25,11 +25,11 @@ SHORT, LONG = 112, 160
 #: Shingles of a longer line that are looked at before all of them are.
 FIRST = 256
 #: Characters that a task hashes at once.
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 21
 #: Ids of 8 bytes that may go to every task.
 BROADCAST_IDS = 1 << 20
 #: Lines of a band that are compared with each other in one task; a larger band is dealt out as pairs of such blocks.
-BAND_BLOCK = 1 << 9
+BAND_BLOCK = 1 << 11
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -176,95 +176,23 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
-#: Lines whose shingles are compared at once, and the bits that number them; the others hold a shingle's hash.
-SET_BITS = 11
-_HASH = np.uint64((1 << (64 - SET_BITS)) - 1)
-#: Upper bits of a hash that tell how many lines have the shingle, where rare ones come first.
-RARITY_BITS = 5
-
-
-class ShingleSets:
-    """The sets of shingles of up to 2^SET_BITS lines as sorted hashes, rare shingles first.
-
-    Two shingles of one hash make sets look more alike, by one for each such
-    pair. ``near`` leaves room for that, and what it lets pass is compared by text.
-    """
-
-    def __init__(self, lines: list[str]):
-        self.lines = lines
-        hashes, counts = _shingle_hashes(lines)
-        rare = np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
-        rank = np.minimum(np.log2(np.maximum(rare, 1)).astype(np.uint64), (1 << RARITY_BITS) - 1)
-        rank = rank[(hashes >> np.uint64(44)).astype(np.int64)] << np.uint64(64 - SET_BITS - RARITY_BITS)
-        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(64 - SET_BITS)
-        found = np.sort(owner | rank | (hashes >> np.uint64(SET_BITS + RARITY_BITS)))
-        found = found[np.r_[True, found[1:] != found[:-1]]]
-        self.flat = found & _HASH
-        self.owner = (found >> np.uint64(64 - SET_BITS)).astype(np.int64)
-        self.sizes = np.bincount(self.owner, minlength=len(lines))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self._texts: dict[int, frozenset[str]] = {}
-
-    def of(self, i: int) -> np.ndarray:
-        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
-
-    def of_all(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of some lines one after the other, and whose they are."""
-        size = self.sizes[some]
-        at = np.arange(size.sum()) + np.repeat(self.starts[some] - np.cumsum(size) + size, size)
-        return self.flat[at], np.repeat(np.arange(len(some)), size)
-
-    def fits(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Which pairs have sizes that allow the similarity."""
-        a, b = self.sizes[one] + 1, self.sizes[two] + 1
-        return np.minimum(a, b) >= SIMILARITY * (np.maximum(a, b) - 1)
-
-    def near(self, one: np.ndarray, two: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Which pairs with so many common hashes may be similar."""
-        return common + 2 >= SIMILARITY * (self.sizes[one] + self.sizes[two] - common)
-
-    def alike(self, i: int, j: int) -> bool:
-        """Exact: whether the Jaccard similarity of two lines reaches SIMILARITY."""
-        a, b = self._text(i), self._text(j)
-        common = len(a & b)
-        return common >= SIMILARITY * (len(a) + len(b) - common)
-
-    def _text(self, i: int) -> frozenset[str]:
-        if i not in self._texts:
-            if len(self._texts) > 64:
-                self._texts.clear()
-            self._texts[i] = shingles(self.lines[i])
-        return self._texts[i]
-
-
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose exact Jaccard similarity reaches SIMILARITY."""
-
-    def block(rows: list[tuple], at: dict[str, int]) -> pa.RecordBatch:
-        sets = ShingleSets(list(at))
-        one, two = (np.array([at[r[c]] for r in rows], np.int64) for c in (2, 3))
-        pairs = np.flatnonzero(sets.fits(one, two))
-        (left, which), (right, whose) = sets.of_all(one[pairs]), sets.of_all(two[pairs])
-        pair = lambda n: n.astype(np.uint64) << np.uint64(64 - SET_BITS)
-        both = np.sort(np.concatenate([left | pair(which), right | pair(whose)]))
-        twice = both[1:][both[1:] == both[:-1]] >> np.uint64(64 - SET_BITS)
-        common = np.bincount(twice.astype(np.int64), minlength=len(pairs))
-        pairs = pairs[sets.near(one[pairs], two[pairs], common)]
-        good = [rows[i] for i in pairs[np.argsort(one[pairs], kind="stable")] if sets.alike(one[i], two[i])]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in good], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-    held, at, size = [], {}, 0
-    for row in rows_of(batches, "a", "b", "left", "right"):
-        for line in row[2:]:
-            if line not in at:
-                at[line] = len(at)
-                size += len(line)
-        held.append(row)
-        if size >= BLOCK_CHARS or len(at) + 2 > 1 << SET_BITS or len(held) == 1 << SET_BITS:
-            yield block(held, at)
-            held, at, size = [], {}, 0
-    if held:
-        yield block(held, at)
+    last, own = None, frozenset()
+    for batch in batches:
+        a, b = [], []
+        for i, j, left, right in rows_of(iter([batch]), "a", "b", "left", "right"):
+            if left != last:
+                last, own = left, shingles(left)
+            other = shingles(right)
+            low, high = sorted((len(own), len(other)))
+            if low < SIMILARITY * high:
+                continue
+            common = len(own & other)
+            if common >= SIMILARITY * (low + high - common):
+                a.append(i)
+                b.append(j)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def candidate_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -283,43 +211,29 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
     """Links between the components of one block of a band, or across two, by exact similarity.
 
-    Of two similar lines each has ceil(SIMILARITY * n) of the other's n shingles or
-    more, so they share one among their n - ceil(SIMILARITY * n) + 1 rarest: an index of
-    those gives every line outside the largest component its candidates, all of
-    which are compared. Where ``sides`` tells two blocks apart, pairs inside one
-    are left to its own task.
+    Every line outside the largest component asks an inverted index of the
+    shingles how many it shares with each other line, so all pairs that are still
+    apart are compared, without a row or a set operation for each. Where
+    ``sides`` tells two blocks apart, pairs inside one are left to its own task.
     """
     across = sides.any() and not sides.all()
-    sets = ShingleSets(lines)
-    rare = sets.sizes - np.ceil(SIMILARITY * sets.sizes - 1e-9).astype(np.int64) + 2  # one more for equal hashes
-    first = np.arange(len(sets.flat)) - sets.starts[sets.owner] < rare[sets.owner]
-    number, owner = sets.flat[first], sets.owner[first]
-    order = np.argsort(number, kind="stable")
-    number, owner = number[order], owner[order]
-    _, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
-    found, near = [], np.zeros(len(lines), bool)
+    numbers: dict[str, int] = {}
+    sets = [np.fromiter({numbers.setdefault(x, len(numbers)) for x in shingles(line)}, np.int64) for line in lines]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    owner, ends = owner[order], np.cumsum(np.bincount(flat, minlength=len(numbers)))
+    starts = np.r_[0, ends[:-1]]
+    names, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    found = []
     for q in np.flatnonzero(part != counts.argmax()):
-        own = sets.of(q)
-        begins, ends = np.searchsorted(number, own[: rare[q]]), np.searchsorted(number, own[: rare[q]], "right")
-        several = ends - begins > 1
-        near[:] = False
-        for begin, end in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-            near[owner[begin:end]] = True
-        near &= part != part[q]
+        shared = np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in sets[q]]), minlength=len(sets))
+        near = shared >= SIMILARITY * (sizes + sizes[q] - shared)
         if across:
             near &= sides != sides[q]
-        others = np.flatnonzero(near)
-        others = others[sets.fits(others, q)]
-        if len(others):
-            flat, whose = sets.of_all(others)
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            common = np.bincount(whose[own[at] == flat], minlength=len(others))
-            others = others[sets.near(others, q, common)]
-            linked: set[int] = set()
-            for i in others:
-                if part[i] not in linked and sets.alike(q, i):
-                    linked.add(part[i])
-                    found.append((int(ids[q]), int(ids[i])))
+        for name in np.unique(part[near]):
+            if name != part[q]:
+                found.append((int(ids[q]), int(ids[np.flatnonzero(near & (part == name))[0]])))
     return found
 
 
@@ -336,8 +250,7 @@ def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     # Bands with the same lines are searched once.
     apart = apart.where("n > 2 AND low != high").groupBy("n", "low", "high", "one", "two").agg(F.min("key").alias("key"))
     apart = materialize(apart.select("key", F.ceil(F.col("n") / BAND_BLOCK).alias("blocks")), "open-bands")
-    # Lines move by id at every size: a table that is broadcast while small would be a step in the shuffle later.
-    rows = members.select("key", "id", "root").join(apart, "key").join(texts.hint("merge"), "id")
+    rows = members.select("key", "id", "root").join(apart, "key").join(texts, "id")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "id", "root", "line"
@@ -464,7 +377,9 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keyed = row_keys(docs, id_col, text_col)
     keep = first_lines(view(keyed, _own="_own", text=text_col)).toDF("_key", "_lines")
-    joined = keyed.join(keep, F.col("_own") == F.col("_key"), "left")
+    # Documents meet their lines in a shuffle at every size: a written table that is broadcast while it is small
+    # would make a step in what moves.
+    joined = keyed.join(keep.hint("merge"), F.col("_own") == F.col("_key"), "left")
     return joined.withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>"))).drop("_own", "_key")
 
 
