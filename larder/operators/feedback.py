@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import rules
-from larder.functions.common import count_where, global_row_number, lookup, rnd, text_or_empty, top_k
+from larder.functions.common import count_where, global_row_number, is_small, lookup, rnd, text_or_empty, top_k
+from larder.sources.shared import materialize
 
 # ---------------------------------------------------------------- labels
 
@@ -24,27 +25,50 @@ def export_interactions(history: DataFrame, feedback: DataFrame, by: Sequence[st
     """Impressions with the feedback given on them and its grade (H1).
 
     Feedback is tied to the session it was given in. Feedback without a session
-    goes to the latest earlier impression of that user and recipe: both kinds of
-    rows go through one window in order of time, each row on its own, so that
-    repeated feedback stays repeated and no pairs are formed. Passing
+    goes to the latest earlier impression of that user and recipe, row by row, so
+    that repeated feedback stays repeated (``latest_before``). Passing
     ``by=("user_id", "recipe_id")`` ties it to every impression instead.
     """
     fields = ["feedback_type", "rating", "feedback_timestamp"]
     tied = feedback
     if "session_id" in by:
-        loose = feedback.where("session_id IS NULL AND feedback_timestamp IS NOT NULL")
-        seen = history.where("impression_timestamp IS NOT NULL").select(
-            "user_id", "recipe_id", F.col("impression_timestamp").alias("_at"), F.struct("session_id").alias("_seen")
-        )
-        events = seen.unionByName(loose.select("user_id", "recipe_id", F.col("feedback_timestamp").alias("_at"), *fields), allowMissingColumns=True)
-        # Impressions come before feedback of the same moment, and among themselves by session.
-        order = Window.partitionBy("user_id", "recipe_id").orderBy("_at", F.col("_seen").isNull(), "_seen")
-        last = F.last("_seen", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        placed = events.withColumn("_last", last).where("_seen IS NULL AND _last IS NOT NULL").withColumn("session_id", F.col("_last.session_id"))
+        loose = feedback.where("session_id IS NULL").drop("session_id").withColumn("_at", F.col("feedback_timestamp"))
+        seen = history.select("user_id", "recipe_id", F.col("impression_timestamp").alias("_at"), "session_id")
+        placed = latest_before(loose, seen, ["user_id", "recipe_id"], "_at", "session_id")
         tied = feedback.where(F.col("session_id").isNotNull()).select(*by, *fields).unionByName(placed.select(*by, *fields))
     return history.join(tied.select(*by, *fields), list(by), "left").withColumn("relevance_label", grade("feedback_type"))
 
 
+#: Seconds of time that one task looks at for one key.
+ASOF_SECONDS = 3600
+
+
+def latest_before(rows: DataFrame, marks: DataFrame, on: Sequence[str], at: str, value: str, seconds: int = ASOF_SECONDS) -> DataFrame:
+    """``rows`` that have an earlier mark, or one of the same moment, of equal ``on``, with its ``value`` (as-of join).
+
+    Of several marks of one moment the largest value counts. Rows and marks meet
+    in buckets of time, so that a key with half of all rows is many groups; the
+    last mark of each bucket is carried on to the next ones by a window over the
+    buckets of a key, of which there are as many as hours in the data. Rows
+    without a key or a time are left out before anything moves.
+    """
+    keyed = lambda df: df.where(F.col(at).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])).withColumn(
+        "_bucket", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    )
+    group = [*on, "_bucket"]
+    left, right = keyed(rows), keyed(marks).select(*group, at, F.struct(F.col(value).alias("v")).alias("_mark"))
+    events = right.unionByName(left.withColumn("_row", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy(*group).orderBy(at, F.col("_mark").isNull(), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = events.withColumn("_last", F.last("_mark", ignorenulls=True).over(order)).where("_row").drop("_mark", "_row")
+    ends = right.groupBy(*group).agg(F.max(F.struct(F.col(at).alias("_t"), "_mark")).alias("_end"))
+    wanted = left.select(*group).distinct()
+    buckets = wanted.join(ends, group, "full")
+    earlier = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).select(*group, F.col("_carry._mark").alias("_carry"))
+    out = inside.join(carried, group, "left").withColumn("_last", F.coalesce("_last", "_carry"))
+    return out.where(F.col("_last").isNotNull()).select(*rows.columns, F.col("_last.v").alias(value))
+
+
 def resolve_conflicts(df: DataFrame, order: Sequence[str] = ("impression_timestamp",)) -> DataFrame:
     """One row per (session, recipe) by feedback precedence, then ``order`` (H3).
 
@@ -303,23 +327,63 @@ def product_kpis(users: DataFrame, history: DataFrame, feedback: DataFrame) -> D
     )
 
 
+#: Buckets of a range that a rank is searched in; ranges that may go to every task.
+RANK_BUCKETS, BROADCAST_RANGES = 1024, 1 << 14
+PERCENTILES = (0.5, 0.95, 0.99)
+
+
+def values_at(rows: DataFrame, by: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
+    """``by, p, found``: the value at each 0-based ``index`` of a group's sorted values, for ``ranks`` of ``by, p, index``.
+
+    Distributed selection. The range of a group is cut into RANK_BUCKETS, counts
+    by bucket combine before the shuffle, and the bucket that holds the index is
+    the next range, cut at its own least and largest value, until both are equal.
+    No task holds more of a group than the counts of its buckets; a round reads
+    the rows in the ranges that are left. The number of rounds is at most that of
+    the digits of a value in that base, some of 6.
+    """
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
+    held = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = held.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    state = ranks.alias("k").join(ends.alias("e"), same("k", "e")).select(*[F.col(f"k.{c}").alias(c) for c in by], "k.p", "k.index", "e.lo", "e.hi")
+    state = materialize(state, "ranks")
+    done = []
+    while True:
+        done.append(state.where("lo = hi").select(*by, "p", F.col("lo").alias("found")))
+        wide = state.where("lo < hi")
+        if wide.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        ranges = wide.select(*by, "lo", "hi").distinct()
+        ranges = F.broadcast(ranges) if is_small(ranges, BROADCAST_RANGES) else ranges
+        inside = held.alias("r").join(ranges.alias("g"), same("r", "g") & F.col("r._v").between(F.col("g.lo"), F.col("g.hi")))
+        bucket = F.least(F.floor((F.col("r._v") - F.col("g.lo")) / (F.col("g.hi") - F.col("g.lo")) * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1))
+        counts = inside.groupBy(*[F.col(f"g.{c}").alias(c) for c in by], "g.lo", "g.hi", bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("r._v").alias("_least"), F.max("r._v").alias("_most")
+        )
+        upto = Window.partitionBy(*by, "lo", "hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("_upto", F.sum("_n").over(upto))
+        s, c = wide.alias("s"), placed.alias("c")
+        at = same("s", "c") & (F.col("s.lo") == F.col("c.lo")) & (F.col("s.hi") == F.col("c.hi"))
+        hit = s.join(c, at).where((F.col("index") < F.col("_upto")) & (F.col("index") >= F.col("_upto") - F.col("_n")))
+        nxt = hit.select(*[F.col(f"s.{x}").alias(x) for x in by], "s.p", (F.col("index") - F.col("_upto") + F.col("_n")).alias("index"), F.col("_least").alias("lo"), F.col("_most").alias("hi"))
+        state = materialize(nxt, "ranks")
+
+
 def latency_percentiles(rows: DataFrame, by: Sequence[str], value: str, newest_first: Sequence[Column] = (), keep: int | None = None) -> DataFrame:
     """Count, mean and nearest-index percentiles per group (H20), over all rows or the newest ``keep``.
 
-    Equal values are counted before the shuffle; a running sum over the distinct
-    values of a group finds the value at each index without holding the group.
+    The value at each index comes from ``values_at``, so a group with all rows spreads over all tasks.
     """
     used = top_k(rows, by, newest_first, keep, "_r") if keep else rows
-    counts = used.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    totals = used.groupBy(*by).agg(F.count(value).alias("samples"), rnd(F.avg(value), 2).alias("avg_ms"))
-    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.where(F.col("_v").isNotNull()).withColumn("_upto", F.sum("_c").over(upto)).join(totals, list(by))
-
-    def at(p: float) -> Column:
-        index = F.least(F.floor(F.col("samples") * p), F.col("samples") - 1)
-        return rnd(F.min(F.when(F.col("_upto") > index, F.col("_v"))), 2)
-
-    return placed.groupBy(*by, "samples", "avg_ms").agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
+    totals = used.groupBy(*by).agg(F.count(value).alias("samples"), rnd(F.avg(value), 2).alias("avg_ms")).where("samples > 0")
+    p = F.explode(F.array(*[F.lit(x) for x in PERCENTILES])).alias("p")
+    ranks = totals.select(*by, "samples", p).select(*by, "p", F.least(F.floor(F.col("samples") * F.col("p")), F.col("samples") - 1).alias("index"))
+    found = values_at(used, by, value, ranks)
+    at = lambda x: rnd(F.max(F.when(F.col("p") == x, F.col("found"))), 2)
+    wide = found.groupBy(*by).agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
+    t, w = totals.alias("t"), wide.alias("w")
+    on = reduce(lambda x, y: x & y, [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by])
+    return t.join(w, on).select("t.*", "p50_ms", "p95_ms", "p99_ms")
 
 
 def request_kpis(rows: DataFrame, is_error: Column) -> DataFrame:

@@ -95,10 +95,21 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             if outer is not None:
                 outer.append((table, path))
         else:
-            _remove(spark, path)
+            remove(spark, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this module's own making, wherever the shared folder is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own making, wherever the shared folder is."""
+    fs, place = _at(spark, path)
+    fs.delete(place, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if there is no such folder."""
+    fs, place = _at(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []

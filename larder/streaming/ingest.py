@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from larder.functions import rules
 from larder.functions.common import rnd, top_k
+from larder.sources.shared import children, remove
 
 EVENTS = T.StructType(
     [
@@ -44,39 +47,56 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
 
 
 Merge = Callable[[DataFrame], DataFrame]
+#: Parts of an upserted table; a batch rewrites those that its keys fall in.
+BUCKETS = 64
 
 
-def run_upserts(stream: DataFrame, folder: str, merge: Merge) -> DataFrame:
-    """Keep a merged table: each micro-batch writes version ``epoch`` from version ``epoch - 1``.
+def run_upserts(stream: DataFrame, folder: str, merge: Merge, keys: Sequence[Column | str] = ("user_id",), buckets: int = BUCKETS) -> DataFrame:
+    """Keep a merged table: each micro-batch rewrites the buckets that its keys fall in.
 
-    A batch that is run again after a failure reads the same predecessor and
-    replaces its own version, so the result is exactly-once. ``merge`` maps the
-    previous rows and the new rows to the rows to keep.
+    The table is cut into ``buckets`` by the hash of ``keys``, which ``merge`` must
+    group by at least. A batch merges its rows with those of its own buckets and
+    writes them below its number; its manifest says for every bucket which batch
+    wrote it last. A batch that is run again reads the manifest before its own and
+    replaces what it wrote, so the result is exactly-once. What neither this nor
+    the last manifest names is removed. ``merge`` maps old and new rows to the rows
+    to keep.
     """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def version(epoch: int) -> str:
-        return f"{folder}/version={epoch}"
+    def manifests() -> list[int]:
+        return sorted(int(x.partition("=")[2]) for x in children(spark, f"{folder}/manifest") if x.startswith("batch="))
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch > 0:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(version(epoch - 1)).unionByName(batch)
-        merge(rows).select(*batch.columns).write.mode("overwrite").parquet(version(epoch))
+    def manifest(epoch: int) -> dict[int, int]:
+        return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").parquet(f"{folder}/manifest/batch={epoch}").collect()}  # a row per bucket
 
-    query = (
-        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    progress = query.lastProgress
-    last = progress["batchId"] if progress else 0
-    for epoch in range(last, -1, -1):
+    def part(key: tuple[int, int]) -> str:
+        return f"{folder}/data/batch={key[1]}/_bucket={key[0]}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         try:
-            return spark.read.schema(stream.schema).parquet(version(epoch))
-        except Exception as err:  # a trailing no-data batch writes no version
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-    return spark.createDataFrame([], stream.schema)
+            touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most one row per bucket
+            known = [e for e in manifests() if e < epoch]
+            before = manifest(known[-1]) if known else {}
+            old = [part((b, before[b])) for b in touched if b in before]
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(*old).unionByName(batch) if old else batch
+            merged = merge(rows).select(*batch.columns).withColumn("_bucket", bucket)
+            merged.repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{folder}/data/batch={epoch}")
+        finally:
+            batch.unpersist()
+        after = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(list(after.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={epoch}")
+        for gone in known[:-1]:
+            for key in (set(manifest(gone).items()) - set(before.items()) - set(after.items())):
+                remove(spark, part(key))
+            remove(spark, f"{folder}/manifest/batch={gone}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = manifests()
+    parts = [part(key) for key in sorted(manifest(last[-1]).items())] if last else []
+    return spark.read.schema(stream.schema).parquet(*parts) if parts else spark.createDataFrame([], stream.schema)
 
 
 def impressions(shown: DataFrame) -> DataFrame:
@@ -111,9 +131,68 @@ def merge_pantry(rows: DataFrame) -> DataFrame:
     )
 
 
+class _Recent(StatefulProcessor):
+    """The newest rows of each user as a list state of at most ``limit`` rows."""
+
+    def __init__(self, row: T.StructType, limit: int, ttl_ms: int | None):
+        self.row, self.limit, self.ttl_ms = row, limit, ttl_ms
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("recent", self.row, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
+        order = [self.row.names.index(c) for c in ("ts", "event_id")]
+        names = self.row.names
+        kept = list(self.held.get()) if self.held.exists() else []
+        for frame in rows:
+            for row in frame[names].itertuples(index=False, name=None):
+                kept.append(tuple(x.to_pydatetime() if hasattr(x, "to_pydatetime") else x for x in row))
+            kept = sorted(kept, key=lambda r: tuple(r[i] for i in order), reverse=True)[: self.limit]
+        self.held.put(kept)
+        yield pd.DataFrame(kept, columns=names)
+
+
+def recent_recommendations(rows: DataFrame, limit: int = rules.RECENT_LIMIT, ttl_days: int | None = None) -> DataFrame:
+    """The last ``limit`` rows (user_id, event_id, ts and others, none null) of each user that a batch brings rows of.
+
+    State is a list per user that never grows beyond ``limit`` rows. With
+    ``ttl_days``, users that stay away so long are forgotten; that takes a query
+    that goes on running, because one that ends with the rows at hand would wait
+    for their time to pass. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    processor = _Recent(rows.schema, limit, ttl_days and ttl_days * 86_400_000)
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        processor, outputStructType=rows.schema, outputMode="Update", timeMode="ProcessingTime" if ttl_days else "None"
+    )
+
+
 def merge_recent(rows: DataFrame) -> DataFrame:
-    """Last 30 recommended recipes per user (S4); the table never grows beyond 30 rows per user."""
-    return top_k(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], rules.RECENT_LIMIT, "_r").drop("_r")
+    """Of the lists of a user, old and new, the rows of the newest (S4): a new list holds all that stays of the old."""
+    return top_k(rows.distinct(), ["user_id"], [F.desc("ts"), F.desc("event_id")], rules.RECENT_LIMIT, "_r").drop("_r")
+
+
+def late_rows(rows: DataFrame, folder: str, late: str = "1 hour", window: str = "1 hour") -> DataFrame:
+    """The rows that ``hourly_counters`` drops because their hour had passed when they came (S7), as a table.
+
+    A second job over the same source: each batch compares its rows with the
+    largest time of the batches before it, less ``late``, which is the watermark
+    that the counters had, and writes those whose window ends no later. A batch
+    that is run again replaces its own output.
+    """
+    spark = rows.sparkSession
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        seen = [int(x.partition("=")[2]) for x in children(spark, f"{folder}/seen") if x.startswith("batch=")]
+        paths = [f"{folder}/seen/batch={e}" for e in seen if e < epoch]
+        top = spark.read.schema("ts timestamp").parquet(*paths).agg(F.max("ts")).first()[0] if paths else None
+        mark = F.lit(top).cast("timestamp") - F.expr(f"INTERVAL {late}")
+        batch.where(F.window("ts", window)["end"] <= mark).write.mode("overwrite").parquet(f"{folder}/late/batch={epoch}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{folder}/seen/batch={epoch}")
+
+    rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    paths = [f"{folder}/late/{x}" for x in children(spark, f"{folder}/late")]
+    return spark.read.schema(rows.schema).parquet(*paths) if paths else spark.createDataFrame([], rows.schema)
 
 
 def match_feedback(shown: DataFrame, feedback: DataFrame, within: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,31 @@ def test_feedback_without_a_session_goes_to_the_last_impression_before_it(spark)
     )
     got = sorted((r.session_id, r.recipe_id, r.feedback_type or "") for r in fb.export_interactions(history, feedback).collect())
     assert got == [("a", "r1", "HIDE")] * 2 + [("a", "r2", ""), ("b", "r1", "LIKE"), ("b", "r1", "LIKE"), ("c", "r1", "SAVE")]
+
+
+def test_percentiles_of_one_group_with_all_rows(spark):
+    rng = random.Random(2)
+    values = [rng.choice([rng.gauss(50, 20), 7.0, 1e-12 * rng.random(), -1e9, 1e9 + rng.random()]) for _ in range(5000)]
+    rows = [("hot", v) for v in values] + [("one", 3.5), (None, 2.0), (None, 1.0), ("none", None), ("same", 4.0), ("same", 4.0)]
+    got = {r.g: r for r in fb.latency_percentiles(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v").collect()}
+    ordered = sorted(values)
+    for p, name in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms")):
+        assert abs(got["hot"][name] - ordered[min(int(p * 5000), 4999)]) <= 0.006
+    assert got["one"].p50_ms == 3.5 and got[None].p50_ms == 2.0 and got["same"].p99_ms == 4.0 and "none" not in got
+
+
+def test_latest_mark_of_a_hot_key(spark):
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    when = lambda: None if rng.random() < 0.03 else t0 + dt.timedelta(minutes=rng.randrange(0, 60 * 24 * 4))
+    user = lambda: rng.choice([1, 1, 1, 2, 3, None])
+    marks = [(user(), when(), f"s{i}") for i in range(300)]
+    rows = [(user(), when(), i) for i in range(300)]
+    rows += rows[:5]
+    got = fb.latest_before(spark.createDataFrame(rows, "user_id long, at timestamp, n long"), spark.createDataFrame(marks, "user_id long, at timestamp, mark string"), ["user_id"], "at", "mark")
+    want = []
+    for u, at, n in rows:
+        seen = [(m, s) for v, m, s in marks if u is not None and u == v and at and m and m <= at]
+        if seen:
+            want.append((n, max(seen)[1]))
+    assert sorted((r.n, r.mark) for r in got.collect()) == sorted(want)

@@ -71,3 +71,55 @@ def test_unmatched_impressions_appear_after_the_watermark(spark, tmp_path):
     given = rows.where("event_type = 'like'").selectExpr("event_id", "user_id", "recipe_id", "event_type AS feedback_type", "ts AS feedback_ts")
     got = {r.event_id: r.feedback_id for r in ingest.run_to_table(ingest.match_feedback(shown, given), str(tmp_path / "out")).collect()}
     assert got[1] == 2 and got[3] is None
+
+
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+
+    def run():
+        rows = ingest.read_events(spark, str(src), files_per_batch=1).selectExpr("user_id", "ts", "event_id", "value")
+        return sorted((r.user_id, r.event_id) for r in ingest.run_upserts(rows, str(out), ingest.merge_recent, buckets=8).collect())
+
+    write(src, "events1.parquet", [(i, at(i), i % 10, "view") for i in range(40)])
+    assert len(run()) == 40
+    write(src, "events2.parquet", [(100 + i, at(100 + i), 3, "view") for i in range(35)])
+    write(src, "events3.parquet", [(200, at(300), 3, "view")])
+    got = run()
+    assert [e for u, e in got if u == 3] == [*range(106, 135), 200] and len(got) == 36 + 30
+    batches = sorted(p.name for p in (out / "data").iterdir())
+    touched = [len(list((out / "data" / b).glob("_bucket=*"))) for b in batches]
+    assert touched[1:] == [1, 1] and len(list((out / "manifest").iterdir())) <= 3
+    assert run() == got
+
+
+def test_recent_lists_continue_after_a_restart(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+
+        def run():
+            rows = ingest.read_events(spark, str(src), files_per_batch=1).selectExpr("user_id", "event_id", "ts")
+            found = ingest.run_upserts(ingest.recent_recommendations(rows, 5), str(out), ingest.merge_recent, buckets=4)
+            return sorted((r.user_id, r.event_id) for r in found.collect())
+
+        write(src, "events1.parquet", [(i, at(i), i % 2, "view") for i in range(6)])
+        write(src, "events2.parquet", [(i, at(i), 0, "view") for i in range(10, 13)])
+        assert [e for u, e in run() if u == 0] == [0, 2, 4, 10, 11, 12]  # the table keeps 30, the state 5
+        write(src, "events3.parquet", [(20, at(1), 1, "view")])
+        assert [e for u, e in run() if u == 1] == [1, 3, 5, 20]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    write(src, "events1.parquet", [(1, at(0), 1, "view"), (2, at(200), 1, "view")])
+    run = lambda: sorted(r.event_id for r in ingest.late_rows(ingest.read_events(spark, str(src), files_per_batch=1), out, "30 minutes").collect())
+    assert run() == []
+    write(src, "events2.parquet", [(3, at(5), 1, "view"), (4, at(125), 1, "view"), (5, at(100), 1, "view"), (6, at(600), 1, "view")])
+    assert run() == [3, 5] and run() == [3, 5]
