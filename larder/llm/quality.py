@@ -28,6 +28,11 @@ STOP_WORDS = (
     "der die das und zu den von mit sich auf für ist im dem nicht ein eine als auch es an"
 ).split()
 
+#: Languages of the stop words, and the words from which their absence tells something.
+STOP_LANGS, STOP_MIN_WORDS = ("en", "fr", "es", "de"), 30
+#: Characters of other scripts than Latin.
+OTHER_SCRIPT = r"[^\x00-\x{024F}\x{1E00}-\x{1EFF}\x{2000}-\x{2BFF}]"
+
 #: Metrics of ``measure`` and the range a good document has.
 RULES = (
     Rule("length", "n_words", 10, None),
@@ -45,20 +50,26 @@ RULES = (
 WINDOW = 5
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All columns of ``docs`` plus a struct ``_quality`` of counts and ratios, which takes the place of one it has.
 
     One scan, no shuffle and no user function: every count is an array or string
     expression of the whole text, so a row needs no other row. A null text counts
-    as empty: all counts are 0 and the ratios are 0. Repeated word windows are
+    as empty: all counts are 0 and the ratios are 0. ``stop_word_ratio`` is 1 where
+    missing stop words tell nothing: in texts of less than STOP_MIN_WORDS words,
+    in a language (``lang_col``, where there is one) that the list does not cover,
+    and in texts of another script. Repeated word windows are
     found by sorting the 64-bit hashes of the windows of one document; positions
     are worked out only where two hashes are equal.
     """
     whole = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     empty = F.array().cast("array<bigint>")
-    start = docs.drop("_quality").select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    split = fence(start.select("_row", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines")))
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    start = docs.drop("_quality").select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"), lang.alias("_lang"))
+    foreign = F.coalesce(~F.col("_lang").isin(list(STOP_LANGS)), F.lit(False)) | (2 * F.regexp_count(whole, F.lit(OTHER_SCRIPT)) > F.length(whole))
+    start = start.select("_row", "_text", foreign.alias("_foreign"))
+    split = fence(start.select("_row", "_text", "_foreign", words_of(F.col("_text")).alias("_words"), lines.alias("_lines")))
     n = F.size("_words")
     window = F.transform(
         F.sequence(F.lit(0), n - WINDOW),
@@ -66,7 +77,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     hashed = fence(
         split.select(
-            "_row", "_words", "_lines",
+            "_row", "_words", "_lines", "_foreign",
             F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("_symbols"),
             F.when(n >= WINDOW, window).otherwise(empty).alias("_hashes"),
         )
@@ -79,7 +90,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     same = lambda i, j: F.get(F.col("_pairs"), i)["h"].eqNullSafe(F.get(F.col("_pairs"), j)["h"])
     at = F.filter("_pairs", lambda p, k: ((k > 0) & same(k, k - 1)) | ((k < last) & same(k, k + 1)))
     placed = fence(
-        marked.select("_row", "_words", "_lines", "_symbols", F.sort_array(F.transform(at, lambda p: p["i"])).alias("_at"))
+        marked.select("_row", "_words", "_lines", "_foreign", "_symbols", F.sort_array(F.transform(at, lambda p: p["i"])).alias("_at"))
     )
     return placed.select(F.col("_row.*"), _metrics().alias("_quality"))
 
@@ -104,9 +115,9 @@ def _metrics() -> Column:
         n_lines.alias("n_lines"),
         share(chars, n_words).alias("mean_word_chars"),
         share(F.col("_symbols"), n_words).alias("symbol_ratio"),
-        share(F.regexp_count(joined, F.lit(r"(?U)(?<!\S)[^\p{Ll}\s]*\p{Lu}{2}[^\p{Ll}\s]*(?!\S)")), n_words).alias("upper_word_ratio"),
+        share(F.regexp_count(joined, F.lit(r"(?<![^ ])[^\p{Ll} ]*\p{Lu}{2}[^\p{Ll} ]*(?![^ ])")), n_words).alias("upper_word_ratio"),
         share(F.regexp_count(joined, F.lit("!(?: |$)")), n_words).alias("bang_word_ratio"),
-        share(some(words, lambda w: bare(w).isin(list(STOP_WORDS))), n_words).alias("stop_word_ratio"),
+        F.when((n_words < STOP_MIN_WORDS) | F.col("_foreign"), 1.0).otherwise(share(some(words, lambda w: bare(w).isin(list(STOP_WORDS))), n_words)).alias("stop_word_ratio"),
         share(dup_lines, n_lines).alias("dup_line_ratio"),
         share(some(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)).rlike(r"(\.\.\.|…)$")), n_lines).alias("ellipsis_line_ratio"),
         share(some(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)).rlike("^[-*•‣·] ")), n_lines).alias("bullet_line_ratio"),
@@ -138,11 +149,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that break no rule, with their own columns."""
-    return judge(packed(docs, text_col), rules, text_col).where("_kept").select("_row.*")
+    return judge(packed(docs, text_col, *(["lang"] if "lang" in docs.columns and text_col != "lang" else [])), rules, text_col).where("_kept").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    judged = judge(view(docs, doc_id="doc_id", text="text"))
+    judged = judge(view(docs, doc_id="doc_id", text="text", **({"lang": "lang"} if "lang" in docs.columns else {})))
     q = F.col("_quality")
     return judged.select(
         "doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -153,6 +164,7 @@ def query(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     """The same counts and rules in SQL."""
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    langs = ", ".join(f"'{x}'" for x in STOP_LANGS)
     keep = []
     for r in RULES:
         if r.low is not None:
@@ -161,7 +173,7 @@ def _sql() -> str:
             keep.append(f"{r.metric} <= {r.high}")
     return rf"""
     WITH d AS (
-      SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text,
+      SELECT doc_id, (coalesce(lang NOT IN ({langs}), FALSE) OR 2 * length(regexp_replace(coalesce(text, ''), '[\x00-\x{{024F}}\x{{1E00}}-\x{{1EFF}}\x{{2000}}-\x{{2BFF}}]', '', 'g')) > length(coalesce(text, ''))) AS foreign_, row_number() OVER () AS rid, coalesce(text, '') AS text,
              regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
     ln AS (SELECT rid, l FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
     la AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines,
@@ -170,7 +182,7 @@ def _sql() -> str:
     wi AS (SELECT rid, i, array_to_string(words[i:i+4], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
     rep AS (SELECT rid, i FROM wi QUALIFY count(*) OVER (PARTITION BY rid, w) > 1),
     ra AS (SELECT rid, sum(least(5, coalesce(nx - i, 5))) AS n_rep FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM rep) GROUP BY rid),
-    c AS (SELECT doc_id, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
+    c AS (SELECT doc_id, foreign_, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words,
                  coalesce(n_lines, 0) AS n_lines, coalesce(n_dots, 0) AS n_dots, coalesce(n_bullets, 0) AS n_bullets,
@@ -182,7 +194,7 @@ def _sql() -> str:
                  CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio,
                  CASE WHEN n_words > 0 THEN n_upper / n_words ELSE 0 END AS upper_word_ratio,
                  CASE WHEN n_words > 0 THEN n_bang / n_words ELSE 0 END AS bang_word_ratio,
-                 CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_word_ratio,
+                 CASE WHEN n_words < {STOP_MIN_WORDS} OR foreign_ THEN 1 WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_word_ratio,
                  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
                  CASE WHEN n_lines > 0 THEN n_dots / n_lines ELSE 0 END AS ellipsis_line_ratio,
                  CASE WHEN n_lines > 0 THEN n_bullets / n_lines ELSE 0 END AS bullet_line_ratio,

@@ -100,3 +100,18 @@ def test_mix_comes_near_its_targets_without_ids_of_their_own(spark):
     assert len(by) == 4 and all(abs(sum(taken) - target) <= 9 for (_, target), taken in by.items())
     table = pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string())))})
     same(mixing.query(docs), mixing.SQL, documents=table)
+
+
+def test_clean_texts_without_listed_words(spark):
+    """Short texts, other languages and other scripts are not judged by stop words they cannot have; junk is."""
+    russian = "В гавани утром было тихо и лодки долго стояли под туманом который не рассеялся пока солнце высоко поднялось над старым городом рыбаки чинили сети ждали прилива говорили про цены рыбу погоду детей школу новую дорогу через лес"
+    finnish = "satama oli hiljainen aamulla ja veneet seisoivat sumussa joka ei hälvennyt ennen kuin aurinko nousi korkealle vanhan kaupungin ylle kalastajat korjasivat verkkoja odottivat vuorovettä puhuivat hinnoista kalasta säästä lapsista koulusta"
+    junk = " ".join(f"zq{i}x" for i in range(60))
+    rows = [(1, russian, None), (2, finnish, "fi"), (3, "zq1 zq2 zq3 zq4 zq5 zq6 zq7 zq8 zq9 zq10 zq11 zq12", "en"), (4, junk, None), (5, junk, "en"), (6, "AB\u00a0cd " * 3 + "the quick one of them and the other is in a far far away land", "en"), (7, russian, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality.query(docs).collect()}
+    assert kept == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True}
+    assert {r.doc_id for r in quality.filter_documents(docs).collect()} == {1, 2, 3, 6, 7}
+    table = pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())))})
+    same(quality.query(docs), quality.SQL, documents=table)
+    assert quality.query(docs.drop("lang")).count() == len(rows)
