@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from larder.functions import rules
 from larder.functions.common import blank_to_null, col_of, fence, lookup, squeeze, text_or_empty, words_regex
@@ -15,28 +16,28 @@ from larder.functions.common import blank_to_null, col_of, fence, lookup, squeez
 NON_ASCII = r"[^\x00-\x7F]"
 
 
-def unicode_normalize(df: DataFrame, column: str, form: str = "NFKD") -> DataFrame:
-    """Unicode-normalise one text column.
+@F.pandas_udf(StringType())  # not as text: workers import this module and have no session to read it
+def _decomposed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKD", v), na_action="ignore")
 
-    Spark has no builtin for this. Only the distinct values that hold a non-ASCII
-    character pass through Arrow; every other row stays in the JVM.
+
+@F.pandas_udf(StringType())  # not as text: workers import this module and have no session to read it
+def _composed_folded(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+
+
+def decomposed(c: Column | str) -> Column:
+    """NFKD form: full-width letters, ligatures and composed accents as plain parts.
+
+    Spark has no builtin for this. Only values that hold a non-ASCII character
+    pass through Arrow; for all others the batch holds a null.
     """
+    return F.coalesce(_decomposed(F.when(col_of(c).rlike(NON_ASCII), col_of(c))), col_of(c))
 
-    @F.pandas_udf("string")
-    def _normal(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
 
-    pairs = (
-        df.where(F.col(column).rlike(NON_ASCII))
-        .select(F.col(column).alias("_from"))
-        .distinct()
-        .withColumn("_to", _normal("_from"))
-    )
-    return (
-        df.join(pairs, F.col(column) == F.col("_from"), "left")
-        .withColumn(column, F.coalesce("_to", column))
-        .drop("_from", "_to")
-    )
+def folded(c: Column | str) -> Column:
+    """NFKC form with case folded; ASCII text is lower-cased in the JVM."""
+    return F.coalesce(_composed_folded(F.when(col_of(c).rlike(NON_ASCII), col_of(c))), F.lower(col_of(c)))
 
 
 def clean_title(c: Column | str) -> Column:
@@ -111,7 +112,7 @@ def add_phrase_key(df: DataFrame, source: str, name: str = "phrase_key", trace:
     Built as a chain of projections rather than one nested expression: each step
     is read several times by the next, and nesting would repeat it every time.
     Unicode letters are kept at the ends, so phrases in other scripts survive;
-    apply ``unicode_normalize`` first where text may be non-ASCII.
+    apply ``decomposed`` first where text may be non-ASCII.
     """
     protected = rules.PROTECTED_PHRASES
     out = df.withColumn("_k0", F.lower(squeeze(text_or_empty(F.col(source)))))
@@ -185,7 +186,7 @@ def add_parsed_line(df: DataFrame, source: str) -> DataFrame:
 
     dash = r"(?<!\d)\s*[-–—]\s*(?!\d)"
     lead = rf"(?i)^{rules.LEADING_RANGE}({rules.LEADING_NUMBER})\s*(.*)$"
-    out = df.withColumn("_text", squeeze(text_or_empty(F.col(source))))
+    out = df.withColumn("_text", squeeze(decomposed(text_or_empty(F.col(source)))))
     out = out.withColumns(
         {
             "_taste": F.col("_text").rlike(rules.TO_TASTE_PATTERN),
@@ -240,7 +241,7 @@ def profile_items(c: Column | str) -> Column:
 
 
 def food_tokens(c: Column | str) -> Column:
-    """Alphanumeric tokens with the food synonym map applied."""
+    """Alphanumeric tokens with the food synonym map applied (B19); give it ``folded`` text where it may be non-ASCII."""
     tokens = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"[\p{L}\p{N}]+"), 0)
     return F.transform(tokens, lambda t: F.coalesce(lookup(t, rules.FOOD_TOKEN_SYNONYMS), t))
 

@@ -157,6 +157,17 @@ def a10(t: Tables):
     return text.add_parsed_line(t.lines.select("original_ingredient").distinct(), "original_ingredient")
 
 
+# The same lines in full-width letters and digits.
+_PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_WIDE = "".join(chr(ord(x) + 0xFEE0) for x in _PLAIN)
+
+
+@query("A10_parse_wide_line", f"SELECT quantity, unit, ingredient, preparation, count(*) AS n FROM ({PARSED}) GROUP BY ALL")
+def a10b(t: Tables):
+    wide = t.lines.select("original_ingredient").distinct().select(F.translate("original_ingredient", _PLAIN, _WIDE).alias("line"))
+    return text.add_parsed_line(wide, "line").groupBy("quantity", "unit", "ingredient", "preparation").agg(F.count(F.lit(1)).alias("n"))
+
+
 _PHRASE = lambda c: sub(sub(sub(f"lower(trim({c}))", r"\s+", " "), r"\s*\([^)]*\)"), r"^[ .]+|[ .]+$")
 
 

@@ -258,6 +258,21 @@ def f17(t: Tables):
     return con.explain(evaluated(t)).select("request_id", "recipe_id", "passed", "explanation")
 
 
+_GOOD = " + ".join(f"CASE WHEN {d}_status = 'COMPLIANT' THEN 1 ELSE 0 END" for d in con.DIETS)
+
+
+@query("F17_explanation_parts", f"""{FULL} SELECT request_id, recipe_id, CASE WHEN NOT passed THEN 'Rejected' WHEN good > 0 THEN 'Eligible' ELSE 'Satisfies' END AS verdict,
+  CAST(CASE WHEN passed THEN good ELSE n_allergen + n_excluded + n_required + n_dietary + n_nutrition END AS BIGINT) AS n_parts
+FROM (SELECT fp.*, {_GOOD} + CASE WHEN round(coverage_ratio * 100) > 0 THEN 1 ELSE 0 END + coalesce(f.n, 0) + CASE WHEN kcal > 0 THEN 1 ELSE 0 END AS good
+      FROM fp LEFT JOIN (SELECT request_id, recipe_id, count(*) AS n FROM pr WHERE kind = 'preferred' AND present GROUP BY 1, 2) f USING (request_id, recipe_id))""")
+def f17b(t: Tables):
+    """What the sentences consist of: their verdict and how many reasons they give."""
+    e = F.col("explanation")
+    parts = F.size(F.split(F.regexp_replace(e, "^(Rejected|Eligible): ", ""), "; "))
+    verdict = F.regexp_extract(e, "^[A-Za-z]+", 0)
+    return con.explain(evaluated(t)).select("request_id", "recipe_id", verdict.alias("verdict"), F.when(verdict == "Satisfies", 0).otherwise(parts).cast("long").alias("n_parts"))
+
+
 @query("F18_legacy_filter", f"""WITH {EVIDENCE}, it AS MATERIALIZED (SELECT request_id, 'excluded' AS kind, unnest({_split('excluded')}) AS item FROM requests UNION ALL SELECT request_id, 'required', unnest({_split('required')}) FROM requests),
 mt AS (SELECT c.request_id, c.recipe_id, i.kind, i.item, coalesce(bool_or(contains(coalesce(l.canonical_ingredient, l.ingredient), i.item) OR contains(i.item, coalesce(l.canonical_ingredient, l.ingredient))), FALSE) AS near, coalesce(bool_or(coalesce(l.canonical_ingredient = i.item, FALSE)), FALSE) AS same
   FROM candidates c JOIN it i ON c.request_id = i.request_id LEFT JOIN lines l ON c.recipe_id = l.recipe_id GROUP BY 1, 2, 3, 4)

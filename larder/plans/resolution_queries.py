@@ -340,9 +340,9 @@ def b18(t: Tables):
     return t.food_names.select("food_code", text.food_form("food_name").alias("food_form"))
 
 
-@query("B19_food_tokens", f"SELECT doc_id, len(k) AS n_tokens, md5(array_to_string(k, ' ')) AS key_md5 FROM (SELECT doc_id, {food_tokens('text')} AS k FROM documents)")
+@query("B19_food_tokens", f"SELECT doc_id, len(k) AS n_tokens, md5(array_to_string(k, ' ')) AS key_md5 FROM (SELECT doc_id, {food_tokens("replace(nfc_normalize(text), 'ß', 'ss')")} AS k FROM documents)")
 def b19(t: Tables):
-    return t.documents.select("doc_id", text.food_tokens("text").alias("k")).select("doc_id", F.size("k").alias("n_tokens"), F.md5(F.array_join("k", " ")).alias("key_md5"))
+    return t.documents.select("doc_id", text.food_tokens(text.folded("text")).alias("k")).select("doc_id", F.size("k").alias("n_tokens"), F.md5(F.array_join("k", " ")).alias("key_md5"))
 
 
 _COMP = "^(?:" + "|".join(" ".join(p.replace(",", " ").replace("-", " ").split()) for p in rules.COMPOSITE_PREFIXES) + ")"

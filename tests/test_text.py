@@ -89,7 +89,7 @@ def test_diet_terms(spark):
 
 
 def test_unicode_normalize(spark):
-    got = column(text.unicode_normalize(frame(spark, ["café", "½ cup", "plain"]), "x"), "x")
+    got = column(frame(spark, ["café", "½ cup", "plain"]).select(text.decomposed("x").alias("x")), "x")
     assert sorted(got) == sorted(["café", "1⁄2 cup", "plain"])
 
 
