@@ -17,6 +17,7 @@ from larder.functions import rules, text
 from larder.functions.common import (
     count_where, fence, global_row_number, lookup, rnd, text_or_empty, top_k, words_regex, zero_pad,
 )
+from larder.sources.shared import materialize, scratch
 
 # ---------------------------------------------------------------- candidate phrase -> canonical name
 
@@ -894,12 +895,13 @@ def rank_candidates(matches: DataFrame, ingredients: DataFrame, dim: DataFrame,
 
 
 def generate_food_candidates(ingredients: DataFrame, foods: DataFrame, lines: DataFrame) -> DataFrame:
-    """B20 to B29 in one plan."""
-    dim = food_dimension(foods)
-    pairs = matching_pairs(query_terms(ingredients), food_phrases(dim))
-    matches = best_matches(pairs)
-    every = matches.unionByName(fuzzy_fill(pairs, matches))
-    return rank_candidates(every, ingredients, dim, form_evidence(lines))
+    """B20 to B29; foods, pairs and matches are each read several times and are written once."""
+    with scratch(foods.sparkSession) as keep:
+        dim = materialize(food_dimension(foods), "food-dimension")
+        pairs = materialize(matching_pairs(query_terms(ingredients), food_phrases(dim)), "pairs")
+        matches = materialize(best_matches(pairs), "matches")
+        every = materialize(matches.unionByName(fuzzy_fill(pairs, matches)), "all-matches")
+        return keep(materialize(rank_candidates(every, ingredients, dim, form_evidence(lines)), "food-candidates"))
 
 
 def apply_curation(ingredients: DataFrame, decisions: DataFrame, foods: DataFrame) -> DataFrame:
