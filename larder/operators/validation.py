@@ -253,7 +253,10 @@ def unsafe_conversions(lines: DataFrame) -> DataFrame:
 
 
 def nutrition_checks(source: DataFrame, lines: DataFrame, recipe_rows: DataFrame, recipes: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Alignment, enums, and totals recomputed for every recipe."""
+    """Alignment, enums, and totals recomputed for every recipe.
+
+    ``lines`` is read by several checks and by ``recipe_rows``: pass a written table.
+    """
     ok = F.col("nutrition_quality").isin("EXACT", "APPROXIMATE")
     again = lines.groupBy("recipe_id").agg(F.sum(F.when(ok, F.col("energy_kcal")).otherwise(0.0)).alias("_kcal"), F.count(F.lit(1)).alias("_n"))
     r = recipe_rows.join(again, "recipe_id", "left")

@@ -145,9 +145,12 @@ def food_table(t: Tables):
     return nut.food_table(t.curated, measures(t).withColumn("weight", F.col("weight").cast("double")), amounts(t))
 
 
+def line_inputs(t: Tables):
+    return t.lines.select("recipe_id", "line_no", "original_ingredient", "ingredient", "quantity", "unit", "preparation", "ingredient_id", "canonical_ingredient", "mapping_status")
+
+
 def line_rows(t: Tables):
-    cols = ["recipe_id", "line_no", "original_ingredient", "ingredient", "quantity", "unit", "preparation", "ingredient_id", "canonical_ingredient", "mapping_status"]
-    return nut.line_nutrition(t.lines.select(*cols), food_table(t))
+    return nut.line_nutrition(line_inputs(t), food_table(t))
 
 
 @query("N05_grams_ladder", f"SELECT ingredient_id, original_ingredient, mq AS mapping_quality, status AS conversion_status, {sql_round('grams0', 3)} AS grams FROM ({GRAMS})")
@@ -196,8 +199,7 @@ def n14(t: Tables):
 
 @query("N15_nutrition_pipeline", f"SELECT nutrition_quality, count(*) AS recipes, {sql_round('sum(total_calories_kcal)', 2)} AS calories, CAST(sum(ingredient_count) AS BIGINT) AS lines FROM ({ROLL}) GROUP BY 1")
 def n15(t: Tables):
-    cols = ["recipe_id", "line_no", "original_ingredient", "ingredient", "quantity", "unit", "preparation", "ingredient_id", "canonical_ingredient", "mapping_status"]
-    _, recipes = nut.nutrition_pipeline(t.recipes, t.lines.select(*cols), food_table(t))
+    _, recipes = nut.nutrition_pipeline(t.recipes, line_inputs(t), food_table(t))
     return recipes.groupBy("nutrition_quality").agg(F.count(F.lit(1)).alias("recipes"), rnd(F.sum("total_calories_kcal"), 2).alias("calories"), F.sum("ingredient_count").alias("lines"))
 
 

@@ -10,10 +10,11 @@ from larder.functions.quantity import normalize_unit, parse_quantity
 from larder.operators import nutrition as nut
 from larder.operators import resolution as res
 from larder.operators import validation as val
-from larder.plans.nutrition_queries import GRAMS, LINE, MEASURES, PARTS, ROLL, _ITEM, food_table, line_rows, measures, recipe_nutrition
+from larder.plans.nutrition_queries import GRAMS, LINE, MEASURES, PARTS, ROLL, _ITEM, food_table, line_inputs, line_rows, measures, recipe_nutrition
 from larder.plans.registry import Tables, query
 from larder.plans.resolution_queries import foods, ranked
 from larder.plans.sqltext import has, in_list, q, sql_round
+from larder.sources.shared import materialize
 
 _BLANK = lambda c: f"trim(coalesce({c}, '')) = ''"
 
@@ -160,8 +161,8 @@ def d12b(t: Tables):
 
 @query("D13_nutrition_checks", "SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("total_mismatch", "per_serving_mismatch", "line_count_mismatch", "bad_tier", "line_rows_lost", "recipe_rows_lost", "negative_lines", "bad_line_quality")) + " FROM (SELECT count(*) FROM lineitem)")
 def d13(t: Tables):
-    lines = line_rows(t)
-    return val.nutrition_checks(t.lines, lines, nut.roll_up(t.recipes, lines), t.recipes)
+    lines, rolled = nut.nutrition_pipeline(t.recipes, line_inputs(t), food_table(t))
+    return val.nutrition_checks(t.lines, lines, materialize(rolled, "recipe-nutrition"), t.recipes)
 
 
 @query("D14_import_checks", """SELECT (SELECT count(*) FROM nutrient_rows WHERE nutrient_code = 307) AS lost_rows, CAST(0 AS BIGINT) AS extra_rows, (SELECT count(*) FROM nutrient_rows WHERE nutrient_code = 204) AS changed_values, CAST(0 AS BIGINT) AS negative_values, CAST(0 AS BIGINT) AS blank_values, CAST(0 AS BIGINT) AS duplicate_pairs, CAST(0 AS BIGINT) AS foods_without_rows""")

@@ -23,3 +23,21 @@ def test_food_candidates_are_read_back(spark):
     out = res.generate_food_candidates(ingredients, foods, lines)
     assert "Join" not in plan(out)
     assert {(r.ingredient_id, r.food_code, r.method) for r in out.collect()} == {("I1", 1, "EXACT_NAME"), ("I2", None, "NO_MATCH")}
+
+
+def test_nutrition_checks_parse_the_lines_once(spark):
+    t = Tables(spark, "nowhere")
+    t._cache.update(
+        lines=spark.createDataFrame(
+            [("R1", 1, "2 kg rice", "rice", "2", "kg", None, "I1", "rice", "MAPPED_CANONICAL"), ("R1", 2, "x", "x", None, None, None, None, None, None)],
+            "recipe_id string, line_no int, original_ingredient string, ingredient string, quantity string, unit string, preparation string, "
+            "ingredient_id string, canonical_ingredient string, mapping_status string"),
+        recipes=spark.createDataFrame([("R1", "a", 2), ("R2", "b", 0)], "recipe_id string, recipe_name string, servings int"),
+        curated=spark.createDataFrame([("I1", "APPROVED", 1, "rice, dry")], "ingredient_id string, curation_status string, cnf_food_code long, cnf_food_name string"),
+        measure_rows=spark.createDataFrame([(1, 1, 1, 6, 10.0)], "food_code long, measure_code int, ord int, measure_type int, weight double"),
+        measure_names=spark.createDataFrame([(1, "250ml")], "measure_code int, description string"),
+        nutrient_rows=spark.createDataFrame([(1, 208, 100.0)], "food_code long, nutrient_code int, amount double"),
+    )
+    out = vq.d13(t)
+    assert "RLIKE" not in plan(out)
+    assert set(out.first()) == {0}
