@@ -453,7 +453,8 @@ def resolve(phrases: DataFrame, canonical: DataFrame, aliases: DataFrame, column
 
 def parse_and_resolve(lines: DataFrame, canonical: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """Parse free-text lines and resolve their ingredient."""
-    parsed = text.add_parsed_line(lines, column)
+    # read for its distinct phrases and again for the answers
+    parsed = materialize(text.add_parsed_line(lines, column), "parsed-lines")
     return resolve(parsed, canonical, aliases, "ingredient").withColumn(
         "mapping_status",
         F.when(F.col("match_method") == "EXACT_CANONICAL", "MAPPED_CANONICAL")

@@ -25,6 +25,15 @@ def test_food_candidates_are_read_back(spark):
     assert {(r.ingredient_id, r.food_code, r.method) for r in out.collect()} == {("I1", 1, "EXACT_NAME"), ("I2", None, "NO_MATCH")}
 
 
+def test_parsed_lines_are_read_back(spark):
+    lines = spark.createDataFrame([("2 cups Rice - washed",), ("2 cups Rice - washed",), (None,)], "said string")
+    canonical = spark.createDataFrame([("I1", "rice")], "ingredient_id string, canonical_name string")
+    aliases = spark.createDataFrame([], "alias_id string, canonical_ingredient_id string, alias string, normalized_alias string, confidence double, review_status string")
+    out = res.parse_and_resolve(lines, canonical, aliases, "said")
+    assert "regexp_extract" not in plan(out)
+    assert sorted((r.ingredient, r.ingredient_id, r.mapping_status) for r in out.collect() if r.said) == [("rice", "I1", "MAPPED_CANONICAL")] * 2
+
+
 def test_nutrition_checks_parse_the_lines_once(spark):
     t = Tables(spark, "nowhere")
     t._cache.update(
