@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions import rules
-from larder.functions.common import blank_to_null, col_of, lookup, words_regex
+from larder.functions.common import blank_to_null, bound, col_of, lookup, words_regex
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _FRACTION = r"^(\d+)\s*/\s*(\d+)$"
@@ -19,8 +19,10 @@ def parse_quantity(c: Column | str) -> Column:
     The pattern is tested before each cast, because Spark reads ``1d`` as a number
     and ANSI mode raises on text that is not one.
     """
-    text = blank_to_null(c)
+    return bound(blank_to_null(c), _parse)
 
+
+def _parse(text: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group).try_cast("double")
 
@@ -47,8 +49,7 @@ def parse_quantity(c: Column | str) -> Column:
 
 def normalize_unit(c: Column | str) -> Column:
     """Unit key; unknown units are kept, blank ones become NULL."""
-    unit = F.lower(blank_to_null(c))
-    return F.coalesce(lookup(unit, rules.UNIT_SPELLINGS), unit)
+    return bound(F.lower(blank_to_null(c)), lambda unit: F.coalesce(lookup(unit, rules.UNIT_SPELLINGS), unit))
 
 
 def water_grams(quantity: Column, unit: Column) -> Column:

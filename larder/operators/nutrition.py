@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import rules
-from larder.functions.common import count_where, fence, lookup, rnd, spread_null, text_or_empty
+from larder.functions.common import bound, count_where, fence, lookup, rnd, spread_null, text_or_empty
 from larder.functions.quantity import normalize_unit, parse_quantity, water_grams
 
 NUTRIENTS = list(rules.CORE_NUTRIENTS.values())
@@ -111,12 +111,16 @@ def is_water(canonical: Column, ingredient_id: Column) -> Column:
 
 def qualitative_rule(canonical: Column, said: Column) -> Column:
     """First qualitative rule that names the ingredient, as struct(class, quantity, unit)."""
-    ladder = None
-    for pattern, cls, qty, unit in rules.QUALITATIVE_RULES:
-        hit = (canonical == pattern) | said.rlike(rf"(?i)\b{pattern}\b")
-        rule = F.struct(F.lit(cls).alias("cls"), F.lit(qty).cast("double").alias("qty"), F.lit(unit).cast("string").alias("unit"))
-        ladder = F.when(hit, rule) if ladder is None else ladder.when(hit, rule)
-    return ladder
+
+    def ladder(said: Column) -> Column:
+        out = None
+        for pattern, cls, qty, unit in rules.QUALITATIVE_RULES:
+            hit = (canonical == pattern) | said.rlike(rf"(?i)\b{pattern}\b")
+            rule = F.struct(F.lit(cls).alias("cls"), F.lit(qty).cast("double").alias("qty"), F.lit(unit).cast("string").alias("unit"))
+            out = F.when(hit, rule) if out is None else out.when(hit, rule)
+        return out
+
+    return bound(said, ladder)
 
 
 def add_grams(lines: DataFrame, estimate_qualitative: bool = True) -> DataFrame:
@@ -201,7 +205,7 @@ def add_grams(lines: DataFrame, estimate_qualitative: bool = True) -> DataFrame:
 def add_state(lines: DataFrame, yields: bool = True) -> DataFrame:
     """Adds ``state_status`` and ``yield_factor``: cooked text against a raw food."""
     said = F.concat_ws(" ", "original_ingredient", "ingredient", "preparation")
-    cue = F.when(said.rlike(rules.COOKED_CUE), F.lower(F.regexp_extract(said, rules.COOKED_CUE, 1))).otherwise("")
+    cue = bound(said, lambda s: F.when(s.rlike(rules.COOKED_CUE), F.lower(F.regexp_extract(s, rules.COOKED_CUE, 1))).otherwise(""))
     out = lines.withColumns({"_cue": cue, "_canon": F.lower(F.trim(text_or_empty(F.col("canonical_ingredient"))))})
     applies = (
         (F.col("_cue") != "")

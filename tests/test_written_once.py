@@ -50,3 +50,17 @@ def test_nutrition_checks_parse_the_lines_once(spark):
     out = vq.d13(t)
     assert "RLIKE" not in plan(out)
     assert set(out.first()) == {0}
+
+
+def test_a_looked_up_key_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("a",), ("B",), ("c",), (None,)], "x string")
+    out = rows.select("x", lookup(F.upper("x"), {"A": 1, "B": 2}).alias("n"))
+    assert plan(out).count("upper(") == 1
+    assert [r.n for r in out.collect()] == [1, 2, None, None]
+
+
+def test_a_quantity_is_cleaned_once(spark):
+    rows = spark.createDataFrame([(" 1/2 ",), ("1 1/4",), ("nan",), ("some",), (None,)], "x string")
+    out = rows.select(parse_quantity("x").alias("p"))
+    assert plan(out).count("nan|none") == 1
+    assert [r.p.quantity for r in out.collect()] == [0.5, 1.25, None, None, None]
