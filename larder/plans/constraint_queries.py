@@ -215,12 +215,22 @@ fe AS MATERIALIZED (SELECT st.*, coalesce(a.n, 0) AS n_allergen, coalesce(p.ex,
 fp AS MATERIALIZED (SELECT *, n_allergen + n_excluded + n_required + n_dietary + n_nutrition = 0 AS passed FROM fe)"""
 
 
+def write_lines(t: Tables) -> None:
+    """From here on ``t.lines`` is what checks, scores and ``t.nutri`` read of the lines, written once: they are a join of two tables."""
+    if "written" not in t._cache:
+        columns = ["recipe_id", *con.LINE_COLUMNS, "quantity", "l_quantity", "l_extendedprice"]
+        t._cache["written"] = t._cache["lines"] = materialize(t.lines.select(*columns), "lines")
+        t._cache.pop("nutri", None)
+
+
 def evaluated(t: Tables):
     """The full evaluation, written once: each query here reads it, some of them more than once."""
+    write_lines(t)
     with scratch(t.spark) as keep:
-        held = lines(t)
-        known = con.recipe_evidence(t.recipes, held, food_ontology(t))
-        return keep(materialize(con.evaluate(t.candidates.select("request_id", "recipe_id"), requests(t), known, t.recipes, held, t.nutri, t.canon, t.alias_rows, BOUNDS), "evaluated"))
+        # No table of its own: all that reads the bundles reads the one shuffle of the lines by recipe.
+        bundles = con.line_bundles(t.lines)
+        known = con.recipe_evidence(t.recipes, con.bundled_lines(bundles), food_ontology(t))
+        return keep(materialize(con.evaluate_bundles(t.candidates.select("request_id", "recipe_id"), requests(t), known, t.recipes, bundles, t.nutri, t.canon, t.alias_rows, BOUNDS), "evaluated"))
 
 
 def _n(kind: str):

@@ -12,7 +12,7 @@ from larder.operators import retrieval as ret
 from larder.operators import validation as val
 from larder.operators.cleaning import approved_cuisine
 from larder.plans.cleaning_queries import _FLAGS, APPROVED
-from larder.plans.constraint_queries import FULL, LISTS, _split, evaluated, requests
+from larder.plans.constraint_queries import FULL, LISTS, _split, evaluated, requests, write_lines
 from larder.plans.registry import Tables, query
 from larder.plans.sqltext import q, sql_round
 
@@ -274,6 +274,7 @@ UNFILTERED = f"{FULL}, {SCORED}, un AS MATERIALIZED (SELECT request_id, recipe_i
 
 
 def unfiltered(t: Tables):
+    write_lines(t)
     return rk.rank_hybrid(scored(t), 5)
 
 

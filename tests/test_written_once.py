@@ -1,11 +1,15 @@
 """What several steps read is worked out once, and no task's share grows with the input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from larder.functions.common import lookup
 from larder.functions.quantity import parse_quantity
+from larder.operators import constraints as con
 from larder.operators import resolution as res
 from larder.operators import retrieval as ret
+from larder.plans import constraint_queries as cq
 from larder.plans import validation_queries as vq
 from larder.plans.registry import Tables
 
@@ -72,3 +76,42 @@ def test_terms_are_counted_in_tasks_that_grow_in_number(spark, monkeypatch):
     assert ret._by_document(docs, "doc_id", "text").rdd.getNumPartitions() == 44
     assert {r.df for r in ret.fit_tfidf(docs).terms.collect()} == {20}
     assert ret.fit_tfidf(docs.where("false")).terms.count() == 0
+
+
+LINES = "recipe_id string, ingredient_id string, canonical_ingredient string, ingredient string, original_ingredient string, quantity string, l_quantity double, l_extendedprice double"
+
+
+def test_candidates_are_checked_beside_their_recipe(spark):
+    lists = ["allergens", "excluded", "required", "available", "preferred"]
+    requests = spark.createDataFrame(
+        [("Q1", None, True, ["Mace"], ["garlic"], ["rice", "milk"], ["rice"], ["onion"]), ("Q2", None, False, ["saffron"], None, None, None, None)],
+        f"request_id string, vegan boolean, require_all boolean, {', '.join(f'{c} array<string>' for c in lists)}"
+    ).withColumns({d: F.lit(None).cast("boolean") for d in ("vegetarian", "jain", "satvik")})
+    recipes = spark.createDataFrame([("R1", "a", "Vegetarian", "salt, saffron water"), ("R2", "b", "Vegetarian", None)], "recipe_id string, recipe_name string, diet_type string, ingredients string")
+    lines = spark.createDataFrame(
+        [("R1", "I1", "rice", "Rice", "2 cups rice", "2", 1.0, 1.0), ("R1", None, None, "garlic", "garlic with MACE", None, 1.0, 1.0),
+         ("R1", None, None, "garlic", "garlic with MACE", None, 1.0, 1.0), (None, "I2", "milk", "milk", "milk", None, 1.0, 1.0)], LINES)
+    canonical = spark.createDataFrame([("I1", "rice", "grain"), ("I2", "milk", "dairy")], "ingredient_id string, canonical_name string, category string")
+    aliases = spark.createDataFrame([], "alias_id string, canonical_ingredient_id string, alias string, normalized_alias string, confidence double, review_status string")
+    nutrition = spark.createDataFrame([("R1", 100.0)], "recipe_id string, per_serving_calories_kcal double")
+    candidates = spark.createDataFrame([("Q1", "R1"), ("Q1", "R1"), ("Q1", "R2"), ("Q1", "R9"), ("Q2", "R1"), ("Q2", None)], "request_id string, recipe_id string")
+    out = con.evaluate(candidates, requests, con.recipe_evidence(recipes, lines, canonical), recipes, lines, nutrition, canonical, aliases, {})
+    assert not re.search(r"Aggregate \[request_id#\d+, recipe_id#\d+\]", plan(out))
+    rows = [(r.request_id, r.recipe_id, [f.kind for f in r.failures], r.matched_ingredients, r.missing_ingredients, r.coverage_ratio) for r in out.collect()]
+    first = ("Q1", "R1", ["allergen", "excluded", "required", "required"], ["rice"], ["garlic"], 0.5)
+    bare = ["required", "required"]
+    assert sorted(rows, key=str) == sorted(
+        [first, first, ("Q1", "R2", bare, None, None, None), ("Q1", "R9", bare, None, None, None), ("Q2", "R1", ["allergen"], [], ["garlic", "rice"], 0.0), ("Q2", None, [], None, None, None)], key=str)
+
+
+def test_evaluation_and_nutrition_read_the_written_lines(spark):
+    t = Tables(spark, "nowhere")
+    lines = spark.createDataFrame([("R1", "I1", "rice", "rice", "rice", "2", 8.0, 200.0), ("R1", None, None, None, None, None, 4.0, 200.0)], LINES)
+    t._cache["lines"] = lines.join(spark.createDataFrame([("R1",)], "recipe_id string").hint("merge"), "recipe_id")
+    assert "Join" in plan(t.nutri)
+    cq.write_lines(t)
+    written = t.lines
+    cq.write_lines(t)
+    assert t.lines is written
+    assert "Join" not in plan(t.nutri)
+    assert [(r.per_serving_calories_kcal, r.ingredient_count, r.calculated_ingredient_count) for r in t.nutri.collect()] == [(2.0, 2, 1)]
