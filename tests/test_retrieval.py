@@ -111,3 +111,30 @@ def test_search_skips_blocks_and_finds_the_same(spark):
     rows = [r for r in ret.lexical_scores(model, own).collect() if r.query_id != r.doc_id]
     best = ret.lexical_top(spark.createDataFrame(rows, "query_id long, doc_id long, score double"), 3)
     assert sorted(tuple(r) for r in ret.more_like_this(docs, 3, "doc_id", "text").collect()) == sorted(tuple(r) for r in best.collect())
+
+
+def test_retrieval_counts_texts_once_and_keeps_only_its_result(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{min(rng.randrange(1, 80), rng.randrange(1, 80))}" for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(1, 40))) for i in range(150)] + [(150, None), (None, "w1 w2 w3"), (7, "w1 w2")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, text(12)) for i in range(6)] + [(6, "nothing known"), (None, "w1")], "query_id long, text string")
+    model = ret.fit_tfidf(docs)
+    want = sorted(tuple(r) for r in ret.lexical_top(ret.lexical_scores(model, queries), 5).where("doc_id is not null").collect())
+    left = []
+    write = ret.materialize
+
+    def noted(df, label, **more):
+        left.append((label, table := write(df, label, **more)))
+        return table
+
+    monkeypatch.setattr(ret, "materialize", noted)
+    for weights in (0, 1 << 17):  # query weights joined by shuffle, then by broadcast
+        monkeypatch.setattr(ret, "BROADCAST_WEIGHTS", weights)
+        left.clear()
+        assert sorted(tuple(r) for r in ret.lexical_retrieve(docs, queries, 5).collect()) == want
+        assert [label for label, _ in left].count("doc-terms") == 1
+        assert [label for label, t in left if shared_has(spark, t)] == ["lexical-top"]
+
+
+def shared_has(spark, table):
+    return all(spark._jvm.java.io.File(spark._jvm.java.net.URI(f)).exists() for f in table.inputFiles())
