@@ -15,6 +15,7 @@ from larder.plans.cleaning_queries import _FLAGS, APPROVED
 from larder.plans.constraint_queries import FULL, LISTS, _split, evaluated, requests, write_lines
 from larder.plans.registry import Tables, query
 from larder.plans.sqltext import q, sql_round
+from larder.sources.shared import materialize, scratch
 
 GOALS = {g: g for g in ("calorie_target", "protein_target", "max_calories", "min_protein")}
 _SH = lambda c: f"CASE WHEN len(list_distinct({_split('r.' + c)})) > 0 THEN len(list_intersect(list_distinct({_split('r.' + c)}), coalesce(cs.s, []))) * 1.0 / len(list_distinct({_split('r.' + c)})) END"
@@ -107,7 +108,8 @@ def g09(t: Tables):
     """Free-text requests: lexical retrieval over the recipe corpus, then scoring and ranking."""
     corpus = ret.build_corpus(t.recipes.where(approved_cuisine("cuisine")), t.lines).select(F.col("recipe_id").alias("id"), F.col("corpus_text").alias("text"))
     asked = requests(t).select("segment", "available").distinct().select(F.col("segment").alias("query_id"), F.concat_ws(" ", "available").alias("text"))
-    top = ret.lexical_search(ret.lexical_index(ret.fit_tfidf(corpus, "id", "text"), "id"), asked, 50)
+    with scratch(corpus.sparkSession) as keep:
+        top = keep(ret.lexical_retrieve(materialize(corpus, "corpus"), asked, 50, "id"))
     ask = requests(t).groupBy(F.col("segment").alias("request_id")).agg(*[F.max(c).alias(c) for c in ("required", "available", "preferred", "disliked")])
     ask = ask.withColumns({**{c: F.lit(None).cast("boolean") for c in ("vegetarian", "vegan")}, **{c: F.lit(None).cast("string") for c in ("want_cuisine", "want_meal")}, **{g: F.lit(None).cast("double") for g in GOALS}})
     found = top.select(F.col("query_id").alias("request_id"), F.col("id").alias("recipe_id"), F.col("score").alias("similarity_score"))
