@@ -25,7 +25,9 @@ SHORT, LONG = 112, 160
 #: Shingles of a longer line that are looked at before all of them are.
 FIRST = 256
 #: Characters that a task hashes at once.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 18
+#: Bits of a line's sketch; lines, and about as many characters, that are sketched at once.
+SKETCH_BITS, SKETCH_LINES, SKETCH_CHARS = 1 << 12, 1 << 9, 1 << 17
 #: Ids of 8 bytes that may go to every task.
 BROADCAST_IDS = 1 << 20
 #: Lines of a band that are compared with each other in one task; a larger band is dealt out as pairs of such blocks.
@@ -173,26 +175,97 @@ def shared_bands(bands: DataFrame) -> DataFrame:
 
 
 def shingles(line: str) -> frozenset[str]:
+    """What ``shingle_sets`` numbers."""
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """SKETCH_BITS bits of each line, set where its shingles hash to, and its number of shingles, repeats counted."""
+    bits, counts, at = np.empty((len(lines), SKETCH_BITS // 64), np.uint64), np.empty(len(lines), np.int64), 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and end - at < SKETCH_LINES and size < SKETCH_CHARS:
+            size += len(lines[end])
+            end += 1
+        hashes, counts[at:end] = _shingle_hashes(lines[at:end])
+        flags = np.zeros((end - at, SKETCH_BITS), bool)
+        places = (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        flags.reshape(-1)[places + np.repeat(np.arange(end - at) * SKETCH_BITS, counts[at:end])] = True
+        bits[at:end] = np.packbits(flags, axis=1).view(np.uint64)
+        at = end
+    return bits, counts
+
+
+def may_be_similar(bits: np.ndarray, counts: np.ndarray, others: np.ndarray, other_counts: np.ndarray) -> np.ndarray:
+    """Whether lines may reach SIMILARITY by their sketches; of those that do, none is refused.
+
+    A bit that only one of two lines has stands for a shingle that the other
+    lacks, so two lines differ in at least as many shingles as bits. Similar sets
+    differ in at most (1 / SIMILARITY - 1) times the smaller one.
+    """
+    apart = np.bitwise_count(bits ^ others).sum(axis=1, dtype=np.int64)
+    return apart <= (1 / SIMILARITY - 1) * np.minimum(counts, other_counts) + 1e-6
+
+
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each shingle of each line, equal exactly where the shingles are, and how many each line has."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    counts = np.maximum(sizes, SHINGLE) - SHINGLE + 1
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = np.flatnonzero(np.bincount(codes))
+    rank = np.zeros(int(symbols[-1]) + 1, np.int64)
+    rank[symbols] = np.arange(1, len(symbols) + 1)  # 0 stands behind the end of a line
+    padded = np.maximum(sizes, SHINGLE)  # a line shorter than a shingle is one
+    starts = np.cumsum(padded) - padded
+    values = np.zeros(int(padded.sum()), np.int64)
+    values[np.arange(len(codes)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)] = rank[codes]
+    bits, total = len(symbols).bit_length(), len(values) - SHINGLE + 1
+    if SHINGLE * bits <= 63:
+        numbers = np.zeros(total, np.int64)
+        for k in range(SHINGLE):
+            numbers = (numbers << bits) | values[k : k + total]
+    else:  # more symbols than fit: stretches are ranked, then twice as long ones, the last two of which overlap
+        numbers, width = values, 1
+        while width < SHINGLE:
+            step = min(width, SHINGLE - width)
+            _, numbers = np.unique(numbers[:-step] * (int(numbers.max()) + 1) + numbers[step:], return_inverse=True)
+            width += step
+    return numbers[np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)], counts
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line as sorted different numbers, equal exactly where the shingles of these lines are."""
+    numbers, counts = _windows(lines)
+    sets, at = [], 0
+    for count in counts.tolist():
+        own = np.sort(numbers[at : at + count])
+        sets.append(own[np.r_[True, own[1:] != own[:-1]]])
+        at += count
+    return sets
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose exact Jaccard similarity reaches SIMILARITY."""
-    last, own = None, frozenset()
+    """The pairs whose exact Jaccard similarity reaches SIMILARITY; sets are built for those that their sketches let pass."""
     for batch in batches:
-        a, b = [], []
-        for i, j, left, right in rows_of(iter([batch]), "a", "b", "left", "right"):
-            if left != last:
-                last, own = left, shingles(left)
-            other = shingles(right)
-            low, high = sorted((len(own), len(other)))
-            if low < SIMILARITY * high:
+        for at in range(0, batch.num_rows, SKETCH_LINES):
+            a, b, left, right = (batch.column(n).slice(at, SKETCH_LINES).to_pylist() for n in ("a", "b", "left", "right"))
+            place: dict[str, int] = {}
+            which = np.fromiter((place.setdefault(x, len(place)) for x in left), np.int64, len(left))
+            bits, counts = sketches(list(place))
+            pairs = np.flatnonzero(may_be_similar(bits[which], counts[which], *sketches(right))).tolist()
+            if not pairs:
                 continue
-            common = len(own & other)
-            if common >= SIMILARITY * (low + high - common):
-                a.append(i)
-                b.append(j)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            asked = dict.fromkeys(x for k in pairs for x in (left[k], right[k]))
+            sets = dict(zip(asked, shingle_sets(list(asked)), strict=True))
+            found = []
+            for k in pairs:
+                own, other = sets[left[k]], sets[right[k]]
+                both = np.sort(np.concatenate((own, other)))
+                common = np.count_nonzero(both[1:] == both[:-1])
+                if common >= SIMILARITY * (len(both) - common):
+                    found.append((a[k], b[k]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
 
 def candidate_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -208,32 +281,49 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"), "similar")
 
 
-def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
-    """Links between the components of one block of a band, or across two, by exact similarity.
+def _more_links(ids: np.ndarray, lines: list[str], roots: np.ndarray, sides: np.ndarray, starts: list[int]) -> list[tuple[int, int]]:
+    """Links between the components of blocks of a band, or across two, by exact similarity; ``starts``: where blocks begin.
 
-    Every line outside the largest component asks an inverted index of the
-    shingles how many it shares with each other line, so all pairs that are still
-    apart are compared, without a row or a set operation for each. Where
-    ``sides`` tells two blocks apart, pairs inside one are left to its own task.
+    Every line outside the largest component of its block asks all lines of other
+    ones, first by their sketches. Where any may be similar, it tells how many
+    shingles it shares with each, so all pairs that are still apart are compared,
+    without a row or a set operation for each. Where ``sides`` tells two blocks
+    apart, pairs inside one are left to its own task.
     """
-    across = sides.any() and not sides.all()
-    numbers: dict[str, int] = {}
-    sets = [np.fromiter({numbers.setdefault(x, len(numbers)) for x in shingles(line)}, np.int64) for line in lines]
+    bits, counts = sketches(lines)
+    wanted, part, asking = np.zeros(len(ids), bool), np.empty(len(ids), np.int64), []
+    for block in (slice(*x) for x in zip(starts, [*starts[1:], len(ids)], strict=True)):
+        across = sides[block].any() and not sides[block].all()
+        _, part[block], members = np.unique(roots[block], return_inverse=True, return_counts=True)
+        for q in block.start + np.flatnonzero(part[block] != members.argmax()):
+            near = may_be_similar(bits[q], counts[q], bits[block], counts[block]) & (part[block] != part[q])
+            if across:
+                near &= sides[block] != sides[q]
+            if near.any():
+                wanted[block] |= near
+                wanted[q] = True
+                asking.append((q, block, across))
+    if not asking:
+        return []
+    chosen = np.flatnonzero(wanted)
+    sets = shingle_sets([lines[i] for i in chosen])
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    owner, ends = owner[order], np.cumsum(np.bincount(flat, minlength=len(numbers)))
-    starts = np.r_[0, ends[:-1]]
-    names, part, counts = np.unique(roots, return_inverse=True, return_counts=True)
-    found = []
-    for q in np.flatnonzero(part != counts.argmax()):
-        shared = np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in sets[q]]), minlength=len(sets))
-        near = shared >= SIMILARITY * (sizes + sizes[q] - shared)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    different, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mine, found = np.zeros(len(different), bool), []
+    for q, block, across in asking:
+        at = int(np.searchsorted(chosen, q))
+        low, high = np.searchsorted(chosen, [block.start, block.stop])
+        those, own = chosen[low:high], flat[begins[at] : ends[at]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[flat[begins[low] : ends[high - 1]]], begins[low:high] - begins[low], dtype=np.int64)
+        mine[own] = False
+        near = (shared >= SIMILARITY * (sizes[low:high] + sizes[at] - shared)) & (part[those] != part[q])
         if across:
-            near &= sides != sides[q]
-        for name in np.unique(part[near]):
-            if name != part[q]:
-                found.append((int(ids[q]), int(ids[np.flatnonzero(near & (part == name))[0]])))
+            near &= sides[those] != sides[q]
+        _, first = np.unique(part[those[near]], return_index=True)
+        found += [(int(ids[q]), int(i)) for i in ids[those[near][first]]]
     return found
 
 
@@ -257,23 +347,26 @@ def band_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, links = None, [], []
+        now, starts, held, size, links = None, [], [], 0, []
 
         def search() -> list[tuple[int, int]]:
-            if not held:
-                return []
-            ids, lines, roots, sides = zip(*held, strict=True)
-            return _more_links(np.array(ids), list(lines), np.array(roots), np.array(sides))
+            ids, lines, roots, sides = (list(x) for x in zip(*held, strict=True))
+            return _more_links(np.array(ids), lines, np.array(roots), np.array(sides), starts)
 
         for key, i, j, *line in rows_of(batches, "key", "i", "j", "id", "line", "root", "side"):
             if (key, i, j) != now:
-                links += search()
-                now, held = (key, i, j), []
+                if size >= SKETCH_CHARS:
+                    links += search()
+                    starts, held, size = [], [], 0
+                now = key, i, j
+                starts.append(len(held))
             held.append(line)
+            size += len(line[1])
             if len(links) > 1 << 16:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
                 links = []
-        links += search()
+        if held:
+            links += search()
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
 
