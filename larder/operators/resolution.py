@@ -17,7 +17,7 @@ from larder.functions import rules, text
 from larder.functions.common import (
     count_where, fence, global_row_number, lookup, rnd, text_or_empty, top_k, words_regex, zero_pad,
 )
-from larder.sources.shared import materialize, scratch
+from larder.sources.shared import materialize, measured_joins, scratch
 
 # ---------------------------------------------------------------- candidate phrase -> canonical name
 
@@ -897,7 +897,7 @@ def rank_candidates(matches: DataFrame, ingredients: DataFrame, dim: DataFrame,
 
 def generate_food_candidates(ingredients: DataFrame, foods: DataFrame, lines: DataFrame) -> DataFrame:
     """B20 to B29; foods, pairs and matches are each read several times and are written once."""
-    with scratch(foods.sparkSession) as keep:
+    with scratch(foods.sparkSession) as keep, measured_joins(foods.sparkSession):
         dim = materialize(food_dimension(foods), "food-dimension")
         pairs = materialize(matching_pairs(query_terms(ingredients), food_phrases(dim)), "pairs")
         matches = materialize(best_matches(pairs), "matches")
